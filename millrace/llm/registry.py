@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, quality_rules
+from millrace.llm import mixing, packing, quality_classifier, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": mixing.op6,
     "op7_quality_divergence": quality_rules.op7,
+    "op8_quality_classifier": quality_classifier.op8,
+    "op9_packing": packing.op9,
 }
 
 SQL: dict[str, str] = {
