@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embedding_join, mixing, packing, quality_classifier, quality_rules
+from millrace.llm import embedding_join, jaccard_join, mixing, packing, quality_classifier, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": embedding_join.op1,
+    "op3_jaccard_join": jaccard_join.op3,
     "op6_source_mixing": mixing.op6,
     "op7_quality_divergence": quality_rules.op7,
     "op8_quality_classifier": quality_classifier.op8,
