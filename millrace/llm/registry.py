@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embedding_join, jaccard_join, mixing, packing, quality_classifier, quality_rules
+from millrace.llm import embedding_join, jaccard_join, mixing, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": embedding_join.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_divergence": quality_rules.op7,
     "op8_quality_classifier": quality_classifier.op8,
     "op9_packing": packing.op9,
+    "op10_substring_dedup": substring_dedup.op10,
 }
 
 SQL: dict[str, str] = {
