@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embedding_join, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, substring_dedup
+from millrace.llm import embedding_join, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, quote_links, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": embedding_join.op1,
+    "op2_url_templates": url_filter.op2,
     "op3_jaccard_join": jaccard_join.op3,
+    "op4_quote_links": quote_links.op4,
     "op5_pii_spans": pii.op5,
     "op6_source_mixing": mixing.op6,
     "op7_quality_divergence": quality_rules.op7,
