@@ -29,10 +29,11 @@ from millrace.operators.components import connected_components
 from millrace.storage import Workspace
 
 #: Buckets of the frequency sketch (of fixed size; it orders shingles and never decides a result), counters a shuffled
-#: row holds, the least count and the multiple of the mean count that make a bucket frequent.
-SKETCH, SKETCH_BLOCK, FREQUENT, TIMES_MEAN = 1 << 20, 1 << 15, 64, 2
+#: row holds, the least count and the deviations above the mean count that make a bucket frequent.
+SKETCH_BITS, SKETCH_BLOCK, FREQUENT, DEVIATIONS = 24, 1 << 19, 16, 6
+SKETCH, SKETCH_SHIFT = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
 #: Rows of one list that a task gets at most, about; sets and shingles of a block; bits of the filter of wanted sets.
-LIST_ROWS, BLOCK_SETS, BLOCK_SHINGLES, FILTER_BITS = 8192, 512, 200_000, 1 << 24
+LIST_ROWS, BLOCK_SETS, BLOCK_SHINGLES, FILTER_BITS = 8192, 1024, 400_000, 1 << 24
 #: Computed sets that later ones of a block may be derived from.
 BASES = 6
 
@@ -74,13 +75,13 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, id_type = np.zeros(SKETCH, np.int64), None
+        sketch, id_type = np.zeros(SKETCH, np.int32), None
         for batch in batches:
             id_type = batch.schema.field(0).type
             for part in slices(batch):
                 sets = shingle_sets(encoded(part.column(1)), width)
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                sketch += np.bincount((every >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+                np.add.at(sketch, (every >> SKETCH_SHIFT).astype(np.int64), 1)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "node", "block", "sums"])
         if id_type is not None:
@@ -93,7 +94,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
 
 
 def _frequent(scanned: DataFrame) -> np.ndarray:
-    """The sketch's counts where they are frequent, else 0."""
+    """The logarithm of the sketch's counts, in eighths, where they are frequent, else 0."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -103,11 +104,18 @@ def _frequent(scanned: DataFrame) -> np.ndarray:
                 sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint16 if len(raw) == 2 * SKETCH_BLOCK else np.int64).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["block", "sums"])
 
-    total = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
+    total = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.float32)
     for k, raw in scanned.where("block is not null").select("block", "sums").repartition("block").mapInArrow(added, "block int, sums binary").collect():
         total[k] += np.frombuffer(zlib.decompress(raw), np.int64)
     total = total.ravel()
-    return np.where(total > max(FREQUENT, TIMES_MEAN * total.mean()), total, 0)
+    mean = float(total.mean(dtype=np.float64))
+    total[total <= max(FREQUENT, mean + DEVIATIONS * math.sqrt(mean))] = 1
+    return np.minimum(8 * np.log2(total), 255).astype(np.uint8)
+
+
+def _sublists(eighths: np.ndarray) -> np.ndarray:
+    """Sub-lists that a list is dealt out to."""
+    return 1 + (2.0 ** (eighths / 8.0) / LIST_ROWS).astype(np.int64)
 
 
 def _new_sets(batch: pa.RecordBatch, width: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -130,11 +138,11 @@ def _entries(docs: DataFrame, text_col: str, width: int, percent: int, frequent)
             for k, s in _new_sets(batch, width, seen):
                 if len(s) < least:
                     continue
-                order = counts[(s >> np.uint64(44)).astype(np.int64)]
+                order = counts[(s >> SKETCH_SHIFT).astype(np.int64)]
                 p = len(s) - (-(-percent * len(s) // 100)) + 1
                 first = np.lexsort((s, order))[:p] if order.any() else np.arange(p)
                 token.append(s[first])
-                salt.append(k % (1 + order[first] // LIST_ROWS))
+                salt.append(k % _sublists(order[first]))
                 node.append(np.full(p, k, np.int64))
                 n.append(np.full(p, len(s), np.int32))
                 pos.append(np.arange(p, dtype=np.int32))
@@ -169,7 +177,7 @@ def _lists(entries: DataFrame, frequent) -> DataFrame:
             token, salt, node, n, pos = (c[:done][keep] for c in cols)
             starts = np.flatnonzero(new[:done][keep])
             length = np.diff(np.append(starts, len(token)))
-            split = counts[(token.view(np.uint64) >> np.uint64(44)).astype(np.int64)] >= LIST_ROWS
+            split = _sublists(counts[(token.view(np.uint64) >> SKETCH_SHIFT).astype(np.int64)]) > 1
             live = np.repeat(length > 1, length) | split
             leader = np.repeat(node[starts], length)
             yield pa.RecordBatch.from_arrays([pa.array(x[live]) for x in (token, node, n, pos, leader)], names=["token", "node", "n", "pos", "leader"])
@@ -186,30 +194,34 @@ def _and_none(batches: Iterator) -> Iterator:
 
 
 def _blocks_of(live: DataFrame, percent: int, ws: Workspace) -> DataFrame:
-    """``node, n, size_class, of_block``: a set's family is the list leader that it meets most often; a family's sets of
-    one size class are dealt out to blocks of bounded size."""
+    """``node, n, of_block``: a set's family is the list leader that it meets most often. A small family is one block; of
+    a large one, the sets of a size class are dealt out to blocks of bounded size."""
     met = live.groupBy("node", "leader").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100))).cast("int")
     nodes = met.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("family"), F.max("n").alias("n")).withColumn("size_class", size_class)
     nodes = ws.save(nodes, "nodes")
-    fill = nodes.groupBy("family", "size_class").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("bigint").alias("k"))
-    fill = ws.save(fill.withColumnRenamed("family", "f").withColumnRenamed("size_class", "s"), "fill")
+    blocks = lambda count, total: F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(total / BLOCK_SHINGLES)).cast("bigint")
+    fill = ws.save(nodes.groupBy("family", "size_class").agg(F.count("*").alias("count"), F.sum("n").alias("total")), "fill")
+    whole = fill.groupBy(F.col("family").alias("g")).agg(blocks(F.sum("count"), F.sum("total")).alias("all"))
+    fill = ws.save(fill.join(whole, F.col("family") == F.col("g")).select(F.col("family").alias("f"), F.col("size_class").alias("s"), blocks(F.col("count"), F.col("total")).alias("k"), "all"), "deal")
     joined = nodes.join(fill, (F.col("family") == F.col("f")) & (F.col("size_class") == F.col("s")))
-    return joined.select("node", "n", "size_class", F.xxhash64("family", "size_class", F.pmod("node", "k")).alias("of_block"))
+    own = F.when(F.col("all") == 1, F.xxhash64("family")).otherwise(F.xxhash64("family", "size_class", F.pmod("node", "k")))
+    return joined.select("node", "n", own.alias("of_block"))
 
 
-def _block_pairs(live: DataFrame, nodes: DataFrame, percent: int, ws: Workspace) -> DataFrame:
-    """Pairs a <= b of blocks that some list does not rule out by sizes or positions."""
+def _meetings(live: DataFrame, nodes: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    """``node, pair, a, b``: the pairs a <= b of blocks in which a set has to be compared. Of every list, a block is a
+    summary of its sets' sizes and of the room that the positions leave; a set skips the blocks whose summary can't
+    reach the overlap that both sizes need."""
     placed = live.select("token", F.col("node").alias("m"), "pos").join(nodes, F.col("m") == F.col("node"))
-    held = placed.groupBy("token", "of_block", "size_class").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("room"), F.count("*").alias("c"))
-    held = ws.save(held, "lists")
-    side = lambda x: held.select(F.col("token").alias("token" if x == "a" else "token_b"), *[F.col(c).alias(f"{c}_{x}") for c in ("of_block", "size_class", "least", "most", "room", "c")])
-    a, b = side("a"), side("b")
-    order: Column = (F.col("of_block_a") < F.col("of_block_b")) | ((F.col("of_block_a") == F.col("of_block_b")) & (F.col("c_a") > 1))
-    sizes = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
-    need = F.ceil(percent * (F.col("least_a") + F.col("least_b")) / (100 + percent))
-    pairs = a.join(b, (F.col("token") == F.col("token_b")) & order & (F.abs(F.col("size_class_a") - F.col("size_class_b")) <= 1) & sizes & (F.least("room_a", "room_b") >= need))
-    return pairs.select(F.col("of_block_a").alias("a"), F.col("of_block_b").alias("b")).distinct()
+    placed = ws.save(placed.select("token", "node", "n", (F.col("n") - F.col("pos")).alias("room"), "of_block"), "lists")
+    blocks = placed.groupBy("token", "of_block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("most_room"), F.count("*").alias("c"))
+    blocks = ws.save(blocks.select(F.col("token").alias("t"), F.col("of_block").alias("other"), "least", "most", "most_room", "c"), "summaries")
+    sizes = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    need: Column = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent))
+    met = placed.join(blocks, (F.col("token") == F.col("t")) & ((F.col("of_block") != F.col("other")) | (F.col("c") > 1)) & sizes & (F.least("room", "most_room") >= need))
+    a, b = F.least("of_block", "other"), F.greatest("of_block", "other")
+    return met.select("node", F.xxhash64(a, b).alias("pair"), a.alias("a"), b.alias("b")).distinct()
 
 
 def _filter(nodes: DataFrame) -> bytes:
@@ -317,10 +329,11 @@ def compare_blocks(a: dict, b: dict, same: bool, percent: int) -> tuple[dict[int
     return {k: v for k, v in counts.items() if v}, _forest(linked, a["node"], b["node"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int, ws: Workspace) -> DataFrame:
-    """Both blocks of every pair meet; ``sets`` has of_block, node, n, copies, shingles."""
-    wanted = pairs.withColumn("pair", F.xxhash64("a", "b")).select("pair", "a", "b", F.explode(F.expr("if(a = b, array(a), array(a, b))")).alias("want"))
-    sent = wanted.join(sets, F.col("want") == F.col("of_block")).select("pair", "a", "b", "of_block", "node", "n", "copies", "shingles")
+def _compare(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """Both blocks of every pair meet; ``sets`` has m, shingles and ``wanted`` node, n, of_block, copies, pairs. A set goes
+    to its pairs directly, so its shingles are dealt out twice: by set, and by pair."""
+    sent = sets.join(wanted, F.col("m") == F.col("node")).select(F.explode("pairs").alias("p"), "of_block", "node", "n", "copies", "shingles")
+    sent = sent.select("p.pair", "p.a", "p.b", "of_block", "node", "n", "copies", "shingles")
 
     def meet(rows: list[dict]) -> tuple[dict[int, int], list[tuple[int, int]]]:
         a, b = rows[0]["a"], rows[0]["b"]
@@ -361,13 +374,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = ws.save(_lists(_entries(docs, text_col, width, percent, counts), counts), "live")
     reps = ws.save(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "representatives")
     nodes = ws.save(_blocks_of(live, percent, ws), "blocks")
-    pairs = ws.save(_block_pairs(live, nodes, percent, ws), "pairs")
-    blocks = pairs.select(F.explode(F.array("a", "b")).alias("block")).distinct()
-    wanted = nodes.join(blocks, F.col("of_block") == F.col("block"), "left_semi").join(reps, "node")
-    wanted = ws.save(wanted.select("node", "n", "of_block", "copies"), "wanted")
+    pairs = ws.save(_meetings(live, nodes, percent, ws), "meetings")
+    pairs = pairs.groupBy(F.col("node").alias("of")).agg(F.collect_list(F.struct("pair", "a", "b")).alias("pairs"))
+    wanted = nodes.join(reps, "node").join(pairs, F.col("node") == F.col("of"))
+    wanted = ws.save(wanted.select("node", "n", "of_block", "copies", "pairs"), "wanted")
     sets = _wanted_sets(docs, text_col, width, spark.sparkContext.broadcast(_filter(wanted)))
-    sets = ws.save(sets.join(wanted, F.col("m") == F.col("node")).select("of_block", "node", "n", "copies", "shingles"), "sets")
-    found = ws.save(_compare(pairs, sets, percent, ws), "found")
+    found = ws.save(_compare(sets, wanted, percent), "found")
     links = found.where("root is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("root is not null"), "node", "root", ws)
     labelled = ws.save(reps.join(components, "node", "left").join(links, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "labelled")
