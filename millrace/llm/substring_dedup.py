@@ -29,8 +29,9 @@ from millrace.llm.text import encoded, mix, slices
 from millrace.storage import Workspace
 
 #: Length of a repeated string, q-gram of the first buckets, bits of a filter, kinds from which a bucket is dealt out
-#: by string, bytes of text that a task settles at once, bytes of a piece of an overlong text.
-LENGTH, Q, FILTER_BITS, MANY, ROUND_BYTES, PIECE = 100, 32, 1 << 26, 4096, 32 << 20, 32 << 20
+#: by string, bytes of text that a task settles at once, bytes that are indexed at once, and of a piece of an overlong
+#: text.
+LENGTH, Q, FILTER_BITS, MANY, ROUND_BYTES, SLICE, PIECE = 100, 32, 1 << 26, 4096, 16 << 20, 1 << 20, 4 << 20
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 _INDEX = np.uint64((1 << 26) - 1)
@@ -115,7 +116,7 @@ _COLUMNS = ["doc", "mark", "at", "lo", "hi", "gram", "kind"]
 
 def _found(batch: pa.RecordBatch, keep=None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
     """Suffixes with positions relative to their text, and the bytes they were found in (with absolute lo in "raw")."""
-    for part in slices(batch):
+    for part in slices(batch, limit=SLICE):
         for data, bounds, doc, marks, offset in _pieces(_ids(part.column(0)), encoded(part.column(1))):
             s = suffixes(data, bounds)
             if keep is not None:
@@ -357,13 +358,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = encoded(batch.column(1))
             marks = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(_ids(batch.column(0).cast(pa.int64()))), pa.array(marks, pa.int64())], names=["id", "text", "of", "its"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             cols = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             for t, its in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 kept, at, n = [], 0, 0
