@@ -302,13 +302,13 @@ _MONTHS = "[" + ", ".join(f"'{m}'" for m in S.MONTHS) + "]"
 
 
 def _months_sql(source: str) -> str:
-    return f"""stamped AS (SELECT id, epoch_ms(at) AS ts FROM {source}), m AS (SELECT year(ts) * 100 + month(ts) - 1 AS stamp, count(*) AS n, min(id) AS first_id FROM stamped GROUP BY 1)
+    return f"""stamped AS (SELECT id, make_timestamp(ms * 1000) AS ts FROM {source}), m AS (SELECT year(ts) * 100 + month(ts) - 1 AS stamp, count(*) AS n, min(id) AS first_id FROM stamped GROUP BY 1)
 SELECT 'month-' || stamp AS key, printf('%04d-%02d %s', stamp // 100, stamp % 100 + 1, {_MONTHS}[stamp % 100 + 1]) AS suggestedName, n, first_id FROM m"""
 
 
 _KEEP = f"WITH {_PHOTOS} SELECT bucket, {{}} AS keeper_id FROM scored GROUP BY bucket"
 _UNITS = ["KB", "MB", "GB", "TB"]
-_HUMAN = "CASE WHEN bytes <= 0 THEN '0 B' WHEN bytes < 1024 THEN bytes || ' B' " + " ".join(f"WHEN bytes < {1024 ** (k + 2)} THEN printf('%.1f {u}', bytes / {float(1024 ** (k + 1))}::DOUBLE)" for k, u in enumerate(_UNITS[:3])) + f" ELSE printf('%.1f TB', bytes / {float(1024**4)}::DOUBLE) END"
+_HUMAN = "CASE WHEN bytes <= 0 THEN '0 B' WHEN bytes < 1024 THEN bytes || ' B' " + " ".join(f"WHEN bytes < {1024 ** (k + 2)} THEN printf('%.1f {u}', floor(bytes / {float(1024 ** (k + 1))}::DOUBLE * 10 + 0.5) / 10)" for k, u in enumerate(_UNITS[:3])) + f" ELSE printf('%.1f TB', floor(bytes / {float(1024**4)}::DOUBLE * 10 + 0.5) / 10) END"
 
 SQL = {
     "exact_groups": f"WITH {_GROUPS} SELECT * FROM g",
@@ -350,8 +350,8 @@ SQL = {
   r AS (SELECT clusterId, max(personId) AS personId, max(name) AS name, row_number() OVER (ORDER BY count(DISTINCT photoId) DESC, count(*) DESC, clusterId) AS rk FROM m GROUP BY clusterId), c AS (SELECT photoId, min(rk) AS rk FROM m JOIN r USING (clusterId) GROUP BY 1),
   k AS (SELECT rk, count(*) AS n, min(photoId) AS first FROM c GROUP BY 1 HAVING count(*) >= 2), q AS (SELECT k.*, r.personId, r.name, sum((trim(coalesce(r.name, '')) = '')::INT) OVER (ORDER BY k.rk) AS num FROM k JOIN r USING (rk))
   SELECT 'person-' || personId AS key, CASE WHEN trim(coalesce(name, '')) = '' THEN '{S.PERSON} ' || num::BIGINT ELSE name END AS suggestedName, n, first FROM q""",
-    "folder_plan_months": f"WITH {_PHOTOS}, p AS (SELECT id, CASE WHEN dateTaken > 0 THEN dateTaken ELSE dateModified * 1000 END AS at FROM photos), " + _months_sql("p"),
-    "month_orders": "WITH p AS (SELECT o_orderkey AS id, epoch(o_orderdate)::BIGINT * 1000 AS at FROM orders), " + _months_sql("p"),
+    "folder_plan_months": f"WITH {_PHOTOS}, p AS (SELECT id, CASE WHEN dateTaken > 0 THEN dateTaken ELSE dateModified * 1000 END AS ms FROM photos), " + _months_sql("p"),
+    "month_orders": "WITH p AS (SELECT o_orderkey AS id, epoch(o_orderdate)::BIGINT * 1000 AS ms FROM orders), " + _months_sql("p"),
     "captured_at": f"WITH {_PHOTOS} SELECT id, CASE WHEN dateTaken > 0 THEN dateTaken ELSE dateModified * 1000 END AS at FROM photos",
     "date_text": f"WITH {_PHOTOS} SELECT id, strftime(epoch_ms(dateModified * 1000), '%d.%m.%Y') AS day FROM photos",
     "human_bytes": f"WITH x AS (SELECT doc_id, n_chars * n_chars * (doc_id % 40) * (doc_id % 40) AS bytes FROM documents) SELECT doc_id, bytes, {_HUMAN} AS text FROM x",

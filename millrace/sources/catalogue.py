@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType
 
 from millrace.config import HEAD_BYTES
 from millrace.functions import images, scalar as S
@@ -28,9 +29,11 @@ def scan_catalogue(rows: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("bigint")
-def synthetic_id(uri: pd.Series) -> pd.Series:
-    return uri.map(images.synthetic_id)
+def synthetic_id(uri: Column) -> Column:
+    def ids(s: pd.Series) -> pd.Series:
+        return s.map(images.synthetic_id)
+
+    return F.pandas_udf(ids, LongType())(uri)
 
 
 def walk(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH, max_files: int = MAX_FILES) -> DataFrame:
