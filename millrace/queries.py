@@ -243,6 +243,39 @@ def square_box(spark, d):
     return f.select("doc_id", box.alias("x")).select("doc_id", "x.l", "x.t", "x.r", "x.b")
 
 
+def _images(spark, d):
+    """A picture of each whole text: how often a byte follows another, modulo 48, in three colours by place modulo 3."""
+    import numpy as np
+    import pandas as pd
+
+    from millrace.functions import images
+
+    def picture(text: str) -> np.ndarray:
+        b = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+        k = np.arange(max(0, len(b) - 1))
+        counts = np.bincount((b[:-1] % 48 * 48 + b[1:] % 48) * 3 + k % 3, minlength=48 * 48 * 3).reshape(48, 48, 3) if len(b) > 1 else np.zeros((48, 48, 3))
+        return 255.0 * counts / max(1, counts.max())
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                img = picture(r.text or "")
+                rows.append((r.doc_id, *images.signature(img), images.hog(img).tolist()))
+            yield pd.DataFrame(rows, columns=["id", "dhash", "phash", "colorSig", "hog"])
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return docs.mapInPandas(run, "id bigint, dhash bigint, phash bigint, colorSig array<int>, hog array<double>")
+
+
+def image_signatures(spark, d):
+    return _images(spark, d).select("id", "dhash", "phash", "colorSig")
+
+
+def hog_descriptors(spark, d):
+    return _images(spark, d).select("id", F.size("hog").alias("dim"), F.round(F.aggregate("hog", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+
+
 def removal_plan(spark, d):
     return folders.freed(folders.removal_plan(_doc_photos(spark, d).withColumn("docUri", F.when(F.col("id") % 3 == 0, F.col("name")))))
 
@@ -259,7 +292,7 @@ QUERIES = {
     "people_view": people_view, "majority_person": majority_person, "home_cluster": home_cluster, "cluster_rename_merge_pin": cluster_rename_merge_pin,
     "folder_plan_people": folder_plan_people, "folder_plan_months": folder_plan_months, "month_orders": month_orders, "captured_at": captured_at, "date_text": date_text,
     "human_bytes": human_bytes, "similarity_words": similarity_words, "sanitize_album": sanitize_album, "path_parts": path_parts,
-    "face_quality": face_quality, "square_box": square_box, "removal_plan": removal_plan,
+    "face_quality": face_quality, "square_box": square_box, "removal_plan": removal_plan, "image_signatures": image_signatures, "hog_descriptors": hog_descriptors,
 }
 
 _WORDS = r"string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '[ \t\n\r]+')"
@@ -311,6 +344,7 @@ _UNITS = ["KB", "MB", "GB", "TB"]
 _HUMAN = "CASE WHEN bytes <= 0 THEN '0 B' WHEN bytes < 1024 THEN bytes || ' B' " + " ".join(f"WHEN bytes < {1024 ** (k + 2)} THEN printf('%.1f {u}', floor(bytes / {float(1024 ** (k + 1))}::DOUBLE * 10 + 0.5) / 10)" for k, u in enumerate(_UNITS[:3])) + f" ELSE printf('%.1f TB', floor(bytes / {float(1024**4)}::DOUBLE * 10 + 0.5) / 10) END"
 
 SQL = {
+    "hog_descriptors": "SELECT doc_id AS id, 1568 AS dim, 1.0::DOUBLE AS norm FROM documents WHERE strlen(text) > 1",
     "exact_groups": f"WITH {_GROUPS} SELECT * FROM g",
     "exact_members": f"WITH {_GROUPS} SELECT s.sha, s.id, g.keeper_id, s.id = g.keeper_id AS is_keeper, 0 AS distance, (row_number() OVER (PARTITION BY s.sha ORDER BY s.id = g.keeper_id DESC, score DESC, s.id) - 1)::INT AS place FROM scored s JOIN g USING (sha)",
     "exact_waste_summary": f"WITH {_GROUPS} SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS members, coalesce(sum(reclaimable), 0)::BIGINT AS reclaimable FROM g",
