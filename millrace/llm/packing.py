@@ -27,7 +27,7 @@ WINDOW, END_ID, VOCABULARY, SPECIAL = 2048, 1, "byte_bpe_50k.json", "<|endoftext
 #: Token ids held at once by a task before they are packed; a window filled less than this is cut at powers of two.
 ROUND_TOKENS, WELL_FILLED = 6_000_000, 0.97
 #: Encoded words kept by a worker.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Marks a piece without leading space among the keys of the cache; a private-use character.
 BARE = "\ue000"
 

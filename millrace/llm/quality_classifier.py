@@ -51,7 +51,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * DIM)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, 1 << 20):
                 b, n = buckets(encoded(part.column(0)))
                 of = np.repeat(np.arange(len(n)), n)
                 for step in range(1, REACH + 1):
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=1 << 20):
                 x = pooled(encoded(part.column(1)), vectors).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), part.column(2)], names=["label_id", "x", "label"])
 
