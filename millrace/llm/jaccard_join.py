@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.text import encoded, mix, slices
+from millrace.llm.text import encoded, frugal, mix, slices
 from millrace.operators.components import connected_components
 from millrace.storage import Workspace
 
@@ -90,7 +90,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
             packed = [zlib.compress(r.astype(np.uint16 if r.max() < 1 << 16 else np.int64).tobytes(), 1) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(packed, pa.binary())], names=["id", "n", "node", "block", "sums"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, node bigint, block int, sums binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"id {kind}, n bigint, node bigint, block int, sums binary")
 
 
 def _frequent(scanned: DataFrame) -> np.ndarray:
@@ -105,7 +105,7 @@ def _frequent(scanned: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["block", "sums"])
 
     total = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.float32)
-    for k, raw in scanned.where("block is not null").select("block", "sums").repartition("block").mapInArrow(added, "block int, sums binary").collect():
+    for k, raw in scanned.where("block is not null").select("block", "sums").repartition("block").mapInArrow(frugal(added), "block int, sums binary").collect():
         total[k] += np.frombuffer(zlib.decompress(raw), np.int64)
     total = total.ravel()
     mean = float(total.mean(dtype=np.float64))
@@ -149,7 +149,7 @@ def _entries(docs: DataFrame, text_col: str, width: int, percent: int, frequent)
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(salt).astype(np.int32)), pa.array(np.concatenate(node)), pa.array(np.concatenate(n)), pa.array(np.concatenate(pos))], names=["token", "salt", "node", "n", "pos"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token bigint, salt int, node bigint, n int, pos int")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(run), "token bigint, salt int, node bigint, n int, pos int")
 
 
 def _lists(entries: DataFrame, frequent) -> DataFrame:
@@ -185,7 +185,7 @@ def _lists(entries: DataFrame, frequent) -> DataFrame:
                 break
 
     dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-    return dealt.mapInArrow(run, "token bigint, node bigint, n int, pos int, leader bigint")
+    return dealt.mapInArrow(frugal(run), "token bigint, node bigint, n int, pos int, leader bigint")
 
 
 def _and_none(batches: Iterator) -> Iterator:
@@ -253,7 +253,7 @@ def _wanted_sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFram
                     values.append(np.ascontiguousarray((s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["m", "shingles"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "m bigint, shingles binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(run), "m bigint, shingles binary")
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -360,7 +360,7 @@ def _compare(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
                     rows.append(r)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64())], names=["node", "links", "root"])
 
-    return sent.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "node bigint, links bigint, root bigint")
+    return sent.repartition("pair").sortWithinPartitions("pair").mapInArrow(frugal(run), "node bigint, links bigint, root bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, workspace: Workspace | None = None) -> DataFrame:

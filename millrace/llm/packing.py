@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.text import frugal
+
 #: The window, the id that closes a document, the vocabulary file and its one special string.
 WINDOW, END_ID, VOCABULARY, SPECIAL = 2048, 1, "byte_bpe_50k.json", "<|endoftext|>"
 #: Token ids held at once by a task before they are packed; a window filled less than this is cut at powers of two.
@@ -245,8 +247,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                     yield placed()
         if now.docs:
             yield placed()
+        words.clear()  # a reused worker would hold them during other stages
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

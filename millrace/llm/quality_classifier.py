@@ -17,10 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.text import encoded, mix, slices
+from millrace.llm.text import encoded, frugal, mix, release, slices
 
 #: Hashed words, dimensions, nonzero entries of an index vector, neighbours on either side.
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 4, 2
@@ -74,8 +75,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float64).tobytes() for x in sums.values()], pa.binary())], names=["block", "sums"])
 
     out = np.zeros((BUCKETS // BLOCK, BLOCK * DIM))
-    shuffled = docs.select(F.col(text_col).alias("text")).mapInArrow(partial, "block int, sums binary").repartition("block")
-    for k, raw in shuffled.mapInArrow(added, "block int, sums binary").collect():
+    shuffled = docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(partial), "block int, sums binary").repartition("block")
+    for k, raw in shuffled.mapInArrow(frugal(added), "block int, sums binary").collect():
         out[k] += np.frombuffer(raw, np.float64)
     out = out.reshape(BUCKETS, DIM)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str =
 
     joined = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = joined.select("label_id", "text", "label").mapInArrow(features, f"label_id {kind}, x binary, label int").orderBy(F.xxhash64("label_id"), "label_id", "x").limit(most).collect()
+    rows = joined.select("label_id", "text", "label").mapInArrow(frugal(features), f"label_id {kind}, x binary, label int").orderBy(F.xxhash64("label_id"), "label_id", "x").limit(most).collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float).reshape(len(rows), 2 * vectors.shape[1])
     return fit(x, np.array([r.label for r in rows], float))
 
@@ -178,10 +179,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vectors = word_vectors(docs, text_col)
     net = train(docs, labels, vectors, id_col, text_col, label_col)
 
-    @F.pandas_udf("double")
-    def scored(text):
-        out, values = np.empty(len(text)), text.tolist()
-        at = 0
+    def scores(values: list[str | None]) -> np.ndarray:
+        out, at = np.empty(len(values)), 0
         while at < len(values):  # a slice of texts at a time
             to, size = at, 0
             while to < len(values) and (to == at or size < 1 << 20):
@@ -189,9 +188,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 to += 1
             out[at:to] = net.score(pooled([(x or "").encode() for x in values[at:to]], vectors))
             at = to
-        import pandas as pd
+        return out
 
-        return pd.Series(out)
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for text in batches:
+                yield pd.Series(scores(text.tolist()))
+        finally:
+            release()
 
     return docs.select("*", scored(F.col(text_col)).alias("quality_score"))
 
