@@ -4,9 +4,15 @@ Each document's character-class and common-word histograms are compared with its
 Jensen-Shannon distance (base 2, 0 to 1). References are summed over all documents of the language that pass the base
 rules. Texts below the minimum lengths are not judged by divergence.
 
+Most words are in no list, so a text without any common word lies within 0.36 of its reference, and short texts lie
+farther off than long ones. A language's word limit is therefore taken from the distances of all its judged documents
+that pass the base rules, by length (the median and the spread of the lower half, which junk does not reach), and a text
+must lie nearer to the reference than one without common words does. The fixed limit bounds both.
+
 Edge cases: a null text is empty and fails the base rules; a language without a reference (null, unknown, or none of
-its documents pass the base rules) is compared with every reference and takes the nearest, and is kept where there is
-none; repeated rows are judged one by one; an empty table gives an empty result; only id, text and language are read.
+its documents pass the base rules) is compared with every reference and takes the nearest under the fixed limits, as it
+has no distances of its own, and is kept where there is none; lengths with few documents take the limit of the next
+shorter length, which is wider; repeated rows are judged one by one; an empty table gives an empty result; only id, text and language are read.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.text import IS_SPACE, encoded, flat, mix, per_text, slices
+from millrace.storage import Workspace
 
 #: The symbols that are counted, the window of repeated words, the base limits.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEATED = b"#*$%&|<>", 8, 20, 30
@@ -32,6 +39,11 @@ WORDS = sorted({w for words in COMMON.values() for w in words})
 LANGS = sorted(COMMON)
 #: Divergence is judged from so many words and code points on, and rejects beyond these distances.
 JUDGE_WORDS, JUDGE_CHARS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 40, 200, 0.30, 0.50
+#: Derived word limits: bins of a distance, spreads above the median, least spread (a share of the median), documents that
+#: a length needs, share of common words from which a reference tells texts without any.
+BINS, SPREADS, LEAST_SPREAD, LEAST_DOCS, LEAST_COMMON = 1000, 6, 0.05, 20, 0.05
+#: Lengths by half powers of two words.
+N_LENGTH = 128
 
 _CLASS = np.full(256, 5, np.uint8)
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A] = 0, 1, 2
@@ -134,10 +146,35 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return {x: v for x, v in out.items() if v.sum()}
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: the base counts, both distances, ``base_failed`` and ``kept``."""
+def word_limits(counts: list[tuple[int, int, int, int]], refs: dict[str, np.ndarray]) -> np.ndarray:
+    """Word limit by language and length class, from (language, class, bin, documents)."""
+    seen = np.zeros((len(LANGS), N_LENGTH, BINS + 1), np.int64)
+    for k, length, at, n in counts:
+        seen[k, length, at] = n
+    limits = np.full((len(LANGS), N_LENGTH), MAX_WORD_DISTANCE)
+    for k, lang in enumerate(LANGS):
+        if lang not in refs:
+            continue
+        ref, last = refs[lang][N_CLASS:], MAX_WORD_DISTANCE
+        if ref[:-1].sum() >= LEAST_COMMON * ref.sum():
+            last = min(last, js_distance(np.eye(1, N_WORD, N_WORD - 1), ref)[0] - 1e-9)
+        bound = last
+        for length in range(N_LENGTH):
+            total = np.cumsum(seen[k, length])
+            if total[-1] >= LEAST_DOCS:
+                quarter, half = ((np.searchsorted(total, share * total[-1]) + 0.5) / BINS for share in (0.25, 0.5))
+                last = min(bound, half + SPREADS * max(half - quarter, LEAST_SPREAD * half))
+            limits[k, length] = last
+    return limits
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", workspace: Workspace | None = None) -> DataFrame:
+    """One row per document: the base counts, both distances, ``base_failed`` and ``kept``. Texts are measured once for
+    the references and once for the distances; the limits come from the saved distances."""
+    ws = workspace or Workspace(docs.sparkSession, "quality")
     refs = references(docs, text_col, lang_col)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, char_distance double, word_distance double, base_failed boolean, kept boolean"
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {', '.join(f'{x} bigint' for x in names)}, char_distance double, word_distance double, base_failed boolean, _judged boolean, _own int, _length int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,13 +187,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     best_c[rows] = np.minimum(best_c[rows], js_distance(m["classes"][rows], ref[:N_CLASS]))
                     best_w[rows] = np.minimum(best_w[rows], js_distance(m["words"][rows], ref[N_CLASS:]))
                 best_c, best_w = (np.where(np.isfinite(x), x, 0.0) for x in (best_c, best_w))
-                failed = base_failed(m)
                 judged = (m["n_words"] >= JUDGE_WORDS) & (m["n_chars"] >= JUDGE_CHARS)
-                kept = ~failed & ~(judged & ((best_c > MAX_CHAR_DISTANCE) | (best_w > MAX_WORD_DISTANCE)))
-                names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m[x]) for x in names], *map(pa.array, (best_c, best_w, failed, kept))], names=[id_col, *names, "char_distance", "word_distance", "base_failed", "kept"])
-
-    return docs.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, schema)
+                own = np.array([LANGS.index(x) if x in refs else -1 for x in langs], np.int32)
+                length = np.minimum(2 * np.log2(np.maximum(m["n_words"], 1)), N_LENGTH - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m[x]) for x in names], *map(pa.array, (best_c, best_w, base_failed(m), judged, own, length))], names=[id_col, *names, "char_distance", "word_distance", "base_failed", "_judged", "_own", "_length"])
+
+    measured = ws.save(docs.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, schema), "measured")
+    counted = measured.where("_judged and not base_failed and _own >= 0").groupBy("_own", "_length", F.floor(F.col("word_distance") * BINS).cast("int").alias("_bin")).count()
+    limits = word_limits([tuple(r) for r in counted.collect()], refs)  # at most one number for each language, length and bin
+    own_limit = F.get(F.array(*[F.lit(float(x)) for x in limits.ravel()]), F.col("_own") * N_LENGTH + F.col("_length"))
+    limit = F.when(F.col("_own") >= 0, own_limit).otherwise(F.lit(MAX_WORD_DISTANCE))
+    kept = ~F.col("base_failed") & ~(F.col("_judged") & ((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > limit)))
+    return measured.select(id_col, *names, "char_distance", "word_distance", "base_failed", kept.alias("kept"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -166,6 +166,22 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_quality_rules_reject_texts_without_the_languages_common_words(spark):
+    rng = random.Random(11)
+    rare = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9))) for _ in range(3000)]
+
+    def text(lang, n, share=0.25):
+        return " ".join(rng.choice(quality_rules.COMMON[lang]) if rng.random() < share else rng.choice(rare) for _ in range(n))
+
+    rows = [(1000 * k + j, text(lang, n), lang) for k, lang in enumerate(("en", "de")) for j, n in enumerate([100] * 40 + [600] * 40)]
+    rows += [(9000, text("en", 100, 0), "en"), (9001, text("en", 600, 0), "de"), (9002, text("de", 100), "en"), (9003, text("en", 600), "de"), (9004, text("en", 9000, 0), "en"), (9005, text("en", 100, 0), None)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values()) and all(got[k].word_distance < 0.5 for k in (9000, 9001, 9004))
+    assert all(r.kept for k, r in got.items() if k < 9000) and [got[9000 + k].kept for k in range(6)] == [False] * 5 + [True]
+    same = spark.createDataFrame([(k, text("en", 100, 0), "en") for k in range(30)], "doc_id bigint, text string, lang string")
+    assert quality_rules.judge(same).where("kept").count() == 30  # no reference with common words
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(80)]
