@@ -41,13 +41,20 @@ def candidates(photos: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     return kept.select("key", F.col("id").alias("a")).join(kept.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
 
+#: Columns that two items are compared by.
+COMPARED = ("phash", "dhash", "width", "height", "colorSig")
+
+
 def _side(photos: DataFrame, x: str) -> DataFrame:
-    return photos.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("phash", "dhash", "width", "height", "colorSig")])
+    return photos.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in COMPARED])
 
 
 def distances(pairs: DataFrame, photos: DataFrame) -> DataFrame:
     """Adds both Hamming distances and the compared columns."""
-    joined = pairs.join(_side(photos, "a"), "a").join(_side(photos, "b"), "b")
+    return _hashes_compared(pairs.join(_side(photos, "a"), "a").join(_side(photos, "b"), "b"))
+
+
+def _hashes_compared(joined: DataFrame) -> DataFrame:
     return joined.withColumn("dp", S.hamming(F.col("phash_a"), F.col("phash_b"))).withColumn("dd", S.hamming(F.col("dhash_a"), F.col("dhash_b")))
 
 
@@ -56,11 +63,16 @@ def hash_ok(level: Level):
     return ((dp <= level.p_max) & (dd <= level.d_max)) | ((dp <= level.p_strict) & (dd <= level.d_max + 6)) | ((dd <= level.d_strict) & (dp <= level.p_max + 4))
 
 
+def _colours_compared(near: DataFrame, level: Level) -> DataFrame:
+    """Adds the colour distance, only under the cheap tests (else null): filters have no order of their own."""
+    cheap = hash_ok(level) & S.aspect_ok(F.col("width_a"), F.col("height_a"), F.col("width_b"), F.col("height_b"), level.aspect_tol)
+    return near.withColumn("dc", F.when(cheap, S.color_distance(F.col("colorSig_a"), F.col("colorSig_b"))))
+
+
 def similar_pairs(photos: DataFrame, level: Level = BALANCED, cap: int = BUCKET_CAP) -> DataFrame:
-    """Verified pairs. The colour distance is computed only under the cheap tests: filters have no order of their own."""
+    """Verified pairs of the banded candidates."""
     items = comparable(photos)
-    cheap = hash_ok(level) & S.aspect_ok(F.col("width_a"), F.col("height_a"), F.col("width_b"), F.col("height_b"), level.aspect_tol)
-    near = distances(candidates(items, cap), items).withColumn("dc", F.when(cheap, S.color_distance(F.col("colorSig_a"), F.col("colorSig_b"))))
+    near = _colours_compared(distances(candidates(items, cap), items), level)
     return near.where(F.col("dc") <= level.color_max).select("a", "b", "dp", "dd", "dc")
 
 
@@ -68,25 +80,26 @@ def similar_components(photos: DataFrame, level: Level = BALANCED, ws: Workspace
     return connected_components(similar_pairs(photos, level), "a", "b", ws).select(F.col("node").alias("id"), "component")
 
 
-def refine(members: DataFrame, edges: DataFrame, ws: Workspace, rounds: int = REFINE_ROUNDS) -> DataFrame:
-    """Split chains: each round, the best-quality open member of a component anchors a set of itself and all that is
-    similar to it. What is left after the last round stays one set. ``members``: id, component, score; ``edges``: every
-    similar pair. Rounds are joins on ids, so a component of any size is never gathered in one task."""
-    pool, placed = ws.save(members, "pool"), None
+def refine(members: DataFrame, level: Level, ws: Workspace, rounds: int = REFINE_ROUNDS) -> DataFrame:
+    """Split chains: each round, the best-quality open member of a component anchors a set of itself and all open members
+    that are similar to it, candidates of the banding or not. Components of one or two stay as they are; what is left
+    after the last round stays one set. ``members``: id, component, score and the compared columns. Every open member is
+    compared with its anchor, one row each, so a component of any size is never gathered in one task."""
+    pool, placed = ws.save(members.select("id", "component", "score", *COMPARED), "pool"), None
     for k in range(rounds):
-        # components of one or two stay as they are
-        size = pool.groupBy("component").agg(F.count("*").alias("n"), F.max_by("id", F.struct(F.col("score"), -F.col("id"))).alias("anchor"))
-        size = ws.save(size, "anchors")
+        best = F.max_by(F.struct("id", *COMPARED), F.struct(F.col("score"), -F.col("id")))
+        size = ws.save(pool.groupBy("component").agg(F.count("*").alias("n"), best.alias("best")), "anchors")
         if not size.limit(1).count():
             break
-        near = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        keyed = pool.join(size, "component")
-        hit = near.join(size.select(F.col("anchor").alias("x")), "x").select(F.col("x").alias("near_anchor"), F.col("y").alias("id"))
-        marked = keyed.join(hit, (keyed.id == hit.id) & (keyed.anchor == hit.near_anchor), "left").select(keyed.id, "component", "score", "anchor", ((F.col("near_anchor").isNotNull()) | (keyed.id == F.col("anchor")) | (F.col("n") <= 2)).alias("taken"))
-        marked = ws.save(marked, "marked")
+        sides = [F.col(c).alias(f"{c}_b") for c in COMPARED] + [F.col(f"best.{c}").alias(f"{c}_a") for c in COMPARED]
+        keyed = pool.join(size, "component").select("id", "component", "score", *COMPARED, "n", F.col("best.id").alias("anchor"), *sides)
+        compared = _colours_compared(_hashes_compared(keyed), level)
+        near = F.coalesce(F.col("dc") <= level.color_max, F.lit(False))
+        small = F.col("n") <= (2 if k == 0 else 1)
+        marked = ws.save(compared.select("id", "component", "score", *COMPARED, "anchor", (near | (F.col("id") == F.col("anchor")) | small).alias("taken")), "marked")
         done = marked.where("taken").select("id", F.col("anchor").alias("set_id"), F.lit(k).alias("round"))
         placed = done if placed is None else placed.union(done)
-        pool = marked.where("not taken").select("id", "component", "score")
+        pool = marked.where("not taken").drop("anchor", "taken")
     rest = pool.groupBy("component").agg(F.max_by("id", F.struct(F.col("score"), -F.col("id"))).alias("set_id"))
     last = pool.join(rest, "component").select("id", "set_id", F.lit(rounds).alias("round"))
     return last if placed is None else placed.union(last)
@@ -99,8 +112,8 @@ def similar_groups(photos: DataFrame, level: Level = BALANCED, rule: KeeperRule
     items = photos.withColumn("score", S.quality_score(F.col("width"), F.col("height"), F.col("size")))
     edges = ws.save(similar_pairs(photos, level), "edges")
     comps = ws.save(connected_components(edges, "a", "b", ws), "components")
-    members = comps.select(F.col("node").alias("id"), "component").join(items.select("id", "score"), "id")
-    sets = ws.save(refine(members, edges, ws), "sets").select("id", "set_id")
+    members = comps.select(F.col("node").alias("id"), "component").join(items.select("id", "score", *COMPARED), "id")
+    sets = ws.save(refine(members, level, ws), "sets").select("id", "set_id")
     full = sets.join(items, "id")
     stats = full.groupBy("set_id").agg(F.count("*").alias("n"), F.count("sha").alias("hashed"), F.count_distinct("sha").alias("kinds"), keeper_id(rule).alias("keeper_id"), F.sum("size").alias("total"))
     stats = ws.save(stats.where("n > 1 and not (hashed = n and kinds = 1)"), "stats")
@@ -116,7 +129,7 @@ def with_keeper(members: DataFrame, set_id: int, new_keeper: int) -> DataFrame:
 
 
 def brute_force_refine(pool: list[int], score: dict[int, int], similar: set[tuple[int, int]], rounds: int = REFINE_ROUNDS) -> list[set[int]]:
-    """Plain statement of ``refine`` for tests."""
+    """Plain statement of ``refine`` for tests; ``similar``: every similar pair ``a < b``, not only candidates."""
     if len(pool) <= 2:
         return [set(pool)]
     out, left = [], sorted(pool)
@@ -124,7 +137,7 @@ def brute_force_refine(pool: list[int], score: dict[int, int], similar: set[tupl
         if not left:
             break
         anchor = max(left, key=lambda k: (score[k], -k))
-        keep = {k for k in left if k == anchor or (min(k, anchor), max(k, anchor)) in similar} if len(left) > 2 or not out else {k for k in left}
+        keep = {k for k in left if k == anchor or (min(k, anchor), max(k, anchor)) in similar}
         out.append(keep)
         left = [k for k in left if k not in keep]
     return [*out, set(left)] if left else out

@@ -77,6 +77,18 @@ def test_levels_are_monotonic_and_refine_matches_brute_force(spark):
     assert {frozenset(s) for s in got.values()} == want
 
 
+def test_refine_compares_members_with_the_anchor_not_with_candidates(spark):
+    ones = lambda *ks: sum(1 << 8 * k for k in ks)  # noqa: E731  one bit in each of these bytes
+    half, whole = signed(BASE ^ ones(0, 1, 2, 3)), signed(BASE ^ ones(*range(8)))
+    rows = frame(spark, *[photo(k, phash=h, dhash=h, size=2_000_000 - 2000 * k) for k, h in enumerate((BASE, half, whole), 1)])
+    assert {(r.a, r.b) for r in N.similar_pairs(rows, C.LOOSE).collect()} == {(1, 2), (2, 3)}  # 1 and 3 share no byte
+    assert {(r.set_id, r.id) for r in N.similar_groups(rows, C.LOOSE).collect()} == {(1, 1), (1, 2), (1, 3)}
+    # what a round leaves over is compared as well, also when it is two
+    star = frame(spark, *[photo(k, phash=signed(BASE ^ x), dhash=signed(BASE ^ x), size=2_000_000 - 2000 * k) for k, x in enumerate((0xF, 0, 0xF00, 0xF0000), 1)])
+    assert {r.id for r in N.similar_components(star, C.STRICT).collect()} == {1, 2, 3, 4}
+    assert {(r.set_id, r.id) for r in N.similar_groups(star, C.STRICT).collect()} == {(1, 1), (1, 2)}
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=25))
 def test_components_match_union_find(spark, pairs):
