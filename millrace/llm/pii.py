@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting (operator 5), in DataFrame functions alone.
 
 Base spans follow fixed patterns and checks. Beside them, high-recall generators propose further, overlapping spans
-(disguised addresses, national phone numbers, oddly grouped cards, version 6 addresses); boosted trees over format and
+(disguised addresses, national phone numbers, oddly grouped cards, version 6 addresses, whole or with ``::``); boosted trees over format and
 context features score each, a logistic calibration turns the score into a probability, and a threshold per kind
 selects what is redacted. The trees are fitted on the driver from the examples stated below and enter the plan as
 conditional expressions.
@@ -38,9 +38,9 @@ HINT = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][0-9\x20-]{
 #: Generators of further candidates, and the hint that a text must hold.
 PROPOSE = {
     "email": (r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:[(\[{]at[)\]}]|\x20at\x20)\x20?[a-z0-9-]{1,63}(?:\x20?(?:[(\[{]dot[)\]}]|\x20dot\x20|\.)\x20?[a-z]{2,24}(?![a-z])){1,4}", r"(?i)[(\[{]at[)\]}]|[\x20(\[{]dot[\x20)\]}]"),
-    "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
+    "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![0-9A-Za-z:])", r":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:|[0-9A-Fa-f]::|::[0-9A-Fa-f]"),
     "card": (r"(?<![0-9A-Za-z])[0-9]{4}(?:[.\x20-]{1,2}[0-9]{4,6}){2}(?:[.\x20-]{1,2}[0-9]{3,7})?(?![0-9A-Za-z])", r"[0-9]{4}[.\x20-]{1,2}[0-9]{4}"),
-    "phone": (r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z.])", r"[0-9]\)?[\x20./-]{1,2}[0-9]{2}"),
+    "phone": (r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}(?!\.?[0-9A-Za-z])", r"[0-9]\)?[\x20./-]{1,2}[0-9]{2}"),
 }
 #: Words whose presence before a candidate speaks for its kind, and words that speak against any.
 FOR = {
@@ -48,7 +48,7 @@ FOR = {
     "card": r"(?i)card|visa|credit|karte|carte|tarjeta|amex", "phone": r"(?i)phone|\btel|call|mobil|fax|cell|ring|anruf|appel|llam",
 }
 AGAINST = r"(?i)order|invoice|version|\bref\b|isbn|serial|price|total|\bid\b|\bno\b|page|score|date|\brow\b|lot"
-FEATURES = ("email", "ip", "card", "phone", "digits", "length", "separators", "parens", "luhn", "for", "against", "marked", "year")
+FEATURES = ("email", "ip", "card", "phone", "digits", "length", "separators", "parens", "luhn", "for", "against", "marked", "year", "double")
 #: Boosting rounds, step, least leaf, width of the context, least precision that a threshold must reach on the examples.
 ROUNDS, STEP, LEAF, CONTEXT, PRECISION = 24, 0.4, 3, 24, 0.99
 
@@ -69,7 +69,7 @@ def features(kind: str, match: str, before: str) -> list[float]:
     return [
         *[float(kind == k) for k in KINDS], float(len(digits)), float(len(match)), float(len(re.sub(r"[^ ./\-:]", "", match))), float("(" in match),
         float(len(digits) > 0 and luhn(digits)), float(bool(re.search(FOR[kind], before))), float(bool(re.search(AGAINST, before))),
-        float(bool(re.search(r"(?i)[(\[{](?:at|dot)[)\]}]", match))), float(bool(re.search(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])", match))),
+        float(bool(re.search(r"(?i)[(\[{](?:at|dot)[)\]}]", match))), float(bool(re.search(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])", match))), float("::" in match),
     ]
 
 
@@ -91,6 +91,9 @@ def examples() -> list[tuple[str, str, str, int]]:
         out += [("phone", phone, lead["phone"], 1), ("phone", phone, plain, 1), ("phone", local, lead["phone"], 1), ("phone", local, odd, 0), ("phone", phone, odd, 0)]
         out += [("phone", date, plain, 0), ("phone", date, lead["phone"], 0), ("phone", f"{d[:2]} {d[2:4]}", plain, 0), ("phone", f"{d[:3]}.{d[3:6]}", plain, 0), ("phone", f"{d[:2]}/{d[2:4]}", lead["phone"], 0), ("phone", local, plain, 0)]
         out += [("ip", six, lead["ip"], 1), ("ip", six, plain, 1), ("ip", f"1{k % 3}:{10 + k}:{20 + k}:{30 + k}", plain, 0), ("ip", f"0:{k}:1{k % 9}:5{k % 9}", odd, 0)]
+        tail = ":".join(f"{(k * 4099 + j * 7919) % 65536:x}" for j in range(1, 5))
+        out += [("ip", m, x, 1) for m in (f"2001:db8::{k + 1:x}", f"2a02:{k + 16:x}:9::{7 * k + 1:x}", f"fe80::{tail}") for x in (lead["ip"], plain)]
+        out += [("ip", m, x, 0) for m in (f"{k}::{k % 4 + 2}", f"::{k + 1}", f"{'abcdef'[k % 6]}dd::{'fedcba'[k % 6]}ace") for x in (plain, odd)]
     return out
 
 
@@ -187,7 +190,7 @@ CHECK = {
 def _score_sql(kind: str) -> str:
     """Margin of the trees over the struct f of features."""
     trees, _, _ = model()
-    names = [f"f.{n}" for n in ("email", "ip", "card", "phone", "digits", "length", "separators", "parens", "luhn", "pro", "against", "marked", "year")]
+    names = [f"f.{n}" for n in ("email", "ip", "card", "phone", "digits", "length", "separators", "parens", "luhn", "pro", "against", "marked", "year", "double")]
 
     def node(side: tuple[int, float, float, float]) -> str:
         j, cut, low, high = side
@@ -204,7 +207,7 @@ def _features_sql(kind: str) -> str:
         + f", 'digits', cast(length({digits}) as double), 'length', cast(char_length(x.m) as double), 'separators', cast(length(regexp_replace(x.m, '[^ ./\\\\-:]', '')) as double)"
         + f", 'parens', {flag(chr(99) + 'ontains(x.m, ' + chr(39) + '(' + chr(39) + ')')}, 'luhn', {flag(_luhn_sql('d').replace('length(d)', f'length({digits})').replace('substring(d,', f'substring({digits},'))}"
         + f", 'pro', {flag(f'x.b RLIKE {_quote(FOR[kind])}')}, 'against', {flag(f'x.b RLIKE {_quote(AGAINST)}')}"
-        + f", 'marked', {flag('x.m RLIKE ' + _quote(r'(?i)[(\[{](?:at|dot)[)\]}]'))}, 'year', {flag('x.m RLIKE ' + _quote('(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])'))})"
+        + f", 'marked', {flag('x.m RLIKE ' + _quote(r'(?i)[(\[{](?:at|dot)[)\]}]'))}, 'year', {flag('x.m RLIKE ' + _quote('(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])'))}, 'double', {flag('contains(x.m, ' + _quote('::') + ')')})"
     )
 
 

@@ -151,6 +151,13 @@ def test_pii(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_at_the_end_of_a_sentence_and_compressed_addresses(spark):
+    texts = ["call my phone (743) 555-3824.", "phone 0743 555 3824. Then", "call my phone (743) 555-3824; or", "client ip address 2001:db8::1.", "and then there was fe80::1ff:fe23:4567:890a, too", "from host 2a02:26:9::8", "take x[1::2] of std::abs and add::face", "ip 1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "(743) 555-3824.5"]
+    got = {r.doc_id: r.text for r in pii.redact(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(7)] == ["call my phone [PHONE].", "phone [PHONE]. Then", "call my phone [PHONE]; or", "client ip address [IP].", "and then there was [IP], too", "from host [IP]", texts[6]]
+    assert got[8] == "::ffff:[IP]"
+
+
 def test_quality_rules(spark):
     texts = [*corpus(), (90, "same line here\n" * 6 + "other"), (91, "a b c d e f g h " * 5), (92, "#*$ % & word | <x>")]
     rows = {(r.doc_id): r for r in quality_rules.judge(docs(spark, texts)).collect()}
