@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.config import FACE_QUALITY, MERGE_CAP
 from millrace.functions.scalar import NAMELESS
+from millrace.storage import Workspace
 
 #: Added to the threshold when clusters are merged, and its bound.
 MERGE_MARGIN, MERGE_BOUND = 0.04, 0.97
-#: Seeds are taken from so many usable faces at most, best quality first; all others are assigned to them in parallel.
+#: A round seeds from so many usable faces at most, best quality first; all others are compared with the clusters in
+#: parallel, and those that reach none are seeded in the next rounds.
 SEED_FACES = 200_000
 
 
@@ -22,12 +24,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.where(norm < 1e-8, x, x / np.maximum(norm, 1e-8))
 
 
-def seed_and_merge(vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def seed_and_merge(vectors: np.ndarray, threshold: float, sums: np.ndarray | None = None, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy seeding in the given order (ties go to the later centroid), then one merge pass over centroids that see
-    each other's updates. Returns the cluster of each vector, compacted, and the unit centroids."""
-    n, d = vectors.shape if len(vectors) else (0, 0)
-    sums, cents, of = np.zeros((64, d)), np.zeros((64, d)), np.empty(n, np.int64)
-    k = 0
+    each other's updates. ``sums`` and ``earlier`` are the vector sums and the assignments of earlier rounds. Returns the
+    cluster of each vector, earlier ones first, compacted, the unit centroids and the sums."""
+    d = vectors.shape[1] if len(vectors) else 0
+    k = 0 if sums is None else len(sums)
+    sums = np.zeros((64, d)) if sums is None else np.vstack([sums, np.zeros((64, d))])
+    cents, of = unit(sums), np.empty(len(vectors), np.int64)
     for i, v in enumerate(vectors):
         best = -1
         if k:
@@ -54,13 +58,11 @@ def seed_and_merge(vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, n
                     sums[a] += sums[b]
                     cents[a] = unit(sums[a])
                     live[b], into[into == b] = False, a
-    of = into[of] if n else of
-    _, first, compact = np.unique(of, return_index=True, return_inverse=True)
-    rank = np.argsort(np.argsort(first))
-    of = rank[compact] if n else of
-    out = np.zeros((len(first), d))
-    np.add.at(out, of, vectors)
-    return of, unit(out)
+    of = into[of if earlier is None else np.concatenate([earlier, of])]
+    kept, first, compact = np.unique(of, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    sums = sums[kept[order]]
+    return np.argsort(order)[compact], unit(sums), sums
 
 
 def usable(faces: DataFrame, quality: float = FACE_QUALITY) -> DataFrame:
@@ -69,7 +71,7 @@ def usable(faces: DataFrame, quality: float = FACE_QUALITY) -> DataFrame:
 
 def nearest(vectors: DataFrame, centroids: np.ndarray, vec_col: str = "embedding") -> DataFrame:
     """Adds ``near`` and ``cosine``: the best centroid (the later of equal ones). The centroids go along with the task;
-    their number is bounded by the seeding sample."""
+    their number is that of the identities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
@@ -102,16 +104,27 @@ def majority_person(assigned: DataFrame) -> DataFrame:
     return counts.groupBy("clusterId").agg(F.max_by("personId", F.struct("n", -F.col("personId"))).alias("person"))
 
 
-def cluster(faces: DataFrame, threshold: float, seed_faces: int = SEED_FACES) -> DataFrame:
-    """``faceId, clusterId, personId``. Seeds and merges come from the best usable faces on the driver (a bounded, ordered
-    sample); settling, pins, names and parking are joins and a parallel pass over every face."""
-    top = usable(faces).orderBy(F.col("quality").desc(), "faceId").select("faceId", "embedding").limit(seed_faces).collect()
-    dim = len(top[0].embedding) if top else 0
-    same = [r for r in top if len(r.embedding) == dim]
-    seeded, centroids = seed_and_merge(np.array([r.embedding for r in same], float).reshape(len(same), dim), threshold)
+def cluster(faces: DataFrame, threshold: float, seed_faces: int = SEED_FACES, ws: Workspace | None = None) -> DataFrame:
+    """``faceId, clusterId, personId``. Seeds and merges come from the best usable faces on the driver, in rounds of
+    bounded, ordered samples until every usable face has joined or founded a cluster; settling, pins, names and parking
+    are joins and a parallel pass over every face."""
     spark = faces.sparkSession
-    start = spark.createDataFrame([(r.faceId, int(c)) for r, c in zip(same, seeded, strict=True)], "seedFace bigint, seeded int")
+    ws = ws or Workspace(spark, "people")
+    best_first = lambda df: df.orderBy(F.col("quality").desc(), "faceId").select("faceId", "embedding").limit(seed_faces).collect()
+    top = best_first(usable(faces))
+    dim = len(top[0].embedding) if top else 0
     good = usable(faces).where(F.size("embedding") == dim)
+    ids, seeded, sums, centroids = [], None, None, np.zeros((0, dim))
+    while top:
+        same = [r for r in top if len(r.embedding) == dim]
+        seeded, centroids, sums = seed_and_merge(np.array([r.embedding for r in same], float).reshape(len(same), dim), threshold, sums, seeded)
+        ids += [r.faceId for r in same]
+        if len(ids) == len(same) and len(top) < seed_faces:
+            break  # all usable faces were seeded at once
+        tried = spark.createDataFrame([(k,) for k in ids], "faceId bigint")
+        far = nearest(good.select("faceId", "quality", "embedding"), centroids).where(F.col("cosine") < threshold)
+        top = best_first(ws.save(far.drop("near", "cosine").join(tried, "faceId", "left_anti"), "open"))
+    start = spark.createDataFrame([(k, int(c)) for k, c in zip(ids, seeded if ids else [], strict=True)], "seedFace bigint, seeded int")
     settled = nearest(good.select("faceId", "embedding"), centroids).select("faceId", "near", "cosine")
     joined = faces.join(settled.withColumnRenamed("faceId", "_f"), F.col("faceId") == F.col("_f"), "left").join(start, F.col("faceId") == F.col("seedFace"), "left")
     place = F.when(F.col("_f").isNotNull() & (F.col("cosine") >= threshold), F.col("near")).otherwise(F.coalesce("seeded", F.lit(-1)))

@@ -161,6 +161,16 @@ def test_clusters_pins_names(spark):
     assert P.cluster(faces(spark, rows).limit(0), 0.62).count() == 0
 
 
+def test_faces_beyond_the_first_seeds_found_clusters(spark):
+    rng = np.random.default_rng(9)
+    ids = [v / np.linalg.norm(v) for v in rng.uniform(-0.5, 0.5, (6, 192))]
+    rows = faces(spark, [(8 * k + j, 0.9 - 0.05 * k, jitter(rng, b, 0.12), -1, k + 1, False) for k, b in enumerate(ids) for j in range(8)])
+    for seeds in (200_000, 48, 10, 8, 3):
+        got = {r.faceId: r for r in P.cluster(rows, 0.62, seeds).collect()}
+        assert [[got[8 * k + j].clusterId for j in range(8)] for k in range(6)] == [[k] * 8 for k in range(6)], seeds
+        assert all(got[8 * k + j].personId == k + 1 for k in range(6) for j in range(8))
+
+
 def test_snapshot_merge(spark):
     old = frame(spark, photo(1, sha="A"), photo(2, sha="B"), photo(3, sha="C"))
     new = frame(spark, photo(1, bucket="New"), photo(2, size=5), photo(4))
