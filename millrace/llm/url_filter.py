@@ -68,14 +68,21 @@ def _wildcards(templates: DataFrame, level: int, ws: Workspace) -> DataFrame:
 
 
 def _merged(templates: DataFrame, level: int, ws: Workspace) -> DataFrame:
-    """Children of a node whose subtree shapes, in quarters of their rows, and label rates agree get one name."""
+    """Children of a node whose subtree shapes, in quarters of their rows, and label rates agree get one name. A branch
+    without labels goes with labelled ones of its shape where these agree; a shape of wildcards alone says too little."""
     keyed = templates.where(F.size("t") > level).withColumn("node", _prefix(level)).withColumn("seg", F.get("t", F.lit(level)))
     below = keyed.groupBy("host", "node", "seg", F.array_join(F.slice("t", level + 2, 1000), "/").alias("rest")).agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
     total = below.groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"), F.array_sort(F.collect_list(F.struct("rest", "n"))).alias("parts"))
     state = F.when(F.col("l") == 0, F.lit("none")).otherwise(F.round(4 * (F.col("b") + SMOOTHING / 2) / (F.col("l") + SMOOTHING)).cast("string"))
     quarters = F.transform("parts", lambda p: F.struct(p["rest"].alias("rest"), F.round(4 * p["n"] / F.col("n")).cast("int").alias("q")))
-    kind = F.sha2(F.concat_ws("|", state, F.to_json(F.filter(quarters, lambda p: p["q"] > 0))), 256)
-    branches = ws.save(total.select("host", "node", "seg", kind.alias("kind")), f"branches{level}")
+    form = F.sha2(F.to_json(F.filter(quarters, lambda p: p["q"] > 0)), 256)
+    telling = F.exists("parts", lambda p: p["rest"].rlike("[^*/]"))
+    shaped = ws.save(total.select("host", "node", "seg", state.alias("state"), form.alias("form"), telling.alias("telling")), f"forms{level}")
+    known = shaped.where("state <> 'none' and telling").groupBy(F.col("host").alias("h"), F.col("node").alias("nd"), F.col("form").alias("fm")).agg(F.min("state").alias("low"), F.max("state").alias("high"))
+    known = ws.save(known.where("low = high"), f"known{level}")
+    taken = F.when((F.col("state") == "none") & F.col("telling"), F.coalesce("low", "state")).otherwise(F.col("state"))
+    alike = shaped.join(known, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd")) & (F.col("form") == F.col("fm")), "left")
+    branches = ws.save(alike.select("host", "node", "seg", F.concat_ws("|", taken, "form").alias("kind")), f"branches{level}")
     names = ws.save(branches.groupBy(F.col("host").alias("h"), F.col("node").alias("nd"), F.col("kind").alias("kd")).agg(F.min("seg").alias("least"), F.count("*").alias("k")), f"names{level}")
     renamed = branches.join(names, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd")) & (F.col("kind") == F.col("kd"))).where("k > 1")
     renamed = ws.save(renamed.select(F.col("host").alias("h"), F.col("node").alias("nd"), F.col("seg").alias("sg"), F.concat(F.lit("~"), "least").alias("name")), f"renamed{level}")

@@ -214,6 +214,18 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_tree_blocks_what_is_built_like_blocked_branches(spark):
+    shop = lambda host, top: [f"http://{host}/{top}/{x}/{k}" for x in ("cart", "item") for k in range(8)]
+    urls = [*shop("a.net", "es"), *shop("a.net", "fr"), *shop("a.net", "sv"), *[f"http://a.net/blog/{k}" for k in range(9)]]
+    urls += [*shop("b.org", "sv"), *[f"http://c.net/{x}/{k}" for x in ("es", "en") for k in range(9)]]
+    urls += [*shop("www.example.com", "en"), *shop("www.example.com", "zz")]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id bigint, url string")
+    got = {urls[r.page_id]: r for r in url_filter.judge(df).collect()}
+    assert all(got[u].verdict == "block" and got[u].rule is None for u in shop("a.net", "sv"))
+    others = [u for u in urls if got[u].rule is None and u not in shop("a.net", "sv")]
+    assert len(others) == 9 + 16 + 9 and all(got[u].verdict == "allow" for u in others)
+
+
 def test_quote_links(spark):
     rows = [(1, 0, "u", "How do I reset the password of my account?"), (1, 1, "a", "Go to settings and choose reset.\n\nThen confirm the mail."), (1, 2, "u", "> Go to settings and choose reset.\nI see no settings there."), (1, 3, "u", "> > How do I reset the  PASSWORD of my account?\n> Go to settings and choose reset.\n>\n> Then confirm the mail.\nDone."), (1, 4, "a", "> I see no settings there.\nThey are top right."), (2, 0, "u", ">Then confirm the mail.\nWhat mail?"), (2, 1, "u", None), (None, 1, "u", "> x"), (2, 1, "u", None)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id bigint, turn bigint, role string, text string, hash string")
