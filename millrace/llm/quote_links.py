@@ -1,9 +1,9 @@
 """Chat formatting by quotation linking (operator 4), in DataFrame functions alone.
 
 Lines are parsed into nested quote levels (leading ``>`` marks, blanks between them allowed). Runs of one level are
-passages; they are normalised (case, white space) and hashed, and so are the messages' own lines, runs and whole texts.
+passages; they are normalised (case, white space) and hashed, and so are the messages' own sentences, lines, runs and whole texts.
 A quoted passage is joined to the earliest earlier message of its conversation that said it, else to the earliest
-message anywhere that did; the shallowest linked passage names the message that is answered. Following the answers gives
+message of another conversation that did; the shallowest linked passage names the message that is answered. Following the answers gives
 each message its place in the reply order, and its text is kept without quotes.
 
 Every join is on a hash (of conversation and passage), and messages are never gathered by conversation, so a
@@ -51,13 +51,15 @@ def own_text(text: Column) -> Column:
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """``conv, turn, level, whole, hash``: level 0 rows are what a message said, others what it quoted. Only whole runs
-    and single lines of two or more lines are hashed."""
+    """``conv, turn, level, whole, hash``: level 0 rows are what a message said, others what it quoted. Whole texts, whole
+    runs, single lines and the sentences of runs are hashed."""
     parsed = messages.withColumn("parsed", lines(F.col("text"))).withColumn("runs", runs("parsed"))
     by_line = F.transform("parsed", lambda x: F.struct(x["level"].alias("level"), F.lit(0).alias("whole"), normalised(x["body"]).alias("body")))
     by_run = F.transform("runs", lambda x: F.struct(x["level"].alias("level"), F.lit(1).alias("whole"), normalised(x["body"]).alias("body")))
+    sentences = lambda x: F.split(normalised(x["body"]), r"(?<=[.!?])\s")
+    by_sentence = F.flatten(F.transform("runs", lambda x: F.transform(sentences(x), lambda s: F.struct(x["level"].alias("level"), F.lit(0).alias("whole"), s.alias("body")))))
     full = F.array(F.struct(F.lit(0).alias("level"), F.lit(1).alias("whole"), normalised(own_text(F.col("text"))).alias("body")))
-    out = parsed.select("conv", "turn", F.explode(F.array_distinct(F.concat(full, by_run, by_line))).alias("p"))
+    out = parsed.select("conv", "turn", F.explode(F.array_distinct(F.concat(full, by_run, by_line, by_sentence))).alias("p"))
     return out.where(F.length("p.body") >= LEAST).select("conv", "turn", "p.level", "p.whole", F.xxhash64("p.body").alias("hash"))
 
 
@@ -70,10 +72,15 @@ def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     quoted = ws.save(passages.where("level > 0"), "quoted")
     said = passages.where("level = 0").join(quoted.select(F.col("hash").alias("q")).distinct(), F.col("hash") == F.col("q"), "left_semi")
     here = ws.save(said.groupBy(F.col("conv").alias("c"), F.col("hash").alias("h")).agg(F.min("turn").alias("said_turn")), "here")
-    anywhere = ws.save(said.groupBy(F.col("hash").alias("h2")).agg(F.min(F.struct("conv", "turn")).alias("first")), "anywhere")
+    # the two smallest conversations of a passage, as the quoting one may be the first
+    sayer = F.min(F.struct(F.col("c").alias("conv"), F.col("said_turn").alias("turn")))
+    first = ws.save(here.groupBy(F.col("h").alias("h2")).agg(sayer.alias("first")), "first")
+    second = here.join(first, F.col("h") == F.col("h2")).where(F.col("c") != F.col("first.conv")).groupBy(F.col("h").alias("h3")).agg(sayer.alias("second"))
+    anywhere = ws.save(first.join(second, F.col("h2") == F.col("h3"), "left").select("h2", "first", "second"), "anywhere")
     found = quoted.join(here, (F.col("conv") == F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("said_turn") < F.col("turn")), "left").join(anywhere, F.col("hash") == F.col("h2"), "left")
-    other = (F.col("first.conv") != F.col("conv")) & F.col("said_turn").isNull()
-    target = F.when(F.col("said_turn").isNotNull(), F.struct(F.lit(0).alias("far"), F.col("conv").alias("pc"), F.col("said_turn").alias("pt"))).when(other, F.struct(F.lit(1).alias("far"), F.col("first.conv").alias("pc"), F.col("first.turn").alias("pt")))
+    elsewhere = F.when(F.col("first.conv") != F.col("conv"), F.col("first")).otherwise(F.col("second"))
+    other = elsewhere.isNotNull() & F.col("said_turn").isNull()
+    target = F.when(F.col("said_turn").isNotNull(), F.struct(F.lit(0).alias("far"), F.col("conv").alias("pc"), F.col("said_turn").alias("pt"))).when(other, F.struct(F.lit(1).alias("far"), elsewhere["conv"].alias("pc"), elsewhere["turn"].alias("pt")))
     linked = found.withColumn("target", target).where("target is not null")
     # within the conversation first, then the shallowest level, whole passages before single lines, the latest message
     best = F.min_by("target", F.struct(F.col("target.far"), "level", -F.col("whole"), -F.col("target.pt"), F.col("target.pc")))

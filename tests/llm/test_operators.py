@@ -237,5 +237,12 @@ def test_quote_links(spark):
     assert quote_links.reply_order(df.limit(0)).count() == 0
 
 
+def test_quotes_of_sentences_and_of_later_sayers(spark):
+    rows = [(1, 0, "u", "> The moon is made of cheese\nIs it?"), (1, 1, "a", "The moon is made of cheese"), (2, 3, "u", "The moon is made of cheese")]
+    rows += [(5, 0, "u", "Open the side door first. Then turn the left\nhandle twice. Wait a minute."), (5, 1, "a", "> Then turn the\n> left handle twice.\nWhich one?"), (5, 2, "u", "> Open the side door first.\nDone."), (6, 0, "u", "> Never said by anybody here.\nNo.")]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in quote_links.reply_order(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got[1, 0] == (2, 3) and got[5, 1] == got[5, 2] == (5, 0) and got[6, 0] == (None, None)
+
+
 def test_hash_of_no_span():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
