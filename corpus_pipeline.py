@@ -26,16 +26,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, labels).where(F.col("quality_score") >= REJECT).select(*docs.columns)
 
 
+def _one_each(docs: DataFrame, key: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """One row of each group of near copies, the one with the smallest key, once; and the keys of several rows."""
+    found = ws.save(jaccard_components(docs, id_col=key, width=WIDTH, percent=PERCENT, workspace=ws).select(key, "component_id"), "components")
+    gone = ws.save(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), "gone")
+    twice = ws.save(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
+    if not twice.limit(1).count():
+        return kept, twice
+    return kept.join(twice, key, "left_anti").select(*docs.columns).unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]).select(*docs.columns)), twice
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest id, once. Rows with a null id are kept."""
+    """Keep one document of each group: the one with the smallest id, once. Rows with a null id are kept. Where rows of
+    one id have different texts, ids with the text's hash take the place of ids."""
     ws = Workspace(ship(spark), "near-copies")
-    found = ws.save(jaccard_components(docs, width=WIDTH, percent=PERCENT, workspace=ws).select("doc_id", "component_id"), "components")
-    gone = ws.save(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    twice = ws.save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept, twice = _one_each(docs, "doc_id", ws)
     if not twice.limit(1).count():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    texts = docs.join(twice, "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("h")).distinct()
+    if not texts.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return kept
+    order = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
+    keyed = docs.withColumn("_key", F.concat(order, F.coalesce(F.sha2("text", 256), F.lit(""))))
+    return _one_each(keyed, "_key", ws)[0].select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
