@@ -1,30 +1,47 @@
 """URL filters (operator 2): allow and block rules, and a path-template tree for what no rule fits.
 
-Per host, segments that look variable (numbers, hexadecimal, dates, names with digits) become wildcards; so do rare
-segments below a node with many children. Branches of a node whose subtrees and labels are distributed alike are merged.
-Rules label the URLs that they fit; a template is rejected when its smoothed share of blocked labels is high enough.
+Per host, segments that look variable (numbers, hexadecimal, dates, names with digits) become wildcards that keep a
+file's extension; so do rare segments below a node with many children. Then, level by level, sibling branches are merged
+that statistics can't tell apart: a G-test finds no difference between the distributions of what lies below them, or the
+difference is small in itself, and where both have labels a G-test finds none between their label rates either.
 
-All counts are pre-aggregated by host and template, so a host with a third of all pages is no larger than others.
+The rules label the URLs that they fit. A template's purity is its share of blocked labels, smoothed towards that of
+the same template over all hosts of the domain, and that one towards the share of all labels. A template is rejected
+when domain and host gave it enough labels and its purity is high enough, so an unruled URL is blocked where it belongs
+to a template whose ruled URLs are blocked.
+
+All counts are pre-aggregated by host and template, so a host with a third of all pages is no larger than others. A
+merge compares at most CHILDREN or 1 / RARE siblings, each with a histogram of BINS counts.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and is allowed; ports and user names stay part of
-the host; an empty path fits no rule; repeated rows and repeated URLs count each; an empty table gives an empty result;
-only id and URL are read.
+the host; an empty path fits no rule; segments deeper than DEPTH share one wildcard, however many there are; null ids are
+carried; repeated rows and repeated URLs count each; an empty table gives an empty result; only id and URL are read.
 """
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.storage import Workspace
+from millrace.storage import Workspace, scratch
 
 #: Fixed values: (verdict, host, path) of each rule.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Segments that are kept apart (deeper ones share one wildcard), children from which rare segments are wildcards, their
-#: largest share, pseudo-labels of the smoothing, least labels and least purity of a rejected template.
-DEPTH, CHILDREN, RARE, SMOOTHING, LEAST_LABELS, PURITY = 8, 24, 0.02, 4.0, 5, 0.8
+#: largest share, bins of a branch's histogram.
+DEPTH, CHILDREN, RARE, BINS = 8, 24, 0.02, 32
+#: Merging: normal quantile of the tests (1 % of equal branches are kept apart), rows that either branch needs for the
+#: test of shapes, Jensen-Shannon divergence (bits) that is small in itself.
+QUANTILE, LEAST_ROWS, SMALL = 2.326, 8, 0.02
+#: Pseudo-labels of the smoothing, least labels and least purity of a rejected template, host labels that name a domain.
+SMOOTHING, LEAST_LABELS, PURITY, DOMAIN = 4.0, 5, 0.8, 2
 VARIABLE = r"^(?:[0-9][0-9._,-]*|[0-9A-Fa-f]{8,}|[0-9A-Fa-f]{8}-[0-9A-Fa-f-]{27}|(?=[^/]*[0-9][^/]*[0-9][^/]*[0-9])[A-Za-z0-9_~%=+.-]+)$"
+EXTENSION = r"[^.]\.([A-Za-z]{2,5})$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+#: Keys of a branch.
+AT = ["host", "node", "seg"]
 
 def host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
@@ -46,49 +63,105 @@ def fitting_rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Col
 def shape(path_: Column, depth: int = DEPTH) -> Column:
     """Segments of a path with the variable ones as wildcards; what lies deeper than ``depth`` is one more wildcard."""
     segments = F.filter(F.split(path_, "/"), lambda s: s != "")
-    general = F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
+    ending = lambda s: F.when(s.rlike(EXTENSION), F.concat(F.lit("*."), F.lower(F.regexp_extract(s, EXTENSION, 1)))).otherwise("*")
+    general = F.transform(segments, lambda s: F.when(s.rlike(VARIABLE), ending(s)).otherwise(s))
     return F.when(F.size(general) > depth, F.concat(F.slice(general, 1, depth), F.array(F.lit("**")))).otherwise(general)
 
 
-def _prefix(level: int) -> Column:
-    """Key of the node that holds segment ``level`` (from 0) of ``t``."""
-    return F.array_join(F.slice("t", 1, level), "/") if level else F.lit("")
+def domain(host_: Column) -> Column:
+    return F.substring_index(host_, ".", -DOMAIN)
+
+
+def _at(templates: DataFrame, level: int) -> DataFrame:
+    """Adds the node above segment ``level`` (from 0) of ``t``, and the segment, null where ``t`` is shorter."""
+    node = F.array_join(F.slice("t", 1, level), "/") if level else F.lit("")
+    return templates.withColumn("node", node).withColumn("seg", F.get("t", F.lit(level)))
+
+
+def _renamed(keyed: DataFrame, names: DataFrame, level: int) -> DataFrame:
+    """Puts ``name`` in the place of segment ``level`` where ``names`` (host, node, seg, name) has one."""
+    changed = F.when(F.col("name").isNotNull(), F.concat(F.slice("t", 1, level), F.array("name"), F.slice("t", level + 2, DEPTH + 1))).otherwise(F.col("t"))
+    return keyed.join(names, AT, "left").select("host", "leaf", changed.alias("t"), "n", "blocked", "labelled")
 
 
 def _wildcards(templates: DataFrame, level: int, ws: Workspace) -> DataFrame:
     """Rare segments of nodes with many children become wildcards at this level."""
-    keyed = templates.where(F.size("t") > level).withColumn("node", _prefix(level)).withColumn("seg", F.get("t", F.lit(level)))
-    counts = ws.save(keyed.groupBy("host", "node", "seg").agg(F.sum("n").alias("c")), f"children{level}")
-    nodes = ws.save(counts.groupBy(F.col("host").alias("h"), F.col("node").alias("nd")).agg(F.count("*").alias("k"), F.sum("c").alias("all")), f"nodes{level}")
-    rare = counts.join(nodes, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd"))).where((F.col("k") >= CHILDREN) & (F.col("c") < RARE * F.col("all")) & (F.col("seg") != "*"))
-    rare = ws.save(rare.select(F.col("host").alias("h"), F.col("node").alias("nd"), F.col("seg").alias("sg")), f"rare{level}")
-    joined = templates.withColumn("node", _prefix(level)).withColumn("seg", F.get("t", F.lit(level))).join(rare, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd")) & (F.col("seg") == F.col("sg")), "left")
-    changed = F.when(F.col("sg").isNotNull(), F.concat(F.slice("t", 1, level), F.array(F.lit("*")), F.slice("t", level + 2, 1000))).otherwise(F.col("t"))
-    return ws.save(joined.select("host", "leaf", changed.alias("t"), "n", "blocked", "labelled"), f"wild{level}")
+    keyed = _at(templates, level)
+    counts = ws.save(keyed.where("seg is not null").groupBy(*AT).agg(F.sum("n").alias("c")), f"children{level}")
+    nodes = counts.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("c").alias("all"))
+    rare = counts.join(nodes, ["host", "node"]).where((F.col("k") >= CHILDREN) & (F.col("c") < RARE * F.col("all")) & (F.col("seg") != "*"))
+    return ws.save(_renamed(keyed, rare.select(*AT, F.lit("*").alias("name")), level), f"wild{level}")
+
+
+def critical(df: int, z: float = QUANTILE) -> float:
+    """Upper quantile of the chi-squared distribution (Wilson and Hilferty's approximation)."""
+    return df * (1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))) ** 3
+
+
+def divergence(p: list[float], q: list[float]) -> tuple[float, int]:
+    """G statistic of two rows of counts, and its degrees of freedom."""
+    a, b = sum(p), sum(q)
+    g, cells = 0.0, 0
+    for x, y in zip(p, q, strict=True):
+        if x + y:
+            cells += 1
+            g += sum(2 * v * math.log(v * (a + b) / (t * (x + y))) for v, t in ((x, a), (y, b)) if v)
+    return max(0.0, g), max(1, cells - 1)
+
+
+def alike(p: dict, q: dict) -> bool:
+    """Whether two branches (n, b, l and the histogram) are to be one."""
+    g, df = divergence(p["hist"], q["hist"])
+    a, b = p["n"], q["n"]
+    if not (min(a, b) >= LEAST_ROWS and g <= critical(df)):
+        # the divergence of the two distributions, each with half the weight
+        even = divergence([x / a for x in p["hist"]], [y / b for y in q["hist"]])[0] / (4 * math.log(2))
+        if even > SMALL:
+            return False
+    if not p["l"] or not q["l"]:
+        return True
+    return divergence([p["b"], p["l"] - p["b"]], [q["b"], q["l"] - q["b"]])[0] <= critical(1)
+
+
+def merged_names(branches: list[dict]) -> dict[str, str]:
+    """New names of a node's branches: in order of size, each joins the first cluster that it is like, else starts one."""
+    clusters: list[tuple[dict, list[str]]] = []
+    for x in sorted(branches, key=lambda x: (-x["n"], x["seg"])):
+        for total, segs in clusters:
+            if alike(total, x):
+                segs.append(x["seg"])
+                for k in ("n", "b", "l"):
+                    total[k] += x[k]
+                total["hist"] = [u + v for u, v in zip(total["hist"], x["hist"], strict=True)]
+                break
+        else:
+            clusters.append(({k: x[k] for k in ("n", "b", "l", "hist")}, [x["seg"]]))
+    return {seg: "~" + min(segs) for _, segs in clusters if len(segs) > 1 for seg in segs}
 
 
 def _merged(templates: DataFrame, level: int, ws: Workspace) -> DataFrame:
-    """Children of a node whose subtree shapes, in quarters of their rows, and label rates agree get one name. A branch
-    without labels goes with labelled ones of its shape where these agree; a shape of wildcards alone says too little."""
-    keyed = templates.where(F.size("t") > level).withColumn("node", _prefix(level)).withColumn("seg", F.get("t", F.lit(level)))
-    below = keyed.groupBy("host", "node", "seg", F.array_join(F.slice("t", level + 2, 1000), "/").alias("rest")).agg(F.sum("n").alias("n"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    total = below.groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"), F.array_sort(F.collect_list(F.struct("rest", "n"))).alias("parts"))
-    state = F.when(F.col("l") == 0, F.lit("none")).otherwise(F.round(4 * (F.col("b") + SMOOTHING / 2) / (F.col("l") + SMOOTHING)).cast("string"))
-    quarters = F.transform("parts", lambda p: F.struct(p["rest"].alias("rest"), F.round(4 * p["n"] / F.col("n")).cast("int").alias("q")))
-    form = F.sha2(F.to_json(F.filter(quarters, lambda p: p["q"] > 0)), 256)
-    telling = F.exists("parts", lambda p: p["rest"].rlike("[^*/]"))
-    shaped = ws.save(total.select("host", "node", "seg", state.alias("state"), form.alias("form"), telling.alias("telling")), f"forms{level}")
-    known = shaped.where("state <> 'none' and telling").groupBy(F.col("host").alias("h"), F.col("node").alias("nd"), F.col("form").alias("fm")).agg(F.min("state").alias("low"), F.max("state").alias("high"))
-    known = ws.save(known.where("low = high"), f"known{level}")
-    taken = F.when((F.col("state") == "none") & F.col("telling"), F.coalesce("low", "state")).otherwise(F.col("state"))
-    alike = shaped.join(known, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd")) & (F.col("form") == F.col("fm")), "left")
-    branches = ws.save(alike.select("host", "node", "seg", F.concat_ws("|", taken, "form").alias("kind")), f"branches{level}")
-    names = ws.save(branches.groupBy(F.col("host").alias("h"), F.col("node").alias("nd"), F.col("kind").alias("kd")).agg(F.min("seg").alias("least"), F.count("*").alias("k")), f"names{level}")
-    renamed = branches.join(names, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd")) & (F.col("kind") == F.col("kd"))).where("k > 1")
-    renamed = ws.save(renamed.select(F.col("host").alias("h"), F.col("node").alias("nd"), F.col("seg").alias("sg"), F.concat(F.lit("~"), "least").alias("name")), f"renamed{level}")
-    joined = templates.withColumn("node", _prefix(level)).withColumn("seg", F.get("t", F.lit(level))).join(renamed, (F.col("host") == F.col("h")) & (F.col("node") == F.col("nd")) & (F.col("seg") == F.col("sg")), "left")
-    changed = F.when(F.col("name").isNotNull(), F.concat(F.slice("t", 1, level), F.array("name"), F.slice("t", level + 2, 1000))).otherwise(F.col("t"))
-    return ws.save(joined.select("host", "leaf", changed.alias("t"), "n", "blocked", "labelled"), f"merged{level}")
+    """Branches of a node that ``alike`` holds for get one name, the least of theirs after a tilde."""
+
+    @F.pandas_udf("array<struct<seg:string,name:string>>")
+    def names(groups: pd.Series) -> pd.Series:
+        out = []
+        for group in groups:
+            branches = []
+            for x in group:
+                hist = [0.0] * BINS
+                for cell in x["cells"]:
+                    hist[cell["bin"]] = float(cell["c"])
+                branches.append({"seg": x["seg"], "n": x["n"], "b": x["b"], "l": x["l"], "hist": hist})
+            out.append([{"seg": k, "name": v} for k, v in merged_names(branches).items()])
+        return pd.Series(out)
+
+    keyed = _at(templates, level)
+    below = F.pmod(F.xxhash64(F.array_join(F.slice("t", level + 2, DEPTH + 1), "/")), F.lit(BINS)).cast("int")
+    cells = keyed.where("seg is not null").groupBy(*AT, below.alias("bin")).agg(F.sum("n").alias("c"), F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    branches = cells.groupBy(*AT).agg(F.sum("c").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"), F.collect_list(F.struct("bin", "c")).alias("cells"))
+    nodes = branches.groupBy("host", "node").agg(F.collect_list(F.struct("seg", "n", "b", "l", "cells")).alias("group")).where("size(group) > 1")
+    found = nodes.select("host", "node", F.explode(names("group")).alias("x")).select("host", "node", "x.seg", "x.name")
+    return ws.save(_renamed(keyed, ws.save(found, f"names{level}"), level), f"merged{level}")
 
 
 def templates(urls: DataFrame, ws: Workspace) -> DataFrame:
@@ -98,30 +171,33 @@ def templates(urls: DataFrame, ws: Workspace) -> DataFrame:
     start = urls.groupBy("host", leaf.alias("leaf")).agg(F.count("*").alias("n"), F.sum(F.coalesce("label", F.lit(0))).cast("double").alias("blocked"), F.count("label").cast("double").alias("labelled"))
     now = ws.save(start.withColumn("t", F.when(F.col("leaf") == "", F.array().cast("array<string>")).otherwise(F.split("leaf", "/"))), "shapes")
     deepest = now.agg(F.max(F.size("t"))).first()[0] or 0
-    for level in range(deepest):
-        now = _wildcards(now, level, ws)
-    for level in range(deepest):
-        now = _merged(now, level, ws)
-    now = now.withColumn("template", F.array_join("t", "/"))
+    for step in (_wildcards, _merged):
+        for level in range(deepest):
+            now = step(now, level, ws)
+    now = now.withColumn("template", F.array_join("t", "/")).withColumn("form", F.array_join(F.transform("t", lambda s: F.when(s.startswith("~"), "~").otherwise(s)), "/"))
     every = now.agg(F.sum("blocked"), F.sum("labelled")).first()
     prior = ((every[0] or 0.0) + 1) / ((every[1] or 0.0) + 2)
-    sums = ws.save(now.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")), "sums")
-    purity = (F.col("b") + SMOOTHING * prior) / (F.col("l") + SMOOTHING)
-    judged = ws.save(sums.select(F.col("host").alias("h"), F.col("template").alias("tp"), purity.alias("purity"), ((F.col("l") >= LEAST_LABELS) & (purity >= PURITY)).alias("rejected")), "judged")
-    return ws.save(now.join(judged, (F.col("host") == F.col("h")) & (F.col("template") == F.col("tp"))).select("host", "leaf", "template", "purity", "rejected"), "templates")
+    smoothed = lambda b, n, towards: (F.col(b) + SMOOTHING * towards) / (F.col(n) + SMOOTHING)
+    own = now.withColumn("domain", domain(F.col("host"))).groupBy("host", "domain", "template", "form").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+    own = ws.save(own, "sums")
+    wide = own.groupBy("domain", "form").agg(F.sum("b").alias("db"), F.sum("l").alias("dl"))
+    purity = smoothed("b", "l", smoothed("db", "dl", F.lit(prior)))
+    judged = own.join(wide, ["domain", "form"]).select("host", "template", purity.alias("purity"), ((F.col("dl") >= LEAST_LABELS) & (purity >= PURITY)).alias("rejected"))
+    return ws.save(now.join(judged, ["host", "template"]).select("host", "leaf", "template", "purity", "rejected"), "templates")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, workspace: Workspace | None = None) -> DataFrame:
     """``id, host, path, rule, verdict, template, purity`` for every row."""
-    ws = workspace or Workspace(pages.sparkSession, "urls")
-    parsed = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    ws = scratch(pages.sparkSession, "urls", workspace)
+    parsed = pages.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     ruled = ws.save(parsed.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("leaf", F.array_join(shape(F.col("path")), "/")), "ruled")
     label = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
-    tree = templates(ruled.select("host", "path", label.alias("label")), ws).select(F.col("host").alias("h"), F.col("leaf").alias("lf"), "template", "purity", "rejected")
-    joined = ruled.join(tree, (F.col("host") == F.col("h")) & (F.col("leaf") == F.col("lf")), "left")
+    tree = templates(ruled.select("host", "path", label.alias("label")), ws)
+    ws.keep(ruled, tree)
     by_tree = F.when(F.col("rejected") & (F.col("host") != ""), F.lit("block")).otherwise(F.lit("allow"))
-    return joined.select(id_col, "host", "path", "rule", F.coalesce("by_rule", by_tree).alias("verdict"), "template", "purity")
+    joined = ruled.join(tree, ["host", "leaf"], "left")
+    return joined.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_tree).alias("verdict"), "template", "purity")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
