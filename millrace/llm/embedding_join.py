@@ -2,8 +2,10 @@
 
 Unit vectors are rotated onto their principal dimensions, ordered by grid cells of side epsilon on the leading ones, and
 cut into sequence intervals. Pairs of intervals are refined level by level, and a pair whose bounding boxes are further
-apart than epsilon is skipped with all that it holds; the same recursion goes on inside a pair of blocks. Surviving
-blocks are compared by a matrix product, and every cosine near the threshold is decided in double precision.
+apart than epsilon is skipped with all that it holds; the same recursion goes on inside a pair of blocks. A box spans the
+leading dimensions and the length of what lies beyond them, which bounds the distance as well. Surviving blocks are
+compared by a matrix product, and every cosine near the threshold is decided in double precision. The pairs are dealt out
+in tiles of up to TILE by TILE blocks, so a block travels once for each tile and not once for each pair.
 
 Exactly equal vectors are joined once and counted by multiplicity. A task returns counts and a spanning forest, never
 its pairs, so large groups of near copies stay linear in size.
@@ -22,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.operators.components import connected_components
-from millrace.storage import Workspace
+from millrace.storage import Workspace, scratch
 
 #: Link from this cosine on.
 THRESHOLD = 0.95
-#: Vectors that fit the rotation at most (it only orders and prunes), grid dimensions, dimensions of a bounding box.
-FIT_VECTORS, GRID_DIMS, BOX_DIMS = 4096, 8, 16
-#: Bytes of vectors in a block, children of an interval, rows of the smallest interval inside a block.
-BLOCK_BYTES, FAN_OUT, LEAF = 1 << 20, 8, 512
-#: Single-precision cosines this near the threshold are computed again in double precision.
-DOUBT = 2e-5
+#: Vectors that fit the rotation at most (it only orders and prunes), grid dimensions, dimensions of a bounding box (one
+#: more holds the length of the rest).
+FIT_VECTORS, GRID_DIMS, BOX_DIMS = 4096, 8, 32
+#: Bytes of vectors in a block, children of an interval, rows of the smallest interval inside a block, blocks on either
+#: side of a tile at most.
+BLOCK_BYTES, FAN_OUT, LEAF, TILE = 1 << 20, 8, 512, 16
+#: Single-precision cosines this near the threshold are computed again in double precision: at least, and by dimension.
+DOUBT, DOUBT_BY_DIM = 2e-5, 2.5e-7
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -47,12 +51,16 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column(1):
-                x = np.array(v.values.to_numpy(zero_copy_only=False) if v.is_valid else [], dtype=kind) + kind(0)
-                good = len(x) and np.isfinite(x).all() and x.any() and not (v.values.null_count)
-                out.append(x.tobytes() if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "v"])
+            lists = batch.column(1)
+            at = np.asarray(lists.offsets).astype(np.int64)
+            x = lists.values.to_numpy(zero_copy_only=False).astype(kind, copy=False) + kind(0)  # nulls are not finite, -0 is 0
+            odd = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+            some = np.concatenate([[0], np.cumsum(x != 0)])
+            good = (odd[at[1:]] == odd[at[:-1]]) & (some[at[1:]] > some[at[:-1]]) & np.asarray(lists.is_valid())
+            bits = pa.py_buffer(np.packbits(good, bitorder="little").tobytes())
+            ends = pa.py_buffer((at * x.itemsize).astype(np.int64).tobytes())
+            raw = pa.Array.from_buffers(pa.large_binary(), len(good), [bits, ends, pa.py_buffer(x.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary())], names=["id", "v"])
 
     made = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, f"id {id_type}, v binary")
     return made.select("id", F.when(F.col("v").isNotNull(), F.unhex(F.sha2("v", 256))).alias("key"), "v")
@@ -72,6 +80,15 @@ def _axes(axes: dict[int, np.ndarray], d: int) -> np.ndarray:
     return axes[d] if d in axes else np.eye(d)[:, :BOX_DIMS]
 
 
+def _coordinates(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Box coordinates of unit vectors: along the axes, padded by zeros, and the length of what lies beyond them."""
+    z = unit @ axes
+    out = np.zeros((len(unit), BOX_DIMS + 1))
+    out[:, : z.shape[1]] = z
+    out[:, BOX_DIMS] = np.sqrt(np.maximum(0.0, 1.0 - (z * z).sum(1)))
+    return out
+
+
 def _grid(reps: DataFrame, axes: dict[int, np.ndarray], kind: type, epsilon: float) -> DataFrame:
     """Adds the length, the grid cell and the position on the first axis."""
 
@@ -102,20 +119,19 @@ def _blocks(numbered: DataFrame, axes: dict[int, np.ndarray], kind: type, rows_p
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         dims, raw = np.asarray(table["dim"]), table["v"].to_pylist()
-        y = np.zeros((len(raw), BOX_DIMS))
+        y = np.zeros((len(raw), BOX_DIMS + 1))
         for d in np.unique(dims):
             rows = np.flatnonzero(dims == d)
-            z = _unit(np.array([np.frombuffer(raw[k], kind) for k in rows])) @ _axes(axes, int(d))
-            y[rows, : z.shape[1]] = z
+            y[rows] = _coordinates(_unit(np.array([np.frombuffer(raw[k], kind) for k in rows])), _axes(axes, int(d)))
         cols = {
             "block": pa.array([table["block"][0].as_py()]), "pos": pa.array([np.asarray(table["pos"]).tobytes()]), "copies": pa.array([np.asarray(table["copies"]).tobytes()]),
-            "dims": pa.array([dims.astype(np.int32).tobytes()]), "v": pa.array([b"".join(raw)]), "y": pa.array([y.astype(np.float32).tobytes()]),
+            "dims": pa.array([dims.astype(np.int32).tobytes()]), "v": pa.array([b"".join(raw)]),
             "lo": pa.array([y.min(0).tolist()]), "hi": pa.array([y.max(0).tolist()]),
         }
         return pa.table(cols)
 
     keyed = numbered.select(F.floor(F.col("pos") / rows_per_block).cast("bigint").alias("block"), "pos", "copies", "dim", "v")
-    return keyed.groupBy("block").applyInArrow(build, "block bigint, pos binary, copies binary, dims binary, v binary, y binary, lo array<double>, hi array<double>")
+    return keyed.groupBy("block").applyInArrow(build, "block bigint, pos binary, copies binary, dims binary, v binary, lo array<double>, hi array<double>")
 
 
 def _near(epsilon: float):
@@ -137,7 +153,7 @@ def interval_pairs(boxes: DataFrame, n_blocks: int, epsilon: float, ws: Workspac
     children = F.sequence(F.lit(0), F.lit(FAN_OUT - 1))
     for level in range(levels - 1, -1, -1):
         width = FAN_OUT**level
-        dims = range(BOX_DIMS)
+        dims = range(BOX_DIMS + 1)
         box = boxes.groupBy(F.floor(F.col("block") / width).cast("bigint").alias("of")).agg(
             F.array(*[F.min(F.col("lo")[k]) for k in dims]).alias("lo"), F.array(*[F.max(F.col("hi")[k]) for k in dims]).alias("hi")
         )
@@ -172,21 +188,19 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return edges
 
 
-def compare_blocks(a: dict, b: dict, same: bool, threshold: float, kind: type) -> tuple[dict[int, int], list[tuple[int, int]]]:
+def compare_blocks(a: dict, b: dict, same: bool, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Links of two blocks: for each position the number of vectors linked on the other side, and a spanning forest."""
     epsilon = np.sqrt(2 - 2 * threshold) + 1e-4
     counts: dict[int, int] = {}
     edges: list[tuple[int, int]] = []
     for d in np.intersect1d(a["dims"], b["dims"]).tolist():
         pick = [np.flatnonzero(x["dims"] == d) for x in (a, b)]
-        raw = [x["vectors"][d] for x in (a, b)]
-        y = [x["y"][k] for x, k in zip((a, b), pick, strict=True)]
+        unit, single, y = ([x[of][d] for x in (a, b)] for of in ("unit", "single", "y"))
+        doubt = max(DOUBT, DOUBT_BY_DIM * d)
         pos = [x["pos"][k] for x, k in zip((a, b), pick, strict=True)]
         copies = [x["copies"][k].astype(np.float64) for x, k in zip((a, b), pick, strict=True)]
-        unit = [_unit(r) for r in raw]
-        single = [u.astype(np.float32) for u in unit]
-        linked = np.zeros((len(raw[0]), len(raw[1])), bool)
-        todo = [(0, len(raw[0]), 0, len(raw[1]))]
+        linked = np.zeros((len(unit[0]), len(unit[1])), bool)
+        todo = [(0, len(unit[0]), 0, len(unit[1]))]
         while todo:
             i, j, k, m = todo.pop()
             if same and m <= i:
@@ -202,7 +216,7 @@ def compare_blocks(a: dict, b: dict, same: bool, threshold: float, kind: type) -
                 continue
             cosine = single[0][i:j] @ single[1][k:m].T
             hit = cosine >= threshold
-            r, c = np.nonzero(np.abs(cosine - np.float32(threshold)) < DOUBT)
+            r, c = np.nonzero(np.abs(cosine - np.float32(threshold)) < doubt)
             if len(r):
                 hit[r, c] = np.einsum("ij,ij->i", unit[0][i:j][r], unit[1][k:m][c]) >= threshold
             linked[i:j, k:m] = hit
@@ -220,19 +234,23 @@ def compare_blocks(a: dict, b: dict, same: bool, threshold: float, kind: type) -
     return counts, edges
 
 
-def _block(side: str, row: dict, kind: type) -> dict:
-    dims = np.frombuffer(row[f"dims_{side}"], np.int32)
-    values, vectors = np.frombuffer(row[f"v_{side}"], kind), {}
+def _block(row: dict, axes: dict[int, np.ndarray], kind: type) -> dict:
+    """A block ready to be compared: by dimension its unit vectors in both precisions and their box coordinates."""
+    dims = np.frombuffer(row["dims"], np.int32)
+    values, unit = np.frombuffer(row["v"], kind), {}
     starts = np.concatenate([[0], np.cumsum(dims)[:-1]]) if len(dims) else dims
     for d in np.unique(dims).tolist():
         rows = np.flatnonzero(dims == d)
-        vectors[d] = values.reshape(-1, d) if len(rows) == len(dims) else np.array([values[starts[k] : starts[k] + d] for k in rows])
-    return {"dims": dims, "vectors": vectors, "pos": np.frombuffer(row[f"pos_{side}"], np.int64), "copies": np.frombuffer(row[f"copies_{side}"], np.int64), "y": np.frombuffer(row[f"y_{side}"], np.float32).reshape(len(dims), BOX_DIMS)}
+        unit[d] = _unit(values.reshape(-1, d) if len(rows) == len(dims) else np.array([values[starts[k] : starts[k] + d] for k in rows]))
+    return {
+        "dims": dims, "unit": unit, "single": {d: u.astype(np.float32) for d, u in unit.items()}, "y": {d: _coordinates(u, _axes(axes, d)) for d, u in unit.items()},
+        "pos": np.frombuffer(row["pos"], np.int64), "copies": np.frombuffer(row["copies"], np.int64),
+    }
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, workspace: Workspace | None = None) -> DataFrame:
     """``id, n_links, component_id, kept`` for every vector; see the module for the method and its edge cases."""
-    ws = workspace or Workspace(vectors.sparkSession, "embedding-join")
+    ws = scratch(vectors.sparkSession, "embedding-join", workspace)
     kind = np.float32 if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else np.float64
     epsilon = float(np.sqrt(2 - 2 * threshold)) + 1e-6
     valid = ws.save(_valid(vectors, id_col, vec_col), "valid")
@@ -249,30 +267,44 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         ordered = ws.save(ordered.withColumn("mark", mark).select("key", "copies", "v", "dim", F.shiftright("mark", 33).alias("part"), F.col("mark").bitwiseAND((1 << 33) - 1).alias("row")), "ordered")
         numbered = ws.save(_number(ordered, ws), "numbered")
         blocks = ws.save(_blocks(numbered, axes, kind, per_block), "blocks")
-        pairs = interval_pairs(blocks.select("block", "lo", "hi"), -(-size.n // per_block), epsilon, ws)
-        found = ws.save(_compare(pairs, blocks, threshold, kind), "found")
+        n_blocks = -(-size.n // per_block)
+        pairs = interval_pairs(blocks.select("block", "lo", "hi"), n_blocks, epsilon, ws)
+        width = tile_width(n_blocks, vectors.sparkSession.sparkContext.defaultParallelism)
+        found = ws.save(_compare(pairs, blocks, width, axes, threshold, kind), "found")
     return _labelled(valid, reps, numbered if found is not None else None, found, id_col, ws)
 
 
-def _compare(pairs: DataFrame, blocks: DataFrame, threshold: float, kind: type) -> DataFrame:
-    """Both blocks of every pair meet in a task; rows come back as (node, links, root)."""
-    held = ["pos", "copies", "dims", "v", "y"]
-    wanted = pairs.withColumn("pair", F.xxhash64("a", "b")).select("pair", "a", "b", F.explode(F.expr("if(a = b, array(a), array(a, b))")).alias("block"))
-    sent = wanted.join(blocks.select("block", *held), "block")
+def tile_width(n_blocks: int, tasks: int) -> int:
+    """Blocks on a side of a tile: as many as leave each task about two tiles, up to TILE."""
+    return max(1, min(TILE, int(n_blocks / np.sqrt(4 * max(1, tasks)))))
 
-    def meet(table: pa.Table) -> pa.Table:
-        rows = {r["block"]: r for r in table.to_pylist()}
-        first = next(iter(rows.values()))
-        a, b = (rows[first[x]] for x in "ab")
-        left = _block("x", {f"{k}_x": v for k, v in a.items()}, kind)
-        right = left if first["a"] == first["b"] else _block("x", {f"{k}_x": v for k, v in b.items()}, kind)
-        counts, edges = compare_blocks(left, right, first["a"] == first["b"], threshold, kind)
-        return pa.table({
-            "node": pa.array([*counts, *[x for x, _ in edges]], pa.int64()), "links": pa.array([*counts.values(), *[0] * len(edges)], pa.int64()),
-            "root": pa.array([*[None] * len(counts), *[x for _, x in edges]], pa.int64()),
-        })
 
-    return sent.groupBy("pair").applyInArrow(meet, "node bigint, links bigint, root bigint")
+def _compare(pairs: DataFrame, blocks: DataFrame, width: int, axes: dict[int, np.ndarray], threshold: float, kind: type) -> DataFrame:
+    """All blocks that a tile's pairs need meet in a task; rows come back as (node, links, root). The pairs of a tile, at
+    most TILE squared, travel with each of its blocks."""
+    tile = lambda c: F.floor(F.col(c) / width)
+    tiles = pairs.groupBy(tile("a").alias("ta"), tile("b").alias("tb")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("todo"))
+    needed = F.array_distinct(F.flatten(F.transform("todo", lambda p: F.array(p["a"], p["b"]))))
+    sent = tiles.select("ta", "tb", "todo", F.explode(needed).alias("block")).join(blocks.select("block", "pos", "copies", "dims", "v"), "block")
+
+    def meet(table: pa.Table) -> pa.Table:
+        todo = table["todo"][0].as_py()
+        raw = {r["block"]: r for r in table.drop_columns(["todo"]).to_pylist()}
+        ready: dict[int, dict] = {}
+        node, links, root = [], [], []
+        for k, pair in enumerate(todo):
+            for x in (pair["a"], pair["b"]):
+                if x not in ready:
+                    ready[x] = _block(raw[x], axes, kind)
+            counts, edges = compare_blocks(ready[pair["a"]], ready[pair["b"]], pair["a"] == pair["b"], threshold)
+            node += [*counts, *[x for x, _ in edges]]
+            links += [*counts.values(), *[0] * len(edges)]
+            root += [*[None] * len(counts), *[x for _, x in edges]]
+            if k + 1 < len(todo) and todo[k + 1]["a"] != pair["a"]:
+                ready.pop(pair["a"], None)  # pairs come in order of a
+        return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
+
+    return sent.groupBy("ta", "tb").applyInArrow(meet, "node bigint, links bigint, root bigint")
 
 
 def _labelled(valid: DataFrame, reps: DataFrame, numbered: DataFrame | None, found: DataFrame | None, id_col: str, ws: Workspace) -> DataFrame:
@@ -286,6 +318,7 @@ def _labelled(valid: DataFrame, reps: DataFrame, numbered: DataFrame | None, fou
     nodes = ws.save(nodes.join(components, "node", "left").join(links, "node", "left").select("key", "least_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "nodes")
     least = ws.save(nodes.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     answers = ws.save(nodes.join(least, "component").select(F.col("key").alias("of"), (F.col("links") + F.col("copies") - 1).alias("links"), "component_id"), "answers")
+    ws.keep(valid, answers)
     joined = valid.select("id", "key").join(answers, F.col("key") == F.col("of"), "left")
     label = F.coalesce("component_id", own)
     return joined.select(own.alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), label.alias("component_id"), F.coalesce(own == label, F.lit(True)).alias("kept"))
