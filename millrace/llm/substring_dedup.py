@@ -1,5 +1,9 @@
 """Suffix-array dedup by bucket-pointer refinement (operator 10), on a sparse set of suffixes.
 
+The dealt method sorts all suffixes; here only suffixes that a content rule selects are bucketed, and a bucket's pointer is
+named by its content (two 64-bit hashes) in place of its rank, so that tasks agree on it without a global sort. README
+states why.
+
 Every ``LENGTH``-byte string selects one position inside it, the least of its q-gram hashes, so equal strings select
 alike and only about one position in 35 becomes a suffix of the index. The suffixes are put into buckets by their
 q-gram. A bucket is refined first by the bucket pointer of its whole surroundings (all that the strings which selected
@@ -7,13 +11,15 @@ it can see): suffixes alike in it are copies throughout, the earliest stays and
 Buckets that still hold two kinds or more are refined by the pointers at each later offset, which are built
 from the pointers of half the length again and again, until each string of ``LENGTH`` bytes has a bucket of its own.
 
-Only refinements that a filter of fixed size asks for carry text. Buckets of very many kinds are dealt out string by
-string. Each task first settles what it can on its own, so no bucket brings more rows to a task than there are tasks
-and kinds.
+Only refinements that a filter of fixed size asks for carry text, and their strings are compared byte by byte with the
+earliest of their bucket. Buckets of very many kinds are dealt out string by string, under 128 bits of hash. Each task
+first settles what it can on its own and carries kinds that it met twice over its rounds, so a hot bucket brings about
+one row of each kind and task to the task that settles it.
 
 Edge cases: a null text is empty; a text under ``LENGTH`` bytes loses nothing; a null id comes before all others; rows
-with the same id and text are one document, rows with the same id and other text are ordered by start; an empty table
-gives an empty result; only id and text are read.
+with the same id and text are one document, rows with the same id and other text are ordered by start, then by a hash of
+the text; texts over PIECE bytes are indexed in pieces that overlap by a string; an empty table gives an empty result;
+only id and text are read.
 """
 
 from __future__ import annotations
@@ -26,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.text import encoded, mix, slices
-from millrace.storage import Workspace
+from millrace.storage import Workspace, scratch
 
 #: Length of a repeated string, q-gram of the first buckets, bits of a filter, kinds from which a bucket is dealt out
 #: by string, bytes of text that a task settles at once, bytes that are indexed at once, and of a piece of an overlong
-#: text.
-LENGTH, Q, FILTER_BITS, MANY, ROUND_BYTES, SLICE, PIECE = 100, 32, 1 << 26, 4096, 16 << 20, 1 << 20, 4 << 20
+#: text; repeated kinds that a task carries from round to round at most.
+LENGTH, Q, FILTER_BITS, MANY, ROUND_BYTES, SLICE, PIECE, CARRIED = 100, 32, 1 << 26, 4096, 16 << 20, 1 << 20, 4 << 20, 50_000
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 _INDEX = np.uint64((1 << 26) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+_BYTE2 = mix(np.arange(1001, 1257, dtype=np.uint64)) | np.uint64(1)
 _NULL_ID = -(1 << 63)
 
 
@@ -48,9 +55,9 @@ def _doubled(h: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def string_pointers(data: np.ndarray) -> np.ndarray:
+def string_pointers(data: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     """Pointers of all LENGTH-byte strings: from the binary parts of LENGTH."""
-    base, at, out = _BYTE[data], 0, None
+    base, at, out = table[data], 0, None
     for k in range(LENGTH.bit_length() - 1, -1, -1):
         if LENGTH >> k & 1:
             part = _doubled(base, 1 << k)[at : at + max(0, len(data) - LENGTH + 1)]
@@ -59,13 +66,13 @@ def string_pointers(data: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def _powers(n: int, cache: dict[str, np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if len(cache.get("up", ())) < n:
-        c = (int(_C) * 2 + 1) % (1 << 64) | 1
+def _powers(n: int, which: int, cache: dict[tuple[str, int], np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Powers of the first or second odd number and of its inverse, modulo 2**64."""
+    if len(cache.get(("up", which), ())) < n:
+        c = (int(_C) * 2 + 1 + which * 0x632BE59BD9B4E018) % (1 << 64) | 1
         for name, x in (("up", c), ("down", pow(c, -1, 1 << 64))):
-            cache[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20), np.uint64(x))]))
-    return cache["up"], cache["down"]
+            cache[name, which] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 20), np.uint64(x))]))
+    return cache["up", which], cache["down", which]
 
 
 def suffixes(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
@@ -74,7 +81,7 @@ def suffixes(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     n, width = len(data) - LENGTH + 1, LENGTH - Q + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return {"text": none, "at": none, "lo": none, "hi": none, "gram": none.view(np.uint64), "kind": none.view(np.uint64)}
+        return {"text": none, "at": none, "lo": none, "hi": none, "gram": none.view(np.uint64), "kind": none.view(np.uint64), "kind2": none.view(np.uint64)}
     gram = mix(_doubled(_BYTE[data], Q))
     key = (gram & ~_INDEX) | np.arange(len(gram), dtype=np.uint64)
     folded = np.concatenate([key, np.full(-len(key) % width, ~np.uint64(0))]).reshape(-1, width)
@@ -91,11 +98,13 @@ def suffixes(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(inside)) - 1
     lo, hi, at = inside[first], inside[last], chosen[first]
-    up, down = _powers(len(data) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)])])
-    seen = (sums[hi + LENGTH] - sums[lo]) * down[lo]
-    kind = mix(seen + mix((at - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64)))
-    return {"text": text[first], "at": at, "lo": lo, "hi": hi, "gram": gram[at], "kind": kind}
+    place = mix((at - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
+    kinds = []
+    for which, table in enumerate((_BYTE, _BYTE2)):
+        up, down = _powers(len(data) + 1, which)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(table[data] * up[: len(data)])])
+        kinds.append(mix((sums[hi + LENGTH] - sums[lo]) * down[lo] + place))
+    return {"text": text[first], "at": at, "lo": lo, "hi": hi, "gram": gram[at], "kind": kinds[0], "kind2": kinds[1]}
 
 
 def _pieces(doc: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,7 +120,7 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.fill_null(_NULL_ID))
 
 
-_COLUMNS = ["doc", "mark", "at", "lo", "hi", "gram", "kind"]
+_COLUMNS = ["doc", "mark", "at", "lo", "hi", "gram", "kind", "kind2"]
 
 
 def _found(batch: pa.RecordBatch, keep=None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -123,7 +132,7 @@ def _found(batch: pa.RecordBatch, keep=None) -> Iterator[tuple[dict[str, np.ndar
                 pick = np.flatnonzero(keep(s["gram"]))
                 s = {k: v[pick] for k, v in s.items()}
             shift = offset[s["text"]] - bounds[s["text"]] if len(s["text"]) else s["text"]
-            yield {"doc": doc[s["text"]], "mark": marks[s["text"]], "at": s["at"] + shift, "lo": s["lo"] + shift, "hi": s["hi"] + shift, "gram": s["gram"].view(np.int64), "kind": s["kind"].view(np.int64), "raw": s["lo"]}, data
+            yield {"doc": doc[s["text"]], "mark": marks[s["text"]], "at": s["at"] + shift, "lo": s["lo"] + shift, "hi": s["hi"] + shift, "gram": s["gram"].view(np.int64), "kind": s["kind"].view(np.int64), "kind2": s["kind2"].view(np.int64), "raw": s["lo"]}, data
 
 
 def _first_of_each(s: dict[str, np.ndarray], *keys: str) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +152,7 @@ def _first_of_each(s: dict[str, np.ndarray], *keys: str) -> tuple[np.ndarray, np
 def _settled(s: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Split into the earliest suffix of each kind and the others; rows equal to the earliest in id, text and
     position are dropped."""
-    order, first = _first_of_each(s, "gram", "kind")
+    order, first = _first_of_each(s, "gram", "kind", "kind2")
     leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
     twin = ~first & (s["doc"][order] == s["doc"][leader]) & (s["at"][order] == s["at"][leader]) & (s["mark"][order] == s["mark"][leader])
     pick = lambda rows: {k: v[rows] for k, v in s.items()}
@@ -166,41 +175,59 @@ def merged(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[first], mark[first], start[first], reach[last] - base[last]
 
 
-_ROW = "key bigint, kind bigint, doc bigint, mark bigint, at bigint, lo bigint, hi bigint, data binary"
+_ROW = "key bigint, kind bigint, kind2 bigint, doc bigint, mark bigint, at bigint, lo bigint, hi bigint, data binary"
 
 
-def _rows(key, kind, doc, mark, at, lo, hi, data=None) -> pa.RecordBatch:
+def _rows(key, kind, kind2, doc, mark, at, lo, hi, data=None) -> pa.RecordBatch:
     n = len(key)
-    cols = [pa.array(np.asarray(x, np.int64)) for x in (key, kind, doc, mark, at, lo, hi)]
-    return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())], names=["key", "kind", "doc", "mark", "at", "lo", "hi", "data"])
+    cols = [pa.array(np.asarray(x, np.int64)) for x in (key, kind, kind2, doc, mark, at, lo, hi)]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())], names=["key", "kind", "kind2", "doc", "mark", "at", "lo", "hi", "data"])
 
 
 def _span_rows(doc, mark, start, end) -> pa.RecordBatch:
     """Spans travel with at = -1 and a key of their own document."""
     doc, mark, start, end = merged(doc, mark, start, end)
-    return _rows(mix(doc.view(np.uint64) + mark.view(np.uint64)).view(np.int64), np.zeros(len(doc), np.int64), doc, mark, np.full(len(doc), -1), start, end)
+    zero = np.zeros(len(doc), np.int64)
+    return _rows(mix(doc.view(np.uint64) + mark.view(np.uint64)).view(np.int64), zero, zero, doc, mark, np.full(len(doc), -1), start, end)
 
 
 def _index(docs: DataFrame) -> DataFrame:
-    """First buckets: each task keeps the earliest suffix of each kind and turns the others into spans."""
+    """First buckets: each task keeps the earliest suffix of each kind and turns the others into spans. The kinds that a
+    round met most often, CARRIED at most, are carried to the next one and sent at the end."""
 
-    def settle(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def settle(held: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], np.ndarray, pa.RecordBatch]:
+        """What is kept, how often each of its kinds came again, and the spans of the others."""
         s = {k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}
         kept, others = _settled(s)
-        yield _rows(kept["gram"], kept["kind"], kept["doc"], kept["mark"], kept["at"], kept["lo"], kept["hi"])
-        yield _span_rows(others["doc"], others["mark"], others["lo"], others["hi"] + LENGTH)
+        kinds, times = np.unique(others["kind"], return_counts=True)
+        again = np.zeros(len(kept["kind"]), np.int64)
+        if len(kinds):
+            at = np.minimum(np.searchsorted(kinds, kept["kind"]), len(kinds) - 1)
+            again = np.where(kinds[at] == kept["kind"], times[at], 0)
+        return kept, again, _span_rows(others["doc"], others["mark"], others["lo"], others["hi"] + LENGTH)
+
+    def sent(s: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return _rows(s["gram"], s["kind"], s["kind2"], s["doc"], s["mark"], s["at"], s["lo"], s["hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, carried = [], 0, None
         for batch in batches:
             for s, data in _found(batch):
                 held.append({k: s[k] for k in _COLUMNS})
                 size += len(data)
                 if size >= ROUND_BYTES:
-                    yield from settle(held)
+                    kept, again, spans = settle([*held, *([carried] if carried else [])])
+                    stays = again > 0
+                    if stays.sum() > CARRIED:
+                        stays &= again > np.partition(again, -CARRIED)[-CARRIED]
+                    carried = {k: v[stays] for k, v in kept.items()}
+                    yield sent({k: v[~stays] for k, v in kept.items()})
+                    yield spans
                     held, size = [], 0
-        if held:
-            yield from settle(held)
+        if held or carried:
+            kept, _, spans = settle([*held, *([carried] if carried else [])])
+            yield sent(kept)
+            yield spans
 
     return docs.mapInArrow(run, _ROW)
 
@@ -239,7 +266,7 @@ def _refine_by_kind(indexed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches):
-            c = {k: np.asarray(table[k]) for k in ("key", "kind", "doc", "mark", "at", "lo", "hi")}
+            c = {k: np.asarray(table[k]) for k in ("key", "kind", "kind2", "doc", "mark", "at", "lo", "hi")}
             span = c["at"] < 0
             s = {k: v[~span] for k, v in c.items()}
             s["gram"] = s.pop("key")
@@ -282,12 +309,12 @@ def _surroundings(docs: DataFrame, mixed, many) -> DataFrame:
         cut = lambda rows: [held[f][1][a : a + n + LENGTH].tobytes() for f, a, n in zip(kept["from"][rows].tolist(), kept["raw"][rows].tolist(), (kept["hi"] - kept["lo"])[rows].tolist(), strict=True)]
         is_many = heavy(kept["gram"])
         few, lots = np.flatnonzero(~is_many), np.flatnonzero(is_many)
-        yield _rows(*[kept[k][few] for k in ("gram", "kind", "doc", "mark", "at", "lo", "hi")], cut(few))
+        yield _rows(*[kept[k][few] for k in ("gram", "kind", "kind2", "doc", "mark", "at", "lo", "hi")], cut(few))
         if len(lots):
-            w = _strings(cut(lots), {k: v[lots] for k, v in kept.items()})
-            order, first = _first_of_each(w, "pointer")
+            w = _strings(cut(lots), {k: v[lots] for k, v in kept.items()}, True)
+            order, first = _first_of_each(w, "pointer", "pointer2")
             one, rest = order[first], order[~first]
-            yield _rows(w["pointer"][one], np.zeros(len(one)), w["doc"][one], w["mark"][one], w["at"][one], w["at"][one], w["at"][one])
+            yield _rows(w["pointer"][one], w["pointer2"][one], np.zeros(len(one)), *[w[k][one] for k in ("doc", "mark", "at", "at", "at")])
             yield _span_rows(*[w[k][rest] for k in ("doc", "mark", "at")], w["at"][rest] + LENGTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,29 +333,54 @@ def _surroundings(docs: DataFrame, mixed, many) -> DataFrame:
     return docs.mapInArrow(run, _ROW)
 
 
-def _strings(surroundings: list[bytes], s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Every LENGTH-byte string of every surroundings: its pointer (with the offset of the bucket's q-gram in it, which
-    the content fixes), document and start."""
+def _strings(surroundings: list[bytes], s: dict[str, np.ndarray], twice: bool = False) -> dict[str, np.ndarray]:
+    """Every LENGTH-byte string of every surroundings: its pointer, document and start, and where it stands in the joined
+    surroundings (``byte``); with ``twice`` a second pointer."""
     sizes = np.array([len(x) - LENGTH + 1 for x in surroundings], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes + LENGTH - 1)])[:-1]
-    pointers = string_pointers(np.frombuffer(b"".join(surroundings), np.uint8))
+    data = np.frombuffer(b"".join(surroundings), np.uint8)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return {"pointer": pointers[bounds[owner] + step].view(np.int64), "doc": s["doc"][owner], "mark": s["mark"][owner], "at": s["lo"][owner] + step}
+    byte = bounds[owner] + step
+    second = string_pointers(data, _BYTE2)[byte].view(np.int64) if twice else np.zeros(len(byte), np.int64)
+    return {"pointer": string_pointers(data)[byte].view(np.int64), "pointer2": second, "doc": s["doc"][owner], "mark": s["mark"][owner], "at": s["lo"][owner] + step, "byte": byte}
+
+
+def _told_apart(w: dict[str, np.ndarray], order: np.ndarray, first: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same order and firsts, after each string that shares the pointer of an earlier one was compared with it byte by
+    byte: a string that differs gets a ``pointer2`` of its own bytes, and the order is made again."""
+    if not len(data):
+        return order, first
+    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    differ = []
+    for at in range(0, len(order), 1 << 16):  # some megabytes of strings at a time
+        mine, its = order[at : at + (1 << 16)], leader[at : at + (1 << 16)]
+        rest = np.flatnonzero((mine != its) & (w["byte"][mine] >= 0) & (w["byte"][its] >= 0))
+        differ.append(mine[rest[(view[w["byte"][mine[rest]]] != view[w["byte"][its[rest]]]).any(1)]])
+    differ = np.concatenate(differ)
+    if not len(differ):
+        return order, first
+    for k in np.flatnonzero(np.isin(w["pointer"], w["pointer"][differ]) & (w["byte"] >= 0)).tolist():
+        w["pointer2"][k] = int.from_bytes(hashlib.blake2b(view[w["byte"][k]].tobytes(), digest_size=8).digest(), "little", signed=True)
+    return _first_of_each(w, "pointer", "pointer2")
 
 
 def _refine_by_string(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches):
-            c = {k: np.asarray(table[k]) for k in ("key", "doc", "mark", "at", "lo", "hi")}
+            c = {k: np.asarray(table[k]) for k in ("key", "kind", "doc", "mark", "at", "lo", "hi")}
             data = table["data"].to_pylist()
             text = np.array([x is not None for x in data], bool)
             span, single = c["at"] < 0, (c["at"] >= 0) & ~text
-            parts = [{"pointer": c["key"][single], "doc": c["doc"][single], "mark": c["mark"][single], "at": c["at"][single]}]
-            if text.any():
-                parts.append(_strings([x for x in data if x is not None], {k: v[text] for k, v in c.items()}))
+            nowhere = np.full(int(single.sum()), -1, np.int64)
+            parts = [{"pointer": c["key"][single], "pointer2": c["kind"][single], "doc": c["doc"][single], "mark": c["mark"][single], "at": c["at"][single], "byte": nowhere}]
+            whole = [x for x in data if x is not None]
+            if whole:
+                parts.append(_strings(whole, {k: v[text] for k, v in c.items()}))
             w = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            order, first = _first_of_each(w, "pointer")
+            order, first = _first_of_each(w, "pointer", "pointer2")
+            order, first = _told_apart(w, order, first, np.frombuffer(b"".join(whole), np.uint8))
             leader = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
             twin = (w["doc"][order] == w["doc"][leader]) & (w["mark"][order] == w["mark"][leader]) & (w["at"][order] == w["at"][leader])
             later = order[~first & ~twin]
@@ -341,13 +393,14 @@ def _refine_by_string(found: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", workspace: Workspace | None = None) -> DataFrame:
     """``doc, mark, spans`` of documents that hold bytes of an earlier string; ``mark`` is the text's hash."""
     spark = docs.sparkSession
-    ws = workspace or Workspace(spark, "substrings")
+    ws = scratch(spark, "substrings", workspace)
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     first = ws.save(_refine_by_kind(_index(chosen)), "kinds")
     mixed = first.where("gram is not null")
     sc = spark.sparkContext
     wanted = _surroundings(chosen, sc.broadcast(_filter(mixed)), sc.broadcast(_filter(mixed.where(F.col("kinds") >= MANY))))
     second = ws.save(_refine_by_string(wanted), "strings")
+    ws.keep(first, second)
     spans = first.where("doc is not null").unionByName(second.where("doc is not null"))
     return spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
