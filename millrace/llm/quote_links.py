@@ -7,22 +7,24 @@ message of another conversation that did; the shallowest linked passage names th
 each message its place in the reply order, and its text is kept without quotes.
 
 Every join is on a hash (of conversation and passage), and messages are never gathered by conversation, so a
-conversation with a third of all messages is spread like any other.
-
-Edge cases: a null text is empty; a message without linked quote starts a thread of its own; passages under
-``LEAST`` characters link nothing; a message can't answer itself or a later turn of its conversation; repeated rows
-(same conversation and turn) share their links; null conversation ids or turns are kept and never linked; an empty table
-gives an empty result; only the four columns are read.
+conversation with a third of all messages is spread like any other. A reply path takes two or three characters for each
+message above, so the paths of one chain of n answers take some n * n characters in all.
+
+Edge cases: a null text is empty; a message without linked quote starts a thread of its own; blank passages link nothing,
+all others do, however short; a message can't answer itself or a later turn of its conversation; repeated rows (same
+conversation and turn) say and quote together and share their links; null conversation ids or turns are kept and never
+linked; turns may be negative or very large; an empty table gives an empty result; extra columns, whatever their names,
+are left out, as only the four columns are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.storage import Workspace
+from millrace.storage import Workspace, scratch
 
-#: Characters of a normalised passage that may link; the pattern of quote marks.
-LEAST, MARKS = 12, r"^[ \t]*(?:>[ \t]*)+"
+#: The pattern of quote marks.
+MARKS = r"^[ \t]*(?:>[ \t]*)+"
 
 
 def normalised(text: Column) -> Column:
@@ -51,8 +53,8 @@ def own_text(text: Column) -> Column:
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """``conv, turn, level, whole, hash``: level 0 rows are what a message said, others what it quoted. Whole texts, whole
-    runs, single lines and the sentences of runs are hashed."""
+    """``conv, turn, level, whole, size, hash``: level 0 rows are what a message said, others what it quoted. A message's
+    whole own text, its runs (``whole`` = 1), its lines and the sentences of its runs are hashed."""
     parsed = messages.withColumn("parsed", lines(F.col("text"))).withColumn("runs", runs("parsed"))
     by_line = F.transform("parsed", lambda x: F.struct(x["level"].alias("level"), F.lit(0).alias("whole"), normalised(x["body"]).alias("body")))
     by_run = F.transform("runs", lambda x: F.struct(x["level"].alias("level"), F.lit(1).alias("whole"), normalised(x["body"]).alias("body")))
@@ -60,7 +62,7 @@ def _passages(messages: DataFrame) -> DataFrame:
     by_sentence = F.flatten(F.transform("runs", lambda x: F.transform(sentences(x), lambda s: F.struct(x["level"].alias("level"), F.lit(0).alias("whole"), s.alias("body")))))
     full = F.array(F.struct(F.lit(0).alias("level"), F.lit(1).alias("whole"), normalised(own_text(F.col("text"))).alias("body")))
     out = parsed.select("conv", "turn", F.explode(F.array_distinct(F.concat(full, by_run, by_line, by_sentence))).alias("p"))
-    return out.where(F.length("p.body") >= LEAST).select("conv", "turn", "p.level", "p.whole", F.xxhash64("p.body").alias("hash"))
+    return out.where(F.length("p.body") > 0).select("conv", "turn", "p.level", "p.whole", F.length("p.body").alias("size"), F.unhex(F.md5(F.col("p.body").cast("binary"))).alias("hash"))
 
 
 def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", workspace: Workspace | None = None) -> DataFrame:
@@ -69,22 +71,34 @@ def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     messages = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text")).where("conv is not null and turn is not null")
     passages = ws.save(_passages(messages), "passages")
     # only hashes that somebody quotes are looked up
-    quoted = ws.save(passages.where("level > 0"), "quoted")
-    said = passages.where("level = 0").join(quoted.select(F.col("hash").alias("q")).distinct(), F.col("hash") == F.col("q"), "left_semi")
-    here = ws.save(said.groupBy(F.col("conv").alias("c"), F.col("hash").alias("h")).agg(F.min("turn").alias("said_turn")), "here")
+    quoted = passages.where("level > 0").distinct()
+    said = passages.where("level = 0").join(quoted.select("hash").distinct(), "hash", "left_semi")
+    here = ws.save(said.groupBy("conv", "hash").agg(F.min("turn").alias("said_turn")), "here")
     # the two smallest conversations of a passage, as the quoting one may be the first
-    sayer = F.min(F.struct(F.col("c").alias("conv"), F.col("said_turn").alias("turn")))
-    first = ws.save(here.groupBy(F.col("h").alias("h2")).agg(sayer.alias("first")), "first")
-    second = here.join(first, F.col("h") == F.col("h2")).where(F.col("c") != F.col("first.conv")).groupBy(F.col("h").alias("h3")).agg(sayer.alias("second"))
-    anywhere = ws.save(first.join(second, F.col("h2") == F.col("h3"), "left").select("h2", "first", "second"), "anywhere")
-    found = quoted.join(here, (F.col("conv") == F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("said_turn") < F.col("turn")), "left").join(anywhere, F.col("hash") == F.col("h2"), "left")
+    sayer = F.min(F.struct("conv", F.col("said_turn").alias("turn")))
+    first = ws.save(here.groupBy("hash").agg(sayer.alias("first")), "first")
+    second = here.join(first, "hash").where(F.col("conv") != F.col("first.conv")).groupBy("hash").agg(sayer.alias("second"))
+    anywhere = ws.save(first.join(second, "hash", "left"), "anywhere")
+    found = quoted.join(here.where("said_turn is not null"), ["conv", "hash"], "left").join(anywhere, "hash", "left")
+    near = F.coalesce(F.col("said_turn") < F.col("turn"), F.lit(False))
     elsewhere = F.when(F.col("first.conv") != F.col("conv"), F.col("first")).otherwise(F.col("second"))
-    other = elsewhere.isNotNull() & F.col("said_turn").isNull()
-    target = F.when(F.col("said_turn").isNotNull(), F.struct(F.lit(0).alias("far"), F.col("conv").alias("pc"), F.col("said_turn").alias("pt"))).when(other, F.struct(F.lit(1).alias("far"), elsewhere["conv"].alias("pc"), elsewhere["turn"].alias("pt")))
+    target = F.when(near, F.struct(F.lit(0).alias("far"), F.col("conv").alias("pc"), F.col("said_turn").alias("pt"))).when(elsewhere.isNotNull(), F.struct(F.lit(1).alias("far"), elsewhere["conv"].alias("pc"), elsewhere["turn"].alias("pt")))
     linked = found.withColumn("target", target).where("target is not null")
-    # within the conversation first, then the shallowest level, whole passages before single lines, the latest message
-    best = F.min_by("target", F.struct(F.col("target.far"), "level", -F.col("whole"), -F.col("target.pt"), F.col("target.pc")))
-    return ws.save(linked.groupBy("conv", "turn").agg(best.alias("t")).select("conv", "turn", F.col("t.pc").alias("parent_conv"), F.col("t.pt").alias("parent_turn")), "links")
+    # within the conversation first, then the shallowest level, whole passages, the longest one, the latest message
+    best = F.min_by("target", F.struct(F.col("target.far"), "level", -F.col("whole"), -F.col("size"), F.negative(F.col("target.pt").cast("decimal(20,0)")), F.col("target.pc")))
+    links = linked.groupBy("conv", "turn").agg(best.alias("t")).select("conv", "turn", F.col("t.pc").alias("parent_conv"), F.col("t.pt").alias("parent_turn"))
+    return ws.save(links, "links")
+
+
+def sortable(turn: Column) -> Column:
+    """A turn as text that sorts like the number and says where it ends: a letter for the length, then the digits, all in
+    reverse for negative ones."""
+    digits = F.regexp_replace(turn.cast("string"), "-", "")
+    n = F.length(digits)
+    mark = lambda first, step: F.element_at(F.array(*[F.lit(chr(first + step * k)) for k in range(19)]), n)
+    below = F.concat(mark(ord("Z"), -1), F.translate(digits, "0123456789", "9876543210"))
+    above = F.concat(mark(ord("a"), 1), digits)
+    return F.when(turn < 0, below).otherwise(above)
 
 
 def reply_order(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", workspace: Workspace | None = None) -> DataFrame:
@@ -94,23 +108,31 @@ def reply_order(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     Answers to other conversations are reported and don't move a message. The path to a thread's first message is
     found by doubling: each round joins every open path with the path of the message where it ends.
     """
-    ws = workspace or Workspace(conversations.sparkSession, "quotes")
-    links = link(conversations, conv_col, turn_col, text_col, ws)
-    pad = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
-    paths = ws.save(links.where("parent_conv = conv").select("conv", "turn", F.col("parent_turn").alias("end"), F.concat_ws("/", pad("parent_turn"), pad("turn")).alias("path"), F.lit(1).alias("depth")), "paths")
+    ws = scratch(conversations.sparkSession, "quotes", workspace)
+    rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    links = link(rows, "conv", "turn", "text", ws)
+    step = lambda c: sortable(F.col(c).cast("bigint"))
+    paths = ws.save(links.where("parent_conv = conv").select("conv", "turn", F.col("parent_turn").alias("end"), step("turn").alias("path"), F.lit(1).alias("depth")), "paths")
     while True:
-        upper = paths.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("end").alias("e2"), F.col("path").alias("p2"), F.col("depth").alias("d2"))
-        joined = ws.save(paths.join(upper, (F.col("conv") == F.col("c")) & (F.col("end") == F.col("t")), "left").select("conv", "turn", F.coalesce("e2", "end").alias("end"), F.when(F.col("e2").isNull(), F.col("path")).otherwise(F.concat("p2", F.expr("substring(path, 11)"))).alias("path"), F.when(F.col("e2").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("d2")).alias("depth"), F.col("e2").isNotNull().alias("moved")), "longer")
-        if not joined.where("moved").limit(1).count():
+        upper = paths.select("conv", F.col("turn").alias("end"), F.col("end").alias("e2"), F.col("path").alias("p2"), F.col("depth").alias("d2"))
+        moved = F.col("e2").isNotNull()
+        longer = paths.join(upper, ["conv", "end"], "left").select(
+            "conv", "turn", F.coalesce("e2", "end").alias("end"), F.when(moved, F.concat("p2", "path")).otherwise(F.col("path")).alias("path"),
+            F.when(moved, F.col("depth") + F.col("d2")).otherwise(F.col("depth")).alias("depth"), moved.alias("moved"),
+        )
+        longer = ws.save(longer, "longer")
+        ws.drop(paths)
+        paths = longer.drop("moved")
+        paths._millrace_path = longer._millrace_path
+        if not longer.where("moved").limit(1).count():
             break
-        paths = joined.drop("moved")
-    keys = ws.save(paths.select(F.col("conv").alias("c"), F.col("turn").alias("t"), "path", "depth", F.col("end").alias("root_turn")), "keys")
-    targets = links.withColumnRenamed("conv", "lc").withColumnRenamed("turn", "lt")
-    conv, turn = F.col(conv_col), F.col(turn_col)
-    joined = conversations.join(targets, (conv == F.col("lc")) & (turn == F.col("lt")), "left").join(keys, (conv == F.col("c")) & (turn == F.col("t")), "left")
+    ws.keep(links, longer)
+    keys = paths.select("conv", "turn", "depth", F.col("end").alias("root_turn"), F.concat(step("end"), "path").alias("key"))
+    joined = rows.join(links, ["conv", "turn"], "left").join(keys, ["conv", "turn"], "left")
     return joined.select(
-        conv, turn, F.col(role_col), "parent_conv", "parent_turn", F.coalesce("root_turn", turn).alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.coalesce("path", pad(turn_col)).alias("reply_key"), F.size(F.filter(lines(F.col(text_col)), lambda x: x["level"] > 0)).alias("quoted_lines"), own_text(F.col(text_col)).alias("text"),
+        F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "parent_conv", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"),
+        F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("key", step("turn")).alias("reply_key"),
+        F.size(F.filter(lines(F.col("text")), lambda x: x["level"] > 0)).alias("quoted_lines"), own_text(F.col("text")).alias("text"),
     )
 
 
