@@ -1,23 +1,25 @@
 """Mixing sources to target weights (operator 6).
 
 Tokens are aggregated per source, each source's repetition rate follows from its target, and a document is emitted
-floor(rate) times plus one hash-seeded Bernoulli copy whose probability is the fraction of the rate.
+floor(rate) times plus one hash-seeded Bernoulli copy whose probability is the fraction of the rate. The draws are
+independent, so what a source gives differs from its target as chance has it: by some percent where a source has
+hundreds of documents, by less the more it has.
 
 Edge cases: null or blank text has size 0; a null source is a source of its own and sorts last; a source without
-words has target 0 and rate 0; repeated rows are documents of their own that draw alike; an empty table gives an
-empty result; extra columns are carried by ``mix`` and never read.
+words has target 0 and rate 0; rows of one id draw alike, rows with a null id draw by their text; an empty table gives an
+empty result; extra columns, whatever their names, are carried by ``mix`` and never read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.storage import Workspace
+from millrace.storage import Workspace, scratch
 
 #: The weights that sources take in turn, the share of all words that the mix takes, the largest rate.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-#: Seeds tried per source; the one whose draw comes nearest to the target is used.
-TRIALS = 8
+#: Seed of the draws.
+SEED = 0
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -51,43 +53,42 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return level.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", shared)).alias("target"))
 
 
-def _draw(doc_id: Column, trial: int | Column) -> Column:
-    """Uniform in [0, 1) from 52 bits of a hash of seed and id."""
-    seed = F.lit(trial) if isinstance(trial, int) else trial
-    digest = F.md5(F.concat(seed.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def _draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """Uniform in [0, 1) from 52 bits of a hash of seed and id, or of seed and text where the id is null."""
+    own = F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", trials: int = TRIALS, workspace: Workspace | None = None) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, copies``. The joins carry no hints: a source table
-    of small measured size is broadcast, a large one is joined by a sort whose hot keys adaptive execution splits."""
-    ws = workspace or Workspace(docs.sparkSession, "mix")
-    sizes = ws.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    targets = ws.save(source_targets(sizes), "targets").withColumnRenamed("source", "of")
+def _copies(rate: str, draw: Column) -> Column:
+    return F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("bigint")
+
+
+def _rated(sizes: DataFrame) -> DataFrame:
+    """``of, source_size, target, rate``: one row per source."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    copies = lambda trial: F.floor("rate") + (_draw(F.col("doc_id"), trial) < F.col("rate") - F.floor("rate")).cast("bigint")
-    off = [F.abs(F.sum(F.col("size") * copies(k)) - F.max("target")).alias(f"off{k}") for k in range(trials)]
-    best = rated.groupBy("of").agg(*off)
-    least = F.least(*[F.col(f"off{k}") for k in range(trials)]) if trials > 1 else F.col("off0")
-    pick = F.coalesce(*[F.when(F.col(f"off{k}") == least, F.lit(k)) for k in range(trials)])
-    seeds = ws.save(best.select(F.col("of").alias("of2"), pick.alias("seed")), "seeds")
-    seeded = targets.join(seeds, F.col("of").eqNullSafe(F.col("of2"))).drop("of2")
-    return (
-        sizes.join(seeded, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("rate", rate)
-        .select("doc_id", "size", "source_size", "target", copies(F.col("seed")).cast("bigint").alias("copies"), "source", "seed")
-    )
+    return source_targets(sizes).select(F.col("source").alias("of"), "source_size", "target", rate.alias("rate"))
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, workspace: Workspace | None = None) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, copies, source``. The join carries no hint: a source
+    table of small measured size is broadcast, a large one is joined by a sort whose hot keys adaptive execution splits."""
+    ws = scratch(docs.sparkSession, "mix", workspace)
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _draw(F.col(id_col), F.col(text_col), seed).alias("draw"))
+    sizes = ws.save(sizes, "sizes")
+    rates = ws.save(_rated(sizes), "rates")
+    rated = sizes.join(rates, F.col("source").eqNullSafe(F.col("of")))
+    return rated.select("doc_id", "size", "source_size", "target", _copies("rate", F.col("draw")).cast("bigint").alias("copies"), "source")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", workspace: Workspace | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, workspace: Workspace | None = None) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as many times as the plan takes it; all columns are kept."""
-    ws = workspace or Workspace(docs.sparkSession, "mix")
-    seeds = plan_mix(docs, id_col, text_col, source_col, workspace=ws).groupBy("source").agg(F.max(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("mix_rate"), F.max("seed").alias("mix_seed"))
-    rates = ws.save(seeds.withColumnRenamed("source", "mix_of"), "rates")
-    copies = F.floor("mix_rate") + (_draw(F.col(id_col), F.col("mix_seed")) < F.col("mix_rate") - F.floor("mix_rate")).cast("bigint")
-    taken = docs.join(rates, F.col(source_col).eqNullSafe(F.col("mix_of"))).withColumn("mix_n", copies).where("mix_n > 0")
-    return taken.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy")).drop("mix_copy")
+    ws = scratch(docs.sparkSession, "mix", workspace)
+    rates = ws.save(_rated(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))), "rates")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(source_col).alias("source"), _draw(F.col(id_col), F.col(text_col), seed).alias("draw"))
+    taken = rows.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("n", _copies("rate", F.col("draw"))).where("n > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = rf"""
-WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH sizes AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS own, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 w AS (SELECT *, source_size * {MOST}::DOUBLE AS cap, list_extract([5.0, 2.0, 1.0]::DOUBLE[], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT) AS w FROM s),
 p AS (SELECT *, sum(source_size) OVER () * {SHARE}::DOUBLE AS total,
@@ -104,9 +105,6 @@ p AS (SELECT *, sum(source_size) OVER () * {SHARE}::DOUBLE AS total,
   sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM w),
 f AS (SELECT *, (total - before) * w > cap * after AS is_full FROM p),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, (total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) * w / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ()) END AS target FROM f),
-r AS (SELECT z.doc_id, z.size, t.*, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM sizes z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
-d AS (SELECT r.*, k.seed, floor(rate)::BIGINT + (('0x' || substr(md5(k.seed::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT AS copies FROM r, range({TRIALS}) k(seed)),
-o AS (SELECT source, seed, abs(sum(size * copies) - max(target)) AS off_by FROM d GROUP BY source, seed),
-b AS (SELECT source, arg_min(seed, (off_by, seed)) AS seed FROM o GROUP BY source)
-SELECT d.doc_id, d.size, d.source_size, d.target, d.size * d.copies AS taken FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.seed = b.seed
+r AS (SELECT z.doc_id, z.size, z.own, t.*, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM sizes z JOIN t ON z.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (('0x' || substr(md5('{SEED}:' || own), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) AS taken FROM r
 """
