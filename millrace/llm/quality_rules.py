@@ -9,10 +9,12 @@ farther off than long ones. A language's word limit is therefore taken from the
 that pass the base rules, by length (the median and the spread of the lower half, which junk does not reach), and a text
 must lie nearer to the reference than one without common words does. The fixed limit bounds both.
 
-Edge cases: a null text is empty and fails the base rules; a language without a reference (null, unknown, or none of
-its documents pass the base rules) is compared with every reference and takes the nearest under the fixed limits, as it
-has no distances of its own, and is kept where there is none; lengths with few documents take the limit of the next
-shorter length, which is wider; repeated rows are judged one by one; an empty table gives an empty result; only id, text and language are read.
+The references describe the corpus at hand: a language whose base-passing documents are mostly junk has a junk reference.
+
+Edge cases: a null text is empty and fails the base rules; a language without a reference (null, not among the lists, or
+none of its documents pass the base rules) is judged by the base rules alone and has null distances; lengths with few
+documents take the limit of the next shorter length, which is wider; repeated rows are judged one by one; an empty table
+gives an empty result; only id, text and language are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.text import IS_SPACE, encoded, flat, mix, per_text, slices
-from millrace.storage import Workspace
+from millrace.storage import Workspace, scratch
 
 #: The symbols that are counted, the window of repeated words, the base limits.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEATED = b"#*$%&|<>", 8, 20, 30
@@ -123,29 +125,69 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip((left + right) / 2, 0, 1)), 0)
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Summed histograms by language, over all documents; at most one vector for each of the fixed languages."""
-    n = N_CLASS + N_WORD
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_HISTOGRAM = N_CLASS + N_WORD
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(LANGS), n), np.int64)
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``id``, the counts, ``base_failed``, ``judged`` (long enough), ``own`` (number of the language, -1 where it has no
+    word list) and both histograms as bytes of 32-bit counts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 m = measure(encoded(part.column(1)))
-                both = np.hstack([m["classes"], m["words"]]) * ~base_failed(m)[:, None]
-                langs = np.array([LANGS.index(x) if x in COMMON else -1 for x in part.column(0).to_pylist()])
-                for k in range(len(LANGS)):
-                    sums[k] += both[langs == k].sum(0)
+                own = [LANGS.index(x) if x in COMMON else -1 for x in part.column(2).to_pylist()]
+                judged = (m["n_words"] >= JUDGE_WORDS) & (m["n_chars"] >= JUDGE_CHARS)
+                both = np.hstack([m["classes"], m["words"]]).astype("<u4")
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m[x]) for x in _COUNTS], pa.array(base_failed(m)), pa.array(judged), pa.array(own, pa.int32()), pa.array([r.tobytes() for r in both], pa.binary())], names=["id", *_COUNTS, "base_failed", "judged", "own", "histogram"])
+
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return chosen.mapInArrow(run, f"id {kind}, {', '.join(f'{x} bigint' for x in _COUNTS)}, base_failed boolean, judged boolean, own int, histogram binary")
+
+
+def _histograms(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, _HISTOGRAM).astype(np.int64)
+
+
+def references(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Summed histograms by language, over all base-passing documents; one vector at most for each of the languages."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(LANGS), _HISTOGRAM), np.int64)
+        for batch in batches:
+            own, both = np.asarray(batch.column(0)), _histograms(batch.column(1))
+            for k in np.unique(own):
+                sums[k] += both[own == k].sum(0)
         k, j = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(sums[k, j])], names=["k", "j", "n"])
 
-    out = {x: np.zeros(n) for x in LANGS}
-    chosen = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    for k, j, total in chosen.mapInArrow(partial, "k int, j int, n bigint").groupBy("k", "j").agg(F.sum("n")).collect():
+    out = {x: np.zeros(_HISTOGRAM) for x in LANGS}
+    passing = rows.where("own >= 0 and not base_failed").select("own", "histogram")
+    for k, j, total in passing.mapInArrow(partial, "k int, j int, n bigint").groupBy("k", "j").agg(F.sum("n")).collect():
         out[LANGS[k]][j] = total
     return {x: v for x, v in out.items() if v.sum()}
 
 
+def distances(rows: DataFrame, refs: dict[str, np.ndarray]) -> DataFrame:
+    """``rows`` with ``char_distance`` and ``word_distance`` (null without a reference) in place of the histograms."""
+    columns = [c for c in rows.columns if c != "histogram"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, both = np.asarray(batch.column("own")), _histograms(batch.column("histogram"))
+            far = np.full((2, len(own)), np.nan)
+            for lang, ref in refs.items():
+                mine = own == LANGS.index(lang)
+                far[0, mine] = js_distance(both[mine, :N_CLASS], ref[:N_CLASS])
+                far[1, mine] = js_distance(both[mine, N_CLASS:], ref[N_CLASS:])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *[pa.array(x, from_pandas=True) for x in far]], names=[*columns, "char_distance", "word_distance"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "histogram")
+    return rows.mapInArrow(run, f"{kinds}, char_distance double, word_distance double")
+
+
 def word_limits(counts: list[tuple[int, int, int, int]], refs: dict[str, np.ndarray]) -> np.ndarray:
     """Word limit by language and length class, from (language, class, bin, documents)."""
     seen = np.zeros((len(LANGS), N_LENGTH, BINS + 1), np.int64)
@@ -169,36 +211,20 @@ def word_limits(counts: list[tuple[int, int, int, int]], refs: dict[str, np.ndar
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", workspace: Workspace | None = None) -> DataFrame:
-    """One row per document: the base counts, both distances, ``base_failed`` and ``kept``. Texts are measured once for
-    the references and once for the distances; the limits come from the saved distances."""
-    ws = workspace or Workspace(docs.sparkSession, "quality")
-    refs = references(docs, text_col, lang_col)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {', '.join(f'{x} bigint' for x in names)}, char_distance double, word_distance double, base_failed boolean, _judged boolean, _own int, _length int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                m = measure(encoded(part.column(1)))
-                langs = part.column(2).to_pylist()
-                best_c, best_w = np.full(len(langs), np.inf), np.full(len(langs), np.inf)
-                for lang, ref in refs.items():
-                    rows = np.array([x == lang or x not in refs for x in langs], bool)
-                    best_c[rows] = np.minimum(best_c[rows], js_distance(m["classes"][rows], ref[:N_CLASS]))
-                    best_w[rows] = np.minimum(best_w[rows], js_distance(m["words"][rows], ref[N_CLASS:]))
-                best_c, best_w = (np.where(np.isfinite(x), x, 0.0) for x in (best_c, best_w))
-                judged = (m["n_words"] >= JUDGE_WORDS) & (m["n_chars"] >= JUDGE_CHARS)
-                own = np.array([LANGS.index(x) if x in refs else -1 for x in langs], np.int32)
-                length = np.minimum(2 * np.log2(np.maximum(m["n_words"], 1)), N_LENGTH - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m[x]) for x in names], *map(pa.array, (best_c, best_w, base_failed(m), judged, own, length))], names=[id_col, *names, "char_distance", "word_distance", "base_failed", "_judged", "_own", "_length"])
-
-    measured = ws.save(docs.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(run, schema), "measured")
-    counted = measured.where("_judged and not base_failed and _own >= 0").groupBy("_own", "_length", F.floor(F.col("word_distance") * BINS).cast("int").alias("_bin")).count()
+    """One row per document: the base counts, both distances, ``base_failed`` and ``kept``. Texts are measured once; the
+    references and then the limits come from the saved histograms and distances."""
+    ws = scratch(docs.sparkSession, "quality", workspace)
+    rows = ws.save(measured(docs, id_col, text_col, lang_col), "measured")
+    refs = references(rows)
+    length = F.least(F.floor(2 * F.log2(F.greatest("n_words", F.lit(1)))), F.lit(N_LENGTH - 1)).cast("int")
+    far = ws.save(distances(rows, refs).withColumn("length", length), "distances")
+    ws.keep(far)
+    counted = far.where("judged and not base_failed and word_distance is not null").groupBy("own", "length", F.floor(F.col("word_distance") * BINS).cast("int").alias("bin")).count()
     limits = word_limits([tuple(r) for r in counted.collect()], refs)  # at most one number for each language, length and bin
-    own_limit = F.get(F.array(*[F.lit(float(x)) for x in limits.ravel()]), F.col("_own") * N_LENGTH + F.col("_length"))
-    limit = F.when(F.col("_own") >= 0, own_limit).otherwise(F.lit(MAX_WORD_DISTANCE))
-    kept = ~F.col("base_failed") & ~(F.col("_judged") & ((F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > limit)))
-    return measured.select(id_col, *names, "char_distance", "word_distance", "base_failed", kept.alias("kept"))
+    limit = F.get(F.array(*[F.lit(float(x)) for x in limits.ravel()]), F.greatest("own", F.lit(0)) * N_LENGTH + F.col("length"))
+    unlike = (F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > limit)
+    kept = ~F.col("base_failed") & ~(F.col("judged") & F.coalesce(unlike, F.lit(False)))
+    return far.select(F.col("id").alias(id_col), *_COUNTS, "char_distance", "word_distance", "base_failed", kept.alias("kept"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
