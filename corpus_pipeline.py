@@ -12,7 +12,7 @@ from millrace.llm.jaccard_join import jaccard_components
 from millrace.llm.mixing import mix
 from millrace.llm.packing import pack
 from millrace.llm.pii import redact
-from millrace.llm.quality_classifier import score
+from millrace.llm.quality_classifier import scored_rows
 from millrace.session import ship
 from millrace.storage import Workspace
 
@@ -23,7 +23,7 @@ REJECT, WIDTH, PERCENT = 0.5, 5, 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier does not reject; rows without label data are all kept."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, labels).where(F.col("quality_score") >= REJECT).select(*docs.columns)
+    return scored_rows(docs, labels).where(F.col("score") >= REJECT).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def _one_each(docs: DataFrame, key: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -48,8 +48,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not texts.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return kept
     order = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
-    keyed = docs.withColumn("_key", F.concat(order, F.coalesce(F.sha2("text", 256), F.lit(""))))
-    return _one_each(keyed, "_key", ws)[0].select(*docs.columns)
+    key = "key" + "_" * max(map(len, docs.columns))  # longer than any name of the table
+    keyed = docs.withColumn(key, F.concat(order, F.coalesce(F.sha2("text", 256), F.lit(""))))
+    return _one_each(keyed, key, ws)[0].select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,15 @@ and a two-layer numpy network, fitted on a bounded sample of labelled rows, turn
 calibrated by a temperature.
 
 Edge cases: a null text is empty and pools to zeros, and is scored like any other; words that hash alike share a
-vector; without labelled rows every score is 1, with labels of one kind only it is their smoothed share; repeated rows
-are scored one by one; an empty table gives an empty result; only id and text are read, never another column.
+vector; without labelled rows every score is 1 and a warning is given, with labels of one kind only it is their smoothed
+share; of an id's labels the least counts, null labels and null ids are not learnt from, and a null id is never held out;
+repeated rows are scored one by one; an empty table gives an empty result; only id and text are read, and extra columns,
+whatever their names, are carried.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -118,6 +121,8 @@ class Network:
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
     """Adam on the log loss; the temperature is the best of a grid on rows left out of the fit."""
+    if not len(y):
+        warnings.warn("no labelled rows to learn from: every document scores 1", stacklevel=2)
     if not len(y) or y.min() == y.max():
         return Network(fixed=1.0 if not len(y) else float((y.sum() + 1) / (len(y) + 2)))
     rng = np.random.default_rng(seed)
@@ -153,7 +158,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
 
 def held_out(doc_id):
     """Rows whose labels are never learnt."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_LABELLED) -> Network:
@@ -174,8 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str =
     return fit(x, np.array([r.label for r in rows], float))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``."""
+def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and ``score``."""
     vectors = word_vectors(docs, text_col)
     net = train(docs, labels, vectors, id_col, text_col, label_col)
 
@@ -198,7 +203,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         finally:
             release()
 
-    return docs.select("*", scored(F.col(text_col)).alias("quality_score"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, scored(F.col(text_col)).alias("score"))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """All columns of ``docs`` and ``quality_score``, which takes the place of a column of that name."""
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "quality_score"]
+    return scored_rows(docs, labels, id_col, text_col, label_col).select(*own, F.col("score").alias("quality_score"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
