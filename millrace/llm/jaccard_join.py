@@ -6,6 +6,7 @@ shingle leave room for the needed overlap. Answer level: inside a pair of blocks
 other side are derived from those of a highly similar set that is done already, by the shingles in which they differ.
 
 Equal sets are joined once and counted by multiplicity. A task returns counts and a spanning forest, never its pairs.
+Sets are told apart by 128 bits of hash: a set's number is the first half, and where two sets share one, the second half.
 Shingles are told apart by 64-bit hashes when sets are built and by 40 of these bits inside a comparison.
 
 Edge cases: null, empty and blank texts have no shingle and link with nothing; a text of fewer words than a shingle is
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.text import encoded, frugal, mix, slices
 from millrace.operators.components import connected_components
-from millrace.storage import Workspace
+from millrace.storage import Workspace, scratch
 
 #: Buckets of the frequency sketch (of fixed size; it orders shingles and never decides a result), counters a shuffled
 #: row holds, the least count and the deviations above the mean count that make a bucket frequent.
@@ -34,6 +35,8 @@ SKETCH_BITS, SKETCH_BLOCK, FREQUENT, DEVIATIONS = 24, 1 << 19, 16, 6
 SKETCH, SKETCH_SHIFT = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
 #: Rows of one list that a task gets at most, about; sets and shingles of a block; bits of the filter of wanted sets.
 LIST_ROWS, BLOCK_SETS, BLOCK_SHINGLES, FILTER_BITS = 8192, 1024, 400_000, 1 << 24
+#: Bytes of text that are cut into shingles at once.
+SLICE = 1 << 20
 #: Computed sets that later ones of a block may be derived from.
 BASES = 6
 
@@ -66,31 +69,50 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def _node(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _halves(s: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _node(s: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """Number of a set; ``shared`` holds the first halves that several sets have."""
+    first, second = _halves(s)
+    return second if first in shared else first
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (id, n, node) of every document; and each task's sketch, in rows with a block number."""
+    """Rows (id, n, first and second half of the set's hash) of every document; and each task's sketch, in rows with a
+    block number."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, id_type = np.zeros(SKETCH, np.int32), None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 sets = shingle_sets(encoded(part.column(1)), width)
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 np.add.at(sketch, (every >> SKETCH_SHIFT).astype(np.int64), 1)
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "node", "block", "sums"])
+                halves = [_halves(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([h[k] for h in halves], pa.int64()) for k in (0, 1)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "first", "second", "block", "sums"])
         if id_type is not None:
             rows = sketch.reshape(-1, SKETCH_BLOCK)
             n = len(rows)
             packed = [zlib.compress(r.astype(np.uint16 if r.max() < 1 << 16 else np.int64).tobytes(), 1) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(packed, pa.binary())], names=["id", "n", "node", "block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 3, pa.array(range(n), pa.int32()), pa.array(packed, pa.binary())], names=["id", "n", "first", "second", "block", "sums"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"id {kind}, n bigint, first bigint, second bigint, block int, sums binary")
+
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), f"id {kind}, n bigint, node bigint, block int, sums binary")
+def _numbered(scanned: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """``id, n, node`` and the first halves that unlike sets share. Their number is that of 64-bit collisions: under one
+    is expected up to some 10**9 unlike sets, some hundreds at 10**11."""
+    rows = scanned.where("block is null")
+    alike = rows.where("first is not null").groupBy("first").agg(F.min("second").alias("low"), F.max("second").alias("high"))
+    shared = frozenset(r["first"] for r in alike.where("low <> high").select("first").collect())
+    node = F.when(F.col("first").isin(list(shared)), F.col("second")).otherwise(F.col("first")) if shared else F.col("first")
+    return rows.select("id", "n", node.alias("node")), shared
 
 
 def _frequent(scanned: DataFrame) -> np.ndarray:
@@ -118,15 +140,15 @@ def _sublists(eighths: np.ndarray) -> np.ndarray:
     return 1 + (2.0 ** (eighths / 8.0) / LIST_ROWS).astype(np.int64)
 
 
-def _new_sets(batch: pa.RecordBatch, width: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    for part in slices(batch, 0):
+def _new_sets(batch: pa.RecordBatch, width: int, seen: set[int], shared: frozenset[int]) -> Iterator[tuple[int, np.ndarray]]:
+    for part in slices(batch, 0, SLICE):
         for s in shingle_sets(encoded(part.column(0)), width):
-            if len(s) and (node := _node(s)) not in seen:
+            if len(s) and (node := _node(s, shared)) not in seen:
                 seen.add(node)
                 yield node, s
 
 
-def _entries(docs: DataFrame, text_col: str, width: int, percent: int, frequent) -> DataFrame:
+def _entries(docs: DataFrame, text_col: str, width: int, percent: int, frequent, shared: frozenset[int]) -> DataFrame:
     """The index: prefix shingles of the sets, each set once per task. Lists of frequent shingles are dealt out to
     several sub-lists by a salt."""
     least = percent / (100 - percent)  # smaller sets link with equal ones only
@@ -135,7 +157,7 @@ def _entries(docs: DataFrame, text_col: str, width: int, percent: int, frequent)
         counts, seen = frequent.value, set()
         for batch in batches:
             token, salt, node, n, pos = [], [], [], [], []
-            for k, s in _new_sets(batch, width, seen):
+            for k, s in _new_sets(batch, width, seen, shared):
                 if len(s) < least:
                     continue
                 order = counts[(s >> SKETCH_SHIFT).astype(np.int64)]
@@ -239,14 +261,14 @@ def _position(node: int) -> int:
     return node % FILTER_BITS
 
 
-def _wanted_sets(docs: DataFrame, text_col: str, width: int, wanted) -> DataFrame:
+def _wanted_sets(docs: DataFrame, text_col: str, width: int, wanted, shared: frozenset[int]) -> DataFrame:
     """``node, shingles`` (40 bits each) of the sets in the filter, each once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
         for batch in batches:
             nodes, values = [], []
-            for k, s in _new_sets(batch, width, seen):
+            for k, s in _new_sets(batch, width, seen, shared):
                 at = _position(k)
                 if bits[at >> 3] >> (at & 7) & 1:
                     nodes.append(k)
@@ -367,24 +389,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``id, n_shingles, component_id, n_links`` per document: sets of ``width``-word shingles link from a Jaccard
     similarity of ``percent`` hundredths on. See the module for the method and its edge cases."""
     spark = docs.sparkSession
-    ws = workspace or Workspace(spark, "jaccard")
+    ws = scratch(spark, "jaccard", workspace)
     scanned = ws.save(_scan(docs, id_col, text_col, width), "scan")
-    rows = scanned.where("block is null").select("id", "n", "node")
+    rows, shared = _numbered(scanned)
     counts = spark.sparkContext.broadcast(_frequent(scanned))
-    live = ws.save(_lists(_entries(docs, text_col, width, percent, counts), counts), "live")
+    live = ws.save(_lists(_entries(docs, text_col, width, percent, counts, shared), counts), "live")
     reps = ws.save(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "representatives")
     nodes = ws.save(_blocks_of(live, percent, ws), "blocks")
     pairs = ws.save(_meetings(live, nodes, percent, ws), "meetings")
     pairs = pairs.groupBy(F.col("node").alias("of")).agg(F.collect_list(F.struct("pair", "a", "b")).alias("pairs"))
     wanted = nodes.join(reps, "node").join(pairs, F.col("node") == F.col("of"))
     wanted = ws.save(wanted.select("node", "n", "of_block", "copies", "pairs"), "wanted")
-    sets = _wanted_sets(docs, text_col, width, spark.sparkContext.broadcast(_filter(wanted)))
+    sets = _wanted_sets(docs, text_col, width, spark.sparkContext.broadcast(_filter(wanted)), shared)
     found = ws.save(_compare(sets, wanted, percent), "found")
     links = found.where("root is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("root is not null"), "node", "root", ws)
     labelled = ws.save(reps.join(components, "node", "left").join(links, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "labelled")
     least = ws.save(labelled.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     answers = ws.save(labelled.join(least, "component").select(F.col("node").alias("of"), (F.col("links") + F.col("copies") - 1).alias("links"), "component_id"), "answers")
+    ws.keep(scanned, answers)
     joined = rows.join(answers, F.col("node") == F.col("of"), "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
 
