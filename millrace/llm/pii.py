@@ -123,9 +123,10 @@ def _form(rng: random.Random) -> tuple[str, str, str, bool]:
         return rng.choice((none, odd)), rng.choice(bad), kind, False
     if kind == "ip":
         groups = [hx(rng.randint(1, 4)) for _ in range(8)]
+        end = hx(rng.randint(1, 4))
         octet = lambda: str(rng.randint(0, 255))
         o, dot = [octet() for _ in range(4)], rng.choice((" dot ", "[.]", " [dot] ", "(dot)"))
-        good = (":".join(groups), f"2001:db8::{hx(2)}", f"2a02:{hx(3)}:{hx(1)}::{hx(2)}", "fe80::" + ":".join(groups[:4]), f"{hx(4)}:{hx(4)}::{hx(4)}:{hx(3)}", dot.join(o))
+        good = (":".join(groups), f"2001:db8::{end}", f"2a02:{hx(3)}:{hx(1)}::{end}", f"{hx(4)}::{end}", "fe80::" + ":".join(groups[: rng.randint(1, 4)]), f"{hx(4)}:{hx(4)}::{hx(4)}:{hx(3)}", dot.join(o))
         mac = ":".join(hx(2) for _ in range(6))
         bad = (f"{rng.randint(1, 12)}:{d(2)}:{d(2)}:{d(2)}", mac, f"{rng.randint(0, 9)}::{rng.randint(2, 5)}", f"::{rng.randint(1, 9)}", f"{rng.choice('abcdef')}dd::{rng.choice('abcdef')}ace", ":".join(hx(2) for _ in range(4)), f"1:{d(1)}:{d(1)}:{d(1)}")
         return (either, rng.choice(good), kind, True) if rng.random() < 0.5 else (rng.choice((none, odd)), rng.choice(bad), kind, False)
