@@ -59,6 +59,12 @@ class Prefs:
     scan_roots: tuple[str, ...] = ()
     face_detail: str = "normal"
 
+    def update(self, **changes) -> Prefs:
+        """New settings; values that ``read`` would not take are left as they are."""
+        now = self.__dict__ | changes
+        taken = Prefs.read(now)
+        return Prefs(**{k: getattr(self, k) if k in changes and now[k] != (list(v) if isinstance(now[k], list) else v) else v for k, v in taken.__dict__.items()})
+
     @classmethod
     def read(cls, stored: dict) -> Prefs:
         known = {k: v for k, v in stored.items() if k in cls.__dataclass_fields__}

@@ -9,6 +9,8 @@ import numpy as np
 
 #: Side of the luma plane, kept frequencies, grid cells; descriptor side, cell side, bins.
 PLANE, FREQ, GRID = 32, 8, 4
+#: Input height from which a model wants standardised pixels; least bytes of a model, its output lengths.
+LARGE_INPUT, MODEL_BYTES, MODEL_DIMS = 150, 1024, (32, 2048)
 HOG_SIDE, HOG_CELL, HOG_BINS = 64, 8, 8
 #: Eye positions on the 112-pixel template.
 TEMPLATE, LEFT_EYE, RIGHT_EYE = 112, (38.2946, 51.6963), (73.5318, 51.5014)
@@ -150,6 +152,35 @@ def normalise_pixels(rgb: np.ndarray, mode: str) -> np.ndarray:
     return (x - 127.5) / 128 if mode == "fixed" else (x - x.mean()) / max(float(x.std()), 1 / math.sqrt(x.size))
 
 
+def input_mode(quantised: bool, height: int) -> str:
+    """How a model wants its pixels: raw bytes when quantised, standardised by image for large inputs, else scaled."""
+    return "raw" if quantised else "standard" if height >= LARGE_INPUT else "fixed"
+
+
+def dequantised(values: np.ndarray, zero: int, scale: float) -> np.ndarray:
+    """Real values of a quantised model's output bytes."""
+    return (values.astype(np.float32) - np.float32(zero)) * np.float32(scale)
+
+
+def subsampled(rgb: np.ndarray, least_short: int, most_long: int | None = None) -> np.ndarray:
+    """Means of k x k pixels, with k from ``sample_size``; what is left at the edges is cut off."""
+    k = sample_size(rgb.shape[1], rgb.shape[0], least_short, most_long)
+    if k == 1:
+        return rgb
+    h, w = rgb.shape[0] // k, rgb.shape[1] // k
+    return rgb[: h * k, : w * k].reshape(h, k, w, k, rgb.shape[2]).astype(np.int64).sum((1, 3)) // (k * k)
+
+
+def upright(rgb: np.ndarray, degrees: int) -> np.ndarray:
+    """Turn a picture clockwise by a multiple of 90 degrees."""
+    return np.rot90(rgb, -degrees // 90)
+
+
+def thumbnail_box(l: int, t: int, r: int, b: int, unit: int = 10_000, least: float = 0.02) -> tuple[float, float, float, float]:  # noqa: E741
+    """Left, top, width and height, as shares of a picture, of a stored box; no side under ``least``."""
+    return l / unit, t / unit, max((r - l) / unit, least), max((b - t) / unit, least)
+
+
 def sample_size(width: int, height: int, least_short: int, most_long: int | None = None) -> int:
     """Power-of-two subsampling of a decode."""
     k = 1
@@ -175,6 +206,60 @@ EMBEDDERS = {"hog": (hog, (HOG_SIDE // HOG_CELL - 1) ** 2 * 4 * HOG_BINS, 1)}
 def register_embedder(name: str, function, dim: int, version: int) -> None:
     """Add an embedder after one probe inference; the length must be between 32 and 2048."""
     probe = np.asarray(function(np.zeros((TEMPLATE, TEMPLATE, 3))))
-    if not 32 <= dim <= 2048 or probe.shape != (dim,):
+    if not MODEL_DIMS[0] <= dim <= MODEL_DIMS[1] or probe.shape != (dim,):
         raise ValueError(f"embedder {name}: expected {dim} values, got {probe.shape}")
     EMBEDDERS[name] = (function, dim, version)
+
+
+def load_model(path: str):
+    """Function, length and input height of an ONNX model; needs onnxruntime, which is optional."""
+    import onnxruntime
+
+    session = onnxruntime.InferenceSession(path)
+    asked, given = session.get_inputs()[0], session.get_outputs()[0]
+    shape = [x if isinstance(x, int) else 1 for x in asked.shape]
+    channels_first = shape[1] == 3
+    height = shape[2] if channels_first else shape[1]
+    quantised = "uint8" in asked.type
+
+    def embed(rgb: np.ndarray) -> np.ndarray:
+        x = normalise_pixels(resize(rgb, height, height), input_mode(quantised, height))
+        x = x.transpose(2, 0, 1) if channels_first else x
+        out = np.asarray(session.run([given.name], {asked.name: x[None]})[0], np.float32).ravel()
+        return out / max(float(np.linalg.norm(out)), 1e-8)
+
+    return embed, int(given.shape[-1]), height
+
+
+def model_fault(path: str, load=load_model) -> str | None:
+    """What keeps a model file from being used, or None: too small, can't be loaded, odd output length, a failed probe."""
+    import os
+
+    if not os.path.isfile(path) or os.path.getsize(path) < MODEL_BYTES:
+        return "too small"
+    try:
+        embed, dim, _ = load(path)
+    except Exception as e:  # noqa: BLE001  any failure of a foreign file is a fault of that file
+        return f"can't be loaded: {type(e).__name__}"
+    if not MODEL_DIMS[0] <= dim <= MODEL_DIMS[1]:
+        return f"output of {dim} values"
+    try:
+        probe = np.asarray(embed(np.zeros((TEMPLATE, TEMPLATE, 3))))
+    except Exception as e:  # noqa: BLE001
+        return f"probe failed: {type(e).__name__}"
+    return None if probe.shape == (dim,) and np.isfinite(probe).all() else "probe gave odd values"
+
+
+def choose_embedder(*paths: str | None, load=load_model) -> str:
+    """Register the first usable model of the given files (the imported one, then the bundled one) and return its name;
+    the gradient histogram where none is."""
+    import os
+
+    from millrace.config import model_version
+
+    for path in paths:
+        if path and model_fault(path, load) is None:
+            embed, dim, _ = load(path)
+            register_embedder(path, embed, dim, model_version(os.path.getsize(path), dim))
+            return path
+    return "hog"

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.config import FACE_QUALITY, MERGE_CAP
 from millrace.functions.scalar import NAMELESS
-from millrace.storage import Workspace
+from millrace.operators.vectors import best_matches
+from millrace.storage import Workspace, scratch
 
 #: Added to the threshold when clusters are merged, and its bound.
 MERGE_MARGIN, MERGE_BOUND = 0.04, 0.97
@@ -24,10 +25,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.where(norm < 1e-8, x, x / np.maximum(norm, 1e-8))
 
 
-def seed_and_merge(vectors: np.ndarray, threshold: float, sums: np.ndarray | None = None, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def seed_and_merge(vectors: np.ndarray, threshold: float, sums: np.ndarray | None = None, earlier: np.ndarray | None = None, merge_cap: int | None = MERGE_CAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy seeding in the given order (ties go to the later centroid), then one merge pass over centroids that see
     each other's updates. ``sums`` and ``earlier`` are the vector sums and the assignments of earlier rounds. Returns the
-    cluster of each vector, earlier ones first, compacted, the unit centroids and the sums."""
+    cluster of each vector, earlier ones first, compacted, the unit centroids and the sums. More than ``merge_cap`` clusters
+    are not merged, as the original has it; None merges any number."""
     d = vectors.shape[1] if len(vectors) else 0
     k = 0 if sums is None else len(sums)
     sums = np.zeros((64, d)) if sums is None else np.vstack([sums, np.zeros((64, d))])
@@ -47,14 +49,14 @@ def seed_and_merge(vectors: np.ndarray, threshold: float, sums: np.ndarray | Non
         cents[best] = unit(sums[best])
         of[i] = best
     into = np.arange(k)
-    if 2 <= k <= MERGE_CAP:
+    if 2 <= k and (merge_cap is None or k <= merge_cap):
         bar = min(threshold + MERGE_MARGIN, MERGE_BOUND)
         live = np.ones(k, bool)
         for a in range(k):
             if not live[a]:
                 continue
             for b in range(a + 1, k):
-                if live[b] and cents[a] @ cents[b] >= bar:
+                if live[b] and cents[a] @ cents[b] >= bar:  # the centroid moves with every merge
                     sums[a] += sums[b]
                     cents[a] = unit(sums[a])
                     live[b], into[into == b] = False, a
@@ -92,6 +94,14 @@ def nearest(vectors: DataFrame, centroids: np.ndarray, vec_col: str = "embedding
     return vectors.mapInArrow(run, schema)
 
 
+def nearest_cluster(faces: DataFrame, centers: DataFrame) -> DataFrame:
+    """``faceId, clusterId, cosine``: the best centroid of each face, block by block, however many centroids there are; the
+    later cluster of equal ones. ``centers`` has ``clusterId, centroid``."""
+    negated = centers.select((-F.col("clusterId")).cast("bigint").alias("c"), F.col("centroid").alias("v"))
+    found = best_matches(faces.select("faceId", F.col("embedding").alias("v")), negated, 1, "faceId", "c", "v")
+    return found.select(F.col("query").alias("faceId"), (-F.col("item")).cast("int").alias("clusterId"), "cosine")
+
+
 def home_cluster(assigned: DataFrame) -> DataFrame:
     """A person's home: the cluster with most of their unpinned assigned faces; the smallest id of equals."""
     counts = assigned.where("personId > 0 and not pinned and clusterId >= 0").groupBy("personId", "clusterId").agg(F.count("*").alias("n"))
@@ -104,12 +114,12 @@ def majority_person(assigned: DataFrame) -> DataFrame:
     return counts.groupBy("clusterId").agg(F.max_by("personId", F.struct("n", -F.col("personId"))).alias("person"))
 
 
-def cluster(faces: DataFrame, threshold: float, seed_faces: int = SEED_FACES, ws: Workspace | None = None) -> DataFrame:
+def cluster(faces: DataFrame, threshold: float, seed_faces: int = SEED_FACES, ws: Workspace | None = None, merge_cap: int | None = MERGE_CAP) -> DataFrame:
     """``faceId, clusterId, personId``. Seeds and merges come from the best usable faces on the driver, in rounds of
     bounded, ordered samples until every usable face has joined or founded a cluster; settling, pins, names and parking
     are joins and a parallel pass over every face."""
     spark = faces.sparkSession
-    ws = ws or Workspace(spark, "people")
+    ws = scratch(spark, "people", ws)
     best_first = lambda df: df.orderBy(F.col("quality").desc(), "faceId").select("faceId", "embedding").limit(seed_faces).collect()
     top = best_first(usable(faces))
     dim = len(top[0].embedding) if top else 0
@@ -117,7 +127,7 @@ def cluster(faces: DataFrame, threshold: float, seed_faces: int = SEED_FACES, ws
     ids, seeded, sums, centroids = [], None, None, np.zeros((0, dim))
     while top:
         same = [r for r in top if len(r.embedding) == dim]
-        seeded, centroids, sums = seed_and_merge(np.array([r.embedding for r in same], float).reshape(len(same), dim), threshold, sums, seeded)
+        seeded, centroids, sums = seed_and_merge(np.array([r.embedding for r in same], float).reshape(len(same), dim), threshold, sums, seeded, merge_cap)
         ids += [r.faceId for r in same]
         if len(ids) == len(same) and len(top) < seed_faces:
             break  # all usable faces were seeded at once
@@ -145,7 +155,7 @@ def cluster(faces: DataFrame, threshold: float, seed_faces: int = SEED_FACES, ws
 
 
 def people_view(faces: DataFrame, people: DataFrame) -> DataFrame:
-    """``clusterId, personId, displayName, coverFace, n_faces, n_photos``, largest first."""
+    """``clusterId, personId, displayName, coverFace, n_faces, n_photos``, largest first. ``members`` lists the faces."""
     live = faces.where("clusterId >= 0")
     view = live.groupBy("clusterId").agg(
         F.max_by("faceId", F.struct("quality", -F.col("faceId"))).alias("coverFace"),
@@ -156,6 +166,33 @@ def people_view(faces: DataFrame, people: DataFrame) -> DataFrame:
     return joined.select("clusterId", "personId", F.coalesce("name", F.lit(NAMELESS)).alias("displayName"), "coverFace", "n_faces", "n_photos").orderBy(F.col("n_faces").desc(), "clusterId")
 
 
+def members(faces: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """``clusterId, place, faceId, photoId, quality``: the faces of each cluster, best quality first."""
+    from millrace.operators.ranked import placed
+
+    ws = scratch(faces.sparkSession, "members", ws)
+    rows = faces.where("clusterId >= 0").select("clusterId", "faceId", "photoId", "quality", (-F.col("quality")).alias("minus"))
+    return placed(rows, "clusterId", ["minus", "faceId"], ws).select("clusterId", "place", "faceId", "photoId", "quality")
+
+
+def split_by_size(view: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """People with at least so many faces, and the others, which are shown apart."""
+    return view.where(F.col("n_faces") >= least), view.where(F.col("n_faces") < least)
+
+
+def person_photos(faces: DataFrame, photos: DataFrame, cluster_id: int) -> DataFrame:
+    """The photos of a cluster, each once; faces whose photo is gone have none."""
+    ids = faces.where(F.col("clusterId") == cluster_id).select(F.col("photoId").alias("id")).distinct()
+    return photos.join(ids, "id", "left_semi")
+
+
+def with_covers(view: DataFrame, faces: DataFrame, photos: DataFrame) -> DataFrame:
+    """The people view with the cover's photo and its path, null where the photo is gone."""
+    cover = faces.select(F.col("faceId").alias("coverFace"), F.col("photoId").alias("coverPhoto"))
+    paths = photos.select(F.col("id").alias("coverPhoto"), F.col("relPath").alias("coverPath"))
+    return view.join(cover, "coverFace", "left").join(paths, "coverPhoto", "left")
+
+
 def centroids(faces: DataFrame) -> DataFrame:
     """``clusterId, centroid``: unit sums of the member vectors, added by position so a large cluster combines first."""
     parts = faces.where("clusterId >= 0").select("clusterId", F.posexplode("embedding").alias("k", "v")).groupBy("clusterId", "k").agg(F.sum(F.col("v").cast("double")).alias("s"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.config import BALANCED, BUCKET_CAP, FLAT_SPREAD, REFINE_ROUNDS, SIG_VERSION, KeeperRule, Level
 from millrace.functions import scalar as S
 from millrace.operators.components import connected_components
-from millrace.operators.exact import keeper_id
-from millrace.storage import Workspace
+from millrace.operators.exact import keeper
+from millrace.operators.ranked import placed
+from millrace.storage import Workspace, scratch
 
 
 def signed(photos: DataFrame) -> DataFrame:
@@ -20,6 +25,11 @@ def flat(photos: DataFrame) -> DataFrame:
     return signed(photos).where(S.color_spread(F.col("colorSig")) < FLAT_SPREAD)
 
 
+def flat_count(photos: DataFrame) -> DataFrame:
+    """One row: how many signed rows are left out as flat."""
+    return flat(photos).agg(F.count("*").alias("skipped_flat"))
+
+
 def comparable(photos: DataFrame) -> DataFrame:
     return signed(photos).where(S.color_spread(F.col("colorSig")) >= FLAT_SPREAD)
 
@@ -33,14 +43,103 @@ def bucket_sizes(photos: DataFrame) -> DataFrame:
 
 
 def candidates(photos: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
-    """Pairs ``a < b`` that share a byte of either hash. Buckets over the cap are skipped, as the semantics ask; the cap
-    also bounds a bucket's pairs, and the joins leave hot buckets to adaptive execution."""
+    """Pairs ``a < b`` that share a byte of either hash in a bucket of at most ``cap`` rows: the definition, pair by pair.
+    ``near_hashes`` finds those of them that matter without writing them all."""
     keys = band_keys(photos)
     usable = keys.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= cap)).select("key")
     kept = keys.join(usable, "key")
     return kept.select("key", F.col("id").alias("a")).join(kept.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
 
+#: Rows of one block of a bucket that is too large for a plain join.
+BUCKET_BLOCK = 2048
+
+
+def near_hashes(items: DataFrame, level: Level, ws: Workspace, cap: int | None = None, block: int = BUCKET_BLOCK) -> DataFrame:
+    """``a, b, dp, dd``: pairs ``a < b`` that share a byte of either hash and whose hashes are near enough for the level.
+
+    A bucket is dealt out to blocks of about ``block`` rows, and two blocks meet as matrices in a task that returns near
+    pairs alone, each at the first byte that its hashes share. With a ``cap``, buckets over it are skipped, as the
+    original's semantics have it, and a pair counts at the first shared byte whose bucket is not. Without one nothing is
+    skipped; a bucket of n rows then costs n * n / block rows of traffic.
+    """
+    keys = ws.save(items.select("id", "phash", "dhash", F.explode(F.concat(S.bands(F.col("phash"), 0), S.bands(F.col("dhash"), 1))).alias("key")), "keys")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = ws.save(sizes.where(F.col("n") <= cap) if cap else sizes, "buckets")
+    over = None
+    if cap:  # at most 4096 keys exist
+        over = {r.key for r in keys.select("key").distinct().join(sizes, "key", "left_anti").collect()}
+    n_blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = keys.join(sizes, "key").select("key", "id", "phash", "dhash", n_blocks.alias("k"), F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    sent = dealt.withColumn("other", other).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "phash", "dhash")
+
+    def near(dp: np.ndarray, dd: np.ndarray) -> np.ndarray:
+        return ((dp <= level.p_max) & (dd <= level.d_max)) | ((dp <= level.p_strict) & (dd <= level.d_max + 6)) | ((dd <= level.d_strict) & (dp <= level.p_max + 4))
+
+    def first_shared(p: np.ndarray, d: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Key of the first byte in which the hashes (of one side) agree and whose bucket counts."""
+        out = np.full(len(p), -1, np.int64)
+        for salt, x, own in ((1, d, hashes[1]), (0, p, hashes[0])):
+            for k in range(7, -1, -1):
+                shift = np.uint64(8 * k)
+                key = (salt << 20) + k * 4096 + (own >> shift & np.uint64(255)).astype(np.int64)
+                agree = (x >> shift & np.uint64(255)) == 0
+                if over:
+                    agree &= ~np.isin(key, list(over))
+                out[agree] = key[agree]
+        return out
+
+    def meet(key: int, rows: dict[str, np.ndarray], x: int, y: int) -> Iterator[tuple[np.ndarray, ...]]:
+        pick = (np.flatnonzero(rows["own"] == x), np.flatnonzero(rows["own"] == y))
+        a, b = ({c: rows[c][k] for c in ("id", "phash", "dhash")} for k in pick)
+        for i in range(0, len(a["id"]), 512):
+            p = a["phash"][i : i + 512, None] ^ b["phash"][None, :]
+            d = a["dhash"][i : i + 512, None] ^ b["dhash"][None, :]
+            dp, dd = np.bitwise_count(p), np.bitwise_count(d)
+            hit = near(dp, dd)
+            if x == y:
+                hit &= a["id"][i : i + 512, None] < b["id"][None, :]
+            else:
+                hit &= a["id"][i : i + 512, None] != b["id"][None, :]
+            r, c = np.nonzero(hit)
+            mine = np.flatnonzero(first_shared(p[r, c], d[r, c], np.stack([a["phash"][i + r], a["dhash"][i + r]])) == key) if len(r) else r
+            r, c = r[mine], c[mine]
+            left, right = a["id"][i + r], b["id"][c]
+            yield np.minimum(left, right), np.maximum(left, right), dp[r, c].astype(np.int32), dd[r, c].astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cols = {c: np.asarray(table[c]) for c in table.column_names}
+            for c in ("phash", "dhash"):
+                cols[c] = cols[c].view(np.uint64)
+            new = np.concatenate([[True], (cols["key"][1:] != cols["key"][:-1]) | (cols["x"][1:] != cols["x"][:-1]) | (cols["y"][1:] != cols["y"][:-1])])
+            starts = [*np.flatnonzero(new).tolist(), len(new)]
+            out = []
+            for s, e in zip(starts, starts[1:], strict=False):
+                out += meet(int(cols["key"][s]), {c: v[s:e] for c, v in cols.items()}, int(cols["x"][s]), int(cols["y"][s]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "dp", "dd"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not len(table):
+                continue
+            last = [np.asarray(table[c])[-1] for c in ("key", "x", "y")]
+            same = np.logical_and.reduce([np.asarray(table[c]) == v for c, v in zip(("key", "x", "y"), last, strict=True)])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield from done(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None and len(rest):
+            yield from done(rest)
+
+    return sent.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a bigint, b bigint, dp int, dd int")
+
+
 #: Columns that two items are compared by.
 COMPARED = ("phash", "dhash", "width", "height", "colorSig")
 
@@ -69,15 +168,20 @@ def _colours_compared(near: DataFrame, level: Level) -> DataFrame:
     return near.withColumn("dc", F.when(cheap, S.color_distance(F.col("colorSig_a"), F.col("colorSig_b"))))
 
 
-def similar_pairs(photos: DataFrame, level: Level = BALANCED, cap: int = BUCKET_CAP) -> DataFrame:
-    """Verified pairs of the banded candidates."""
-    items = comparable(photos)
-    near = _colours_compared(distances(candidates(items, cap), items), level)
+def similar_pairs(photos: DataFrame, level: Level = BALANCED, cap: int | None = None, ws: Workspace | None = None) -> DataFrame:
+    """Verified pairs of rows that share a byte of either hash. Only pairs of near hashes are joined with sizes and
+    colours. ``cap`` (config.BUCKET_CAP) restores the original's skipping of large buckets."""
+    ws = scratch(photos.sparkSession, "pairs", ws)
+    items = ws.save(comparable(photos).select("id", *COMPARED), "items")
+    pairs = ws.save(near_hashes(items, level, ws, cap), "near")
+    compared = pairs.drop("dp", "dd").join(_side(items, "a"), "a").join(_side(items, "b"), "b")
+    near = _colours_compared(_hashes_compared(compared), level)
     return near.where(F.col("dc") <= level.color_max).select("a", "b", "dp", "dd", "dc")
 
 
 def similar_components(photos: DataFrame, level: Level = BALANCED, ws: Workspace | None = None) -> DataFrame:
-    return connected_components(similar_pairs(photos, level), "a", "b", ws).select(F.col("node").alias("id"), "component")
+    ws = scratch(photos.sparkSession, "similar", ws)
+    return connected_components(similar_pairs(photos, level, ws=ws), "a", "b", ws).select(F.col("node").alias("id"), "component")
 
 
 def refine(members: DataFrame, level: Level, ws: Workspace, rounds: int = REFINE_ROUNDS) -> DataFrame:
@@ -106,20 +210,25 @@ def refine(members: DataFrame, level: Level, ws: Workspace, rounds: int = REFINE
 
 
 def similar_groups(photos: DataFrame, level: Level = BALANCED, rule: KeeperRule = KeeperRule.BEST_QUALITY, ws: Workspace | None = None) -> DataFrame:
-    """Members of near-duplicate groups: ``set_id, id, keeper_id, is_keeper, distance, reclaimable``; sets of identical
-    content are left to the exact groups."""
-    ws = ws or Workspace(photos.sparkSession, "similar")
+    """Members of near-duplicate groups: ``set_id, id, keeper_id, is_keeper, distance, reclaimable, score``; sets of
+    identical content are left to the exact groups. ``places`` and ``group_order`` order members and groups."""
+    ws = scratch(photos.sparkSession, "similar", ws)
     items = photos.withColumn("score", S.quality_score(F.col("width"), F.col("height"), F.col("size")))
-    edges = ws.save(similar_pairs(photos, level), "edges")
+    edges = ws.save(similar_pairs(photos, level, ws=ws), "edges")
     comps = ws.save(connected_components(edges, "a", "b", ws), "components")
     members = comps.select(F.col("node").alias("id"), "component").join(items.select("id", "score", *COMPARED), "id")
     sets = ws.save(refine(members, level, ws), "sets").select("id", "set_id")
     full = sets.join(items, "id")
-    stats = full.groupBy("set_id").agg(F.count("*").alias("n"), F.count("sha").alias("hashed"), F.count_distinct("sha").alias("kinds"), keeper_id(rule).alias("keeper_id"), F.sum("size").alias("total"))
+    stats = full.groupBy("set_id").agg(F.count("*").alias("n"), F.count("sha").alias("hashed"), F.count_distinct("sha").alias("kinds"), keeper(rule, "id", "phash", "size").alias("k"), F.sum("size").alias("total"))
     stats = ws.save(stats.where("n > 1 and not (hashed = n and kinds = 1)"), "stats")
-    keepers = photos.select(F.col("id").alias("keeper_id"), F.col("phash").alias("keeper_hash"), F.col("size").alias("keeper_size"))
-    joined = full.join(stats.join(keepers, "keeper_id"), "set_id")
-    return joined.select("set_id", "id", "keeper_id", (F.col("id") == F.col("keeper_id")).alias("is_keeper"), S.hamming(F.col("phash"), F.col("keeper_hash")).alias("distance"), (F.col("total") - F.col("keeper_size")).alias("reclaimable"))
+    joined = full.join(stats, "set_id")
+    return joined.select("set_id", "id", F.col("k.id").alias("keeper_id"), (F.col("id") == F.col("k.id")).alias("is_keeper"), S.hamming(F.col("phash"), F.col("k.phash")).alias("distance"), (F.col("total") - F.col("k.size")).alias("reclaimable"), "score")
+
+
+def group_order(members: DataFrame) -> DataFrame:
+    """One row per group, largest saving first: ``set_id, keeper_id, n, reclaimable, worst`` (the greatest distance)."""
+    groups = members.groupBy("set_id").agg(F.max("keeper_id").alias("keeper_id"), F.count("*").alias("n"), F.max("reclaimable").alias("reclaimable"), F.max("distance").alias("worst"))
+    return groups.orderBy(F.col("reclaimable").desc(), "keeper_id")
 
 
 def with_keeper(members: DataFrame, set_id: int, new_keeper: int) -> DataFrame:
@@ -128,24 +237,8 @@ def with_keeper(members: DataFrame, set_id: int, new_keeper: int) -> DataFrame:
     return members.withColumn("distance", F.when(here & F.col("is_keeper"), F.lit(None)).otherwise(F.col("distance"))).withColumn("is_keeper", F.when(here, F.col("id") == new_keeper).otherwise(F.col("is_keeper"))).withColumn("keeper_id", F.when(here, F.lit(new_keeper)).otherwise(F.col("keeper_id")))
 
 
-def brute_force_refine(pool: list[int], score: dict[int, int], similar: set[tuple[int, int]], rounds: int = REFINE_ROUNDS) -> list[set[int]]:
-    """Plain statement of ``refine`` for tests; ``similar``: every similar pair ``a < b``, not only candidates."""
-    if len(pool) <= 2:
-        return [set(pool)]
-    out, left = [], sorted(pool)
-    for _ in range(rounds):
-        if not left:
-            break
-        anchor = max(left, key=lambda k: (score[k], -k))
-        keep = {k for k in left if k == anchor or (min(k, anchor), max(k, anchor)) in similar}
-        out.append(keep)
-        left = [k for k in left if k not in keep]
-    return [*out, set(left)] if left else out
-
-
-def places(members: DataFrame) -> DataFrame:
-    """Order within groups: the keeper, then by distance, then by quality."""
-    w = Window.partitionBy("set_id").orderBy(F.col("is_keeper").desc(), "distance", "id")
-    return members.withColumn("place", F.row_number().over(w) - 1)
-
-
+def places(members: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """Order within groups: the keeper, then by distance, then by quality, best first, then by id."""
+    ws = scratch(members.sparkSession, "places", ws)
+    rows = members.withColumn("after", F.when(F.col("is_keeper"), 0).otherwise(1)).withColumn("minus", -F.col("score"))
+    return placed(rows, "set_id", ["after", "distance", "minus", "id"], ws).drop("after", "minus")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+from millrace.operators.ranked import numbered
+from millrace.storage import Workspace, scratch
 
 #: Columns that a touch refreshes, and the cleared values of a new or changed row.
 TOUCHED = ("name", "bucket", "relPath", "width", "height", "dateAdded", "dateTaken", "mime")
@@ -10,9 +14,10 @@ CLEARED = {"sha": None, "dhash": 0, "phash": 0, "colorSig": None, "sigVersion":
 
 
 def first_per_id(fresh: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One row per id: the first in the given order."""
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(*(order or [c for c in fresh.columns if c != "id"])))
-    return fresh.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """One row per id: the first in the given order (an aggregate, so repeated ids are combined before they are shuffled)."""
+    row = F.struct(*fresh.columns)
+    best = F.min_by(row, F.struct(*(order or [c for c in fresh.columns if c != "id"])))
+    return fresh.groupBy("id").agg(best.alias("_row")).select("_row.*")
 
 
 def merge_snapshot(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -66,6 +71,22 @@ def write_signatures(photos: DataFrame, rows: DataFrame, version: int) -> DataFr
     return joined.withColumn("sigVersion", F.when(hit, F.lit(version)).otherwise(F.col("sigVersion"))).select(*photos.columns)
 
 
+def write_clusters(faces: DataFrame, rows: DataFrame) -> DataFrame:
+    """Set cluster and person by face; pinned faces too, as the clustering has honoured their pins already."""
+    new = rows.select(F.col("faceId").alias("_id"), F.col("clusterId").alias("_cluster"), F.col("personId").alias("_person"))
+    joined = faces.join(new, F.col("faceId") == F.col("_id"), "left")
+    hit = F.col("_id").isNotNull()
+    put = {"clusterId": "_cluster", "personId": "_person"}
+    return joined.select(*[F.when(hit, F.col(put[c])).otherwise(F.col(c)).cast(faces.schema[c].dataType).alias(c) if c in put else F.col(c) for c in faces.columns])
+
+
+def migrate(table: DataFrame, schema: str) -> DataFrame:
+    """A stored table in the present schema: missing columns come as null, others are cast, unknown ones go."""
+    have = {c.lower() for c in table.columns}
+    wanted = StructType.fromDDL(schema)
+    return table.select(*[(F.col(f.name) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+
 def needs_signature(photos: DataFrame, version: int) -> DataFrame:
     return photos.where((F.col("sigVersion") < version) | F.col("colorSig").isNull())
 
@@ -80,13 +101,14 @@ def faces_needing_scan(photos: DataFrame, face_scan: DataFrame, version: int) ->
     return photos.join(scanned(face_scan, photos, version), "id", "left_anti")
 
 
-def replace_faces(faces: DataFrame, face_scan: DataFrame, detected: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace all faces of the scanned photos; new ones are unassigned, unnamed and unpinned, with ids after the last."""
+def replace_faces(faces: DataFrame, face_scan: DataFrame, detected: DataFrame, checkpoints: DataFrame, ws: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+    """Replace all faces of the scanned photos; new ones are unassigned, unnamed and unpinned, with ids after the last, in
+    order of photo and box."""
+    ws = scratch(faces.sparkSession, "replace-faces", ws)
     seen = checkpoints.select(F.col("photoId").alias("_p")).distinct()
     last = faces.agg(F.coalesce(F.max("faceId"), F.lit(0))).first()[0]
-    rank = F.row_number().over(Window.orderBy("photoId", "l", "t", "r", "b"))
-    fresh = detected.withColumn("_n", rank).withColumn("last", F.lit(last))
-    fresh = fresh.select((F.col("last") + F.col("_n")).cast("bigint").alias("faceId"), "photoId", "l", "t", "r", "b", "quality", "embedding", "embVersion", F.lit(-1).alias("clusterId"), F.lit(0).cast("bigint").alias("personId"), F.lit(False).alias("pinned"))
+    fresh = numbered(detected, ["photoId", "l", "t", "r", "b"], "_n", ws)
+    fresh = fresh.select((F.lit(last) + 1 + F.col("_n")).cast("bigint").alias("faceId"), "photoId", "l", "t", "r", "b", "quality", "embedding", "embVersion", F.lit(-1).alias("clusterId"), F.lit(0).cast("bigint").alias("personId"), F.lit(False).alias("pinned"))
     kept = faces.join(seen, F.col("photoId") == F.col("_p"), "left_anti")
     scans = face_scan.join(seen, F.col("photoId") == F.col("_p"), "left_anti").unionByName(checkpoints)
     return kept.unionByName(fresh), scans

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.functions.scalar import PERSON, captured_at, month_name, month_stamp, sanitize_folder
+from millrace.functions.scalar import PERSON, captured_at, month_name, month_stamp, sanitize_folder, sanitize_move
 
 
 def by_people(members: DataFrame, least: int = 2) -> DataFrame:
@@ -38,6 +38,18 @@ def chosen(plan: DataFrame) -> DataFrame:
     return plan.where("enabled and trim(name) <> ''")
 
 
+def with_choice(plan: DataFrame, key: str, name: str | None = None, enabled: bool | None = None) -> DataFrame:
+    """A proposed folder renamed, or switched on or off."""
+    here = F.col("key") == key
+    out = plan.withColumn("name", F.when(here, F.lit(name)).otherwise(F.col("name"))) if name is not None else plan
+    return out.withColumn("enabled", F.when(here, F.lit(enabled)).otherwise(F.col("enabled"))) if enabled is not None else out
+
+
+def chosen_count(plan: DataFrame) -> DataFrame:
+    """One row: chosen folders and the photos in them; ``plan`` has a row per folder and photo."""
+    return chosen(plan).agg(F.count_distinct("key").alias("folders"), F.count("photoId").alias("photos"))
+
+
 def removal_plan(photos: DataFrame, to_trash: bool = True) -> DataFrame:
     """What a removal would do: folder-backed rows are deleted, catalogue rows trashed or deleted."""
     action = F.when(F.col("docUri").isNotNull(), "delete_document").when(F.lit(to_trash), "trash").otherwise("delete")
@@ -46,7 +58,7 @@ def removal_plan(photos: DataFrame, to_trash: bool = True) -> DataFrame:
 
 def move_plan(photos: DataFrame, album: str) -> DataFrame:
     action = F.when(F.col("docUri").isNotNull(), "copy_then_delete").otherwise("relocate")
-    return photos.select(action.alias("action"), "id", F.col("size").alias("bytes"), F.concat(F.lit("Pictures/"), sanitize_folder(F.lit(album)), F.lit("/")).alias("target"))
+    return photos.select(action.alias("action"), "id", F.col("size").alias("bytes"), F.concat(F.lit("Pictures/"), sanitize_move(F.lit(album)), F.lit("/")).alias("target"))
 
 
 def organise_plan(folders: DataFrame, photos: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace import config as C
 from millrace.functions import scalar as S
 from millrace.operators import exact, people as P, similar as N, snapshot as V
+from millrace.operators.vectors import best_matches
 from millrace.plans import folders
 from millrace.sources import surrogates as R
 
@@ -56,7 +57,7 @@ def album_list(spark, d):
 
 
 def band_keys(spark, d):
-    return N.band_keys(R.signed_photos(spark, d)).where("key < 1048576").groupBy((F.floor(F.col("key") / 4096)).cast("int").alias("band")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+    return N.band_keys(R.signed_photos(spark, d)).groupBy((F.floor(F.col("key") / 4096)).cast("int").alias("band")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
 
 
 def band_bucket_sizes(spark, d):
@@ -80,8 +81,7 @@ def _similar(level):
 
 
 def flat_documents(spark, d):
-    photos = R.signed_photos(spark, d)
-    return photos.where(S.color_spread(F.col("colorSig")) < 24).select("id", S.color_spread(F.col("colorSig")).alias("spread"))
+    return N.flat(R.signed_photos(spark, d)).select("id", S.color_spread(F.col("colorSig")).alias("spread"))
 
 
 def similar_components(spark, d):
@@ -136,23 +136,14 @@ def centroids(spark, d):
 
 def nearest_centroid(spark, d):
     faces = R.faces(spark, d)
-    rows = P.centroids(faces).orderBy("clusterId").collect()  # one vector per cluster
-    import numpy as np
-
-    near = P.nearest(faces.select("faceId", "embedding"), np.array([r.centroid for r in rows]))
-    ids = F.element_at(F.array(*[F.lit(r.clusterId) for r in rows]), F.col("near") + 1)
-    return near.select("faceId", ids.alias("clusterId"), F.round("cosine", 5).alias("cosine"))
+    return P.nearest_cluster(faces, P.centroids(faces)).select("faceId", "clusterId", F.round("cosine", 5).alias("cosine"))
 
 
 def cosine_topk(spark, d, k: int = 3):
-    """The k nearest vectors of each query (ids divisible by 50) among all others; the stated query set goes along with
-    every task, in blocks bounded by the set's own size."""
+    """The k nearest vectors of each query (ids divisible by 50) among all others."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    scored = e.join(q, F.col("vec_id") != F.col("query")).select("query", F.struct(F.round(S.dot(F.col("embedding"), F.col("qv")), 6).alias("cosine"), (-F.col("vec_id")).alias("minus")).alias("s"))
-    best = scored.groupBy("query", F.pmod(F.xxhash64("s.minus"), F.lit(16)).alias("part")).agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, k).alias("top"))
-    top = best.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"))
-    return top.select("query", F.posexplode("top").alias("place", "s")).select("query", "place", (-F.col("s.minus")).alias("vec_id"), F.col("s.cosine").alias("cosine"))
+    found = best_matches(e.where("vec_id % 50 = 0"), e, k, "vec_id", "vec_id", others=True, digits=6)
+    return found.select("query", "place", F.col("item").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
 
 
 def face_clusters(spark, d):
@@ -218,8 +209,8 @@ def similarity_words(spark, d):
 
 
 def sanitize_album(spark, d):
-    head = F.substring(F.regexp_replace("text", "\n", " "), 1, 90)
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.sanitize_move(head).alias("move"), S.sanitize_folder(head).alias("folder"))
+    name = F.regexp_replace("text", "\n", " ")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.sanitize_move(name).alias("move"), S.sanitize_folder(name).alias("folder"))
 
 
 def path_parts(spark, d):
@@ -243,39 +234,6 @@ def square_box(spark, d):
     return f.select("doc_id", box.alias("x")).select("doc_id", "x.l", "x.t", "x.r", "x.b")
 
 
-def _images(spark, d):
-    """A picture of each whole text: how often a byte follows another, modulo 48, in three colours by place modulo 3."""
-    import numpy as np
-    import pandas as pd
-
-    from millrace.functions import images
-
-    def picture(text: str) -> np.ndarray:
-        b = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
-        k = np.arange(max(0, len(b) - 1))
-        counts = np.bincount((b[:-1] % 48 * 48 + b[1:] % 48) * 3 + k % 3, minlength=48 * 48 * 3).reshape(48, 48, 3) if len(b) > 1 else np.zeros((48, 48, 3))
-        return 255.0 * counts / max(1, counts.max())
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                img = picture(r.text or "")
-                rows.append((r.doc_id, *images.signature(img), images.hog(img).tolist()))
-            yield pd.DataFrame(rows, columns=["id", "dhash", "phash", "colorSig", "hog"])
-
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return docs.mapInPandas(run, "id bigint, dhash bigint, phash bigint, colorSig array<int>, hog array<double>")
-
-
-def image_signatures(spark, d):
-    return _images(spark, d).select("id", "dhash", "phash", "colorSig")
-
-
-def hog_descriptors(spark, d):
-    return _images(spark, d).select("id", F.size("hog").alias("dim"), F.round(F.aggregate("hog", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
-
-
 def removal_plan(spark, d):
     return folders.freed(folders.removal_plan(_doc_photos(spark, d).withColumn("docUri", F.when(F.col("id") % 3 == 0, F.col("name")))))
 
@@ -292,7 +250,7 @@ QUERIES = {
     "people_view": people_view, "majority_person": majority_person, "home_cluster": home_cluster, "cluster_rename_merge_pin": cluster_rename_merge_pin,
     "folder_plan_people": folder_plan_people, "folder_plan_months": folder_plan_months, "month_orders": month_orders, "captured_at": captured_at, "date_text": date_text,
     "human_bytes": human_bytes, "similarity_words": similarity_words, "sanitize_album": sanitize_album, "path_parts": path_parts,
-    "face_quality": face_quality, "square_box": square_box, "removal_plan": removal_plan, "image_signatures": image_signatures, "hog_descriptors": hog_descriptors,
+    "face_quality": face_quality, "square_box": square_box, "removal_plan": removal_plan,
 }
 
 _WORDS = r"string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '[ \t\n\r]+')"
@@ -311,16 +269,17 @@ sig AS (SELECT p.*, coalesce(a.h, 0::UBIGINT) AS ph, coalesce(b.h, 0::UBIGINT) A
 keys AS (SELECT id, (0 << 20) + k * 4096 + ((ph >> (8 * k)) & 255)::INT AS key FROM sig, range(8) z(k) UNION ALL SELECT id, (1 << 20) + k * 4096 + ((dh >> (8 * k)) & 255)::INT FROM sig, range(8) z(k))"""
 
 
-def _pairs_sql(items: str = "sig") -> str:
-    return f"""kk AS (SELECT keys.* FROM keys WHERE id IN (SELECT id FROM {items})), ok AS (SELECT key FROM kk GROUP BY key HAVING count(*) BETWEEN 2 AND 4000),
+def _pairs_sql(items: str = "sig", cap: int | None = None) -> str:
+    most = f"BETWEEN 2 AND {cap}" if cap else "> 1"
+    return f"""kk AS (SELECT keys.* FROM keys WHERE id IN (SELECT id FROM {items})), ok AS (SELECT key FROM kk GROUP BY key HAVING count(*) {most}),
 cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM kk x JOIN kk y ON x.key = y.key AND x.id < y.id WHERE x.key IN (SELECT key FROM ok)),
 dist AS (SELECT cand.*, bit_count(xor(p.ph, q.ph))::INT AS dp, bit_count(xor(p.dh, q.dh))::INT AS dd, p.width AS wa, p.height AS ha, q.width AS wb, q.height AS hb, p.sig AS sa, q.sig AS sb FROM cand JOIN sig p ON p.id = a JOIN sig q ON q.id = b)"""
 
 
-def _level_sql(v: C.Level) -> str:
+def _level_sql(v: C.Level, cap: int | None = None) -> str:
     total = lambda v, c: f"list_sum(list_transform(range(0, 16), lambda m: {v}[m * 3 + {c} + 1]))"
     part = lambda c: f"((list_sum(list_transform(range(0, 16), lambda k: abs((sa[k * 3 + {c} + 1] - sb[k * 3 + {c} + 1]) * 16 - ({total('sa', c)} - {total('sb', c)}))))::BIGINT + 128) // 256)"
-    return f"""{_SIG}, live AS (SELECT * FROM sig WHERE list_max(sig) - list_min(sig) >= {C.FLAT_SPREAD}), {_pairs_sql("live")},
+    return f"""{_SIG}, live AS (SELECT * FROM sig WHERE list_max(sig) - list_min(sig) >= {C.FLAT_SPREAD}), {_pairs_sql("live", cap)},
 near AS (SELECT *, (({part(0)} + {part(1)} + {part(2)}) // 3)::INT AS dc FROM dist WHERE ((dp <= {v.p_max} AND dd <= {v.d_max}) OR (dp <= {v.p_strict} AND dd <= {v.d_max + 6}) OR (dd <= {v.d_strict} AND dp <= {v.p_max + 4}))
   AND (least(wa, ha, wb, hb) <= 0 OR abs(ln((wa / ha) / (wb / hb))) <= {v.aspect_tol})),
 pairs AS (SELECT a, b, dp, dd, dc FROM near WHERE dc <= {v.color_max})"""
@@ -344,7 +303,6 @@ _UNITS = ["KB", "MB", "GB", "TB"]
 _HUMAN = "CASE WHEN bytes <= 0 THEN '0 B' WHEN bytes < 1024 THEN bytes || ' B' " + " ".join(f"WHEN bytes < {1024 ** (k + 2)} THEN printf('%.1f {u}', floor(bytes / {float(1024 ** (k + 1))}::DOUBLE * 10 + 0.5) / 10)" for k, u in enumerate(_UNITS[:3])) + f" ELSE printf('%.1f TB', floor(bytes / {float(1024**4)}::DOUBLE * 10 + 0.5) / 10) END"
 
 SQL = {
-    "hog_descriptors": "SELECT doc_id AS id, 1568 AS dim, 1.0::DOUBLE AS norm FROM documents WHERE strlen(text) > 1",
     "exact_groups": f"WITH {_GROUPS} SELECT * FROM g",
     "exact_members": f"WITH {_GROUPS} SELECT s.sha, s.id, g.keeper_id, s.id = g.keeper_id AS is_keeper, 0 AS distance, (row_number() OVER (PARTITION BY s.sha ORDER BY s.id = g.keeper_id DESC, score DESC, s.id) - 1)::INT AS place FROM scored s JOIN g USING (sha)",
     "exact_waste_summary": f"WITH {_GROUPS} SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS members, coalesce(sum(reclaimable), 0)::BIGINT AS reclaimable FROM g",
@@ -355,12 +313,12 @@ SQL = {
     "head_tier_candidates": f"WITH {_PHOTOS}, t AS (SELECT *, count(*) OVER (PARTITION BY size) AS s1, sha256(array_slice(encode(text), 1, {TEXT_HEAD})) AS head FROM photos) SELECT id, size, head, same FROM (SELECT *, count(*) OVER (PARTITION BY size, head) AS same FROM t WHERE s1 > 1) WHERE same > 1",
     "scope_filter_prefix": f"WITH {_PHOTOS} SELECT id, bucket, relPath FROM photos WHERE (starts_with(relPath, '/corpus/en/src1') OR starts_with(relPath, '/corpus/de')) AND bucket <> 'src11'",
     "album_list": f"WITH {_PHOTOS} SELECT bucket, count(*) AS n FROM photos WHERE starts_with(relPath, '/corpus/en') GROUP BY bucket",
-    "band_keys": f"WITH {_SIG} SELECT (key // 4096)::INT AS band, count(*) AS n, count(DISTINCT key) AS keys FROM keys WHERE key < 1048576 GROUP BY 1",
+    "band_keys": f"WITH {_SIG} SELECT (key // 4096)::INT AS band, count(*) AS n, count(DISTINCT key) AS keys FROM keys GROUP BY 1",
     "band_bucket_sizes": f"WITH {_SIG}, s AS (SELECT key, count(*) AS n FROM keys GROUP BY key) SELECT n, count(*) AS buckets FROM s GROUP BY n",
-    "lsh_candidates": f"WITH {_SIG}, {_pairs_sql()} SELECT a, b FROM cand",
-    "hamming_pairs": f"WITH {_SIG}, {_pairs_sql()} SELECT a, b, dp, dd FROM dist WHERE dp <= 7",
+    "lsh_candidates": f"WITH {_SIG}, {_pairs_sql(cap=C.BUCKET_CAP)} SELECT a, b FROM cand",
+    "hamming_pairs": f"WITH {_SIG}, {_pairs_sql(cap=C.BUCKET_CAP)} SELECT a, b, dp, dd FROM dist WHERE dp <= 7",
     **{f"similar_pairs_{v.name}": f"WITH {_level_sql(v)} SELECT * FROM pairs" for v in C.LEVELS.values()},
-    "flat_documents": f"WITH {_SIG} SELECT id, list_max(sig) - list_min(sig) AS spread FROM sig WHERE list_max(sig) - list_min(sig) < 24",
+    "flat_documents": f"WITH {_SIG} SELECT id, list_max(sig) - list_min(sig) AS spread FROM sig WHERE list_max(sig) - list_min(sig) < 12",
     "similar_components": f"WITH RECURSIVE {_level_sql(C.BALANCED)}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), walk AS (SELECT x, x AS y FROM e UNION SELECT walk.x, e.y FROM walk JOIN e ON walk.y = e.x) SELECT x AS id, min(y) AS component FROM walk GROUP BY x",
     "snapshot_merge": f"""WITH {_HALVES} SELECT coalesce(s.id, f.id) AS id, CASE WHEN f.id IS NULL THEN s.bucket ELSE f.bucket END AS bucket, CASE WHEN f.id IS NULL THEN s.size ELSE f.size END AS size,
   CASE WHEN f.id IS NULL OR s.size = f.size THEN s.sha END AS sha, CASE WHEN s.id IS NOT NULL AND (f.id IS NULL OR s.size = f.size) THEN 7 ELSE 0 END::BIGINT AS dhash, CASE WHEN s.id IS NOT NULL AND (f.id IS NULL OR s.size = f.size) THEN 1 ELSE 0 END::INT AS sigVersion,
@@ -390,7 +348,7 @@ SQL = {
     "date_text": f"WITH {_PHOTOS} SELECT id, strftime(epoch_ms(dateModified * 1000), '%d.%m.%Y') AS day FROM photos",
     "human_bytes": f"WITH x AS (SELECT doc_id, n_chars * n_chars * (doc_id % 40) * (doc_id % 40) AS bytes FROM documents) SELECT doc_id, bytes, {_HUMAN} AS text FROM x",
     "similarity_words": f"SELECT doc_id, CASE WHEN doc_id % 9 <= 2 THEN '{S.SIMILARITY_WORDS[0]}' WHEN doc_id % 9 <= 6 THEN '{S.SIMILARITY_WORDS[1]}' ELSE '{S.SIMILARITY_WORDS[2]}' END AS words FROM documents",
-    "sanitize_album": r"WITH x AS (SELECT doc_id, trim(substr(replace(text, chr(10), ' '), 1, 90)) AS h FROM documents), y AS (SELECT doc_id, regexp_replace(h, '[^\p{L}\p{N} _-]', '', 'g') AS m, substr(regexp_replace(h, '[^\p{L}\p{N} _.-]', '', 'g'), 1, 60) AS f FROM x) SELECT doc_id, CASE WHEN trim(m) = '' THEN 'Album' ELSE m END AS move, CASE WHEN trim(f) = '' THEN 'Album' ELSE f END AS folder FROM y",
+    "sanitize_album": r"WITH x AS (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS h FROM documents), y AS (SELECT doc_id, regexp_replace(h, '[^\p{L}\p{N} _-]', '', 'g') AS m, substr(regexp_replace(h, '[^\p{L}\p{N} _.-]', '', 'g'), 1, 60) AS f FROM x) SELECT doc_id, CASE WHEN trim(m) = '' THEN 'Album' ELSE m END AS move, CASE WHEN trim(f) = '' THEN 'Album' ELSE f END AS folder FROM y",
     "path_parts": f"WITH {_PHOTOS} SELECT id, bucket AS label, id::VARCHAR AS last, CASE WHEN id % 2 = 0 THEN '{S.STORAGE_ROOT}/' ELSE '/storage/12-AB/' END || bucket || '/x' AS path FROM photos",
     "face_quality": f"WITH f AS (SELECT {_DETECTED} FROM documents), g AS (SELECT *, least(r - l, b - t) / 900.0::DOUBLE AS rel FROM f WHERE r - l >= 40 AND b - t >= 40 AND abs(yaw) <= 45 AND (eyes OR abs(roll) <= 30)) SELECT doc_id, round(least(rel / 0.35::DOUBLE, 1.0::DOUBLE) * 0.45::DOUBLE + (1 - abs(yaw) / 45.0::DOUBLE) * 0.25::DOUBLE + (1 - least(abs(roll), 30) / 30.0::DOUBLE) * 0.15::DOUBLE + CASE WHEN eyes THEN 0.15::DOUBLE ELSE 0 END, 6) AS quality FROM g",
     "square_box": f"""WITH f AS (SELECT {_DETECTED} FROM documents), s AS (SELECT *, floor(greatest(r - l, b - t) * 1.28::DOUBLE)::INT // 2 AS h, (l + r) // 2 AS cx, (t + b) // 2 - floor((b - t) * 0.04::DOUBLE)::INT AS cy FROM f),

@@ -7,21 +7,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
 from millrace.config import HEAD_BYTES
 from millrace.functions import images, scalar as S
+from millrace.operators import exact
+from millrace.storage import Workspace
 
-#: Levels below a picked root, files per root.
+#: Levels below a picked root; files that the original takes from a root (``max_files`` restores that).
 MAX_DEPTH, MAX_FILES = 12, 60_000
+#: Least short side of a picture that is hashed.
+HASH_SIDE = 96
 
 
 def scan_catalogue(rows: DataFrame) -> DataFrame:
-    """Listed rows with content, the first of each path (rows without a path all pass), nulls filled."""
+    """Listed rows with content, the one with the least id of each path (rows without a path all pass), nulls filled."""
     listed = rows.where("size > 0")
-    rank = F.row_number().over(Window.partitionBy("relPath").orderBy("id"))
-    named = listed.where("relPath <> ''").withColumn("_r", rank).where("_r = 1").drop("_r").unionByName(listed.where("relPath is null or relPath = ''"))
+    first = listed.where("relPath <> ''").groupBy("relPath").agg(F.min_by(F.struct(*rows.columns), "id").alias("_row")).select("_row.*")
+    named = first.unionByName(listed.where("relPath is null or relPath = ''"))
     blank = lambda c, other: F.coalesce(F.col(c), other)
     return (
         named.withColumn("name", blank("name", S.root_label(F.col("relPath")))).withColumn("bucket", blank("bucket", S.folder_label(F.col("relPath"))))
@@ -31,47 +38,99 @@ def scan_catalogue(rows: DataFrame) -> DataFrame:
 
 def synthetic_id(uri: Column) -> Column:
     def ids(s: pd.Series) -> pd.Series:
-        return s.map(images.synthetic_id)
+        return s.map(images.synthetic_id, na_action="ignore")
 
     return F.pandas_udf(ids, LongType())(uri)
 
 
-def walk(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH, max_files: int = MAX_FILES) -> DataFrame:
-    """Image files below a root: only path, length and time are read. Hidden names, deep levels and other extensions are
-    left out; a root gives so many files at most, in path order."""
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """``uri, rel, length, millis, mime`` of all files below a root; only names, lengths and times are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.substring_index(F.col("path"), base + "/", -1)
-    parts = F.split(rel, "/")
+    return files.select(F.col("path").alias("uri"), F.substring_index(F.col("path"), base + "/", -1).alias("rel"), "length", F.unix_millis("modificationTime").alias("millis"), F.lit(None).cast("string").alias("mime"))
+
+
+def accepted(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, max_files: int | None = None) -> DataFrame:
+    """Catalogue rows of a listing (``uri, rel, length, millis, mime``): files with content that say that they are images,
+    or whose name does, unless a part of their path is hidden or lies too deep. ``max_files`` keeps the first by path."""
+    parts = F.split("rel", "/")
     name = F.element_at(parts, -1)
-    keep = ~F.exists(parts, lambda p: p.startswith(".")) & (F.size(parts) <= max_depth + 1) & S.extension(name).isin(*S.IMAGE_EXTENSIONS) & (F.col("length") > 0)
-    found = files.where(keep).orderBy("path").limit(max_files)
-    seconds = F.unix_timestamp("modificationTime")
-    path = F.regexp_replace("path", "^file:/+", "/")
+    image = F.coalesce(F.col("mime").startswith("image/"), F.lit(False))
+    keep = ~F.exists(parts, S.is_hidden) & (F.size(parts) <= max_depth + 1) & (image | S.extension(name).isin(*S.IMAGE_EXTENSIONS)) & (F.col("length") > 0)
+    found = files.where(keep)
+    found = found.orderBy("rel").limit(max_files) if max_files else found
+    path = F.concat(F.lit(root.rstrip("/") + "/"), "rel")
+    seconds = F.floor(F.col("millis") / 1000).cast("bigint")
     return found.select(
-        synthetic_id(F.col("path")).alias("id"), F.substring_index("path", "/", -1).alias("name"), S.folder_label(path).alias("bucket"), path.alias("relPath"), F.col("length").alias("size"),
-        F.lit(0).alias("width"), F.lit(0).alias("height"), seconds.alias("dateAdded"), seconds.alias("dateModified"), F.lit(0).cast("bigint").alias("dateTaken"), F.lit("image/*").alias("mime"), F.col("path").alias("docUri"),
+        synthetic_id(F.col("uri")).alias("id"), name.alias("name"), S.folder_label(path).alias("bucket"), path.alias("relPath"), F.col("length").alias("size"),
+        F.lit(0).alias("width"), F.lit(0).alias("height"), seconds.alias("dateAdded"), seconds.alias("dateModified"), F.lit(0).cast("bigint").alias("dateTaken"),
+        F.when(image, F.col("mime")).otherwise(F.lit("image/*")).alias("mime"), F.col("uri").alias("docUri"),
     )
 
 
-def walk_roots(spark: SparkSession, roots: list[str], known: DataFrame) -> DataFrame | None:
-    """Files of all roots that the catalogue lacks, the first of each id. Known means: same path, or, without a path, same
-    name and size."""
-    frames = [walk(spark, r).withColumn("_root", F.lit(k)) for k, r in enumerate(roots)]
-    if not frames:
-        return None
-    every = functools.reduce(DataFrame.unionByName, frames)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("_root"))
-    every = every.withColumn("_r", rank).where("_r = 1").drop("_r", "_root")
-    with_path = every.where("relPath is not null").join(known.select("relPath").distinct(), "relPath", "left_anti")
-    without = every.where("relPath is null").join(known.select("name", "size").distinct(), ["name", "size"], "left_anti")
+def walk(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH, max_files: int | None = None) -> DataFrame:
+    """Image files below a root."""
+    return accepted(listing(spark, root), root.removeprefix("file:"), max_depth, max_files)
+
+
+def not_known(walked: DataFrame, known: DataFrame) -> DataFrame:
+    """Walked files that the catalogue lacks. Known means: same path, or, without a path, same name and size."""
+    with_path = walked.where("relPath is not null").join(known.select("relPath").distinct(), "relPath", "left_anti")
+    without = walked.where("relPath is null").join(known.select("name", "size").distinct(), ["name", "size"], "left_anti")
     return with_path.unionByName(without)
 
 
-def with_hashes(spark: SparkSession, paths: DataFrame, root: str, head: int = HEAD_BYTES) -> DataFrame:
-    """``path, head, sha`` for the given paths: the list joins the listing first, so other files are never opened."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    return content.join(paths.select("path"), "path", "left_semi").select("path", F.sha2(F.substring("content", 1, head), 256).alias("head"), F.sha2("content", 256).alias("sha"))
+def first_of_roots(walked: list[DataFrame]) -> DataFrame:
+    """The rows of all roots, of each id the one of the first root."""
+    every = functools.reduce(DataFrame.unionByName, [df.withColumn("_root", F.lit(k)) for k, df in enumerate(walked)])
+    return every.groupBy("id").agg(F.min_by(F.struct(*walked[0].columns), "_root").alias("_row")).select("_row.*")
+
+
+def walk_roots(spark: SparkSession, roots: list[str], known: DataFrame) -> DataFrame | None:
+    """Files of all roots that the catalogue lacks; roots that can't be listed are skipped."""
+    walked = []
+    for root in roots:
+        try:
+            walked.append(walk(spark, root))
+        except AnalysisException:
+            continue
+    return not_known(first_of_roots(walked), known) if walked else None
+
+
+def whole_catalogue(rows: DataFrame, walked: DataFrame | None) -> DataFrame:
+    """Catalogue rows and the walked files that they lack."""
+    scanned = scan_catalogue(rows)
+    return scanned if walked is None else scanned.unionByName(not_known(walked, scanned), allowMissingColumns=True)
+
+
+def read_bytes(paths: DataFrame, limit: int | None = None) -> DataFrame:
+    """``path, content``: the first ``limit`` bytes of each file, or all; null where a file can't be read. No more is read
+    than is asked for, and no file but the given ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():  # one file at a time, as whole files may be large
+                try:
+                    system, where = pa.fs.FileSystem.from_uri(path)
+                    with system.open_input_file(where) as f:
+                        content = f.read(limit) if limit is not None else f.read()
+                except (OSError, pa.ArrowException):
+                    content = None
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([content], pa.binary())], names=["path", "content"])
+
+    return paths.select("path").mapInArrow(run, "path string, content binary")
+
+
+def content_hash(paths: DataFrame, limit: int | None = None) -> DataFrame:
+    """``path, hash, bytes_read``: SHA-256 of the first ``limit`` bytes, or of all."""
+    return read_bytes(paths, limit).select("path", F.sha2("content", 256).alias("hash"), F.length("content").alias("bytes_read"))
+
+
+def tiered_hashes(photos: DataFrame, head: int = HEAD_BYTES, ws: Workspace | None = None) -> DataFrame:
+    """Catalogue rows (with their file's address in ``docUri``) with the hashes that exact duplicates need: heads of files
+    of one size, whole files only of one size and head."""
+    by_uri = lambda df, limit, name: df.select("id", "docUri").join(content_hash(df.select(F.col("docUri").alias("path")), limit), F.col("docUri") == F.col("path")).select("id", F.col("hash").alias(name))
+    return exact.tiered(photos, lambda df: by_uri(df, head, "head"), lambda df: by_uri(df, None, "sha"), ws)
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
@@ -79,20 +138,35 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "true").load(root).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
 
 
+def orientations(decoded: DataFrame, head: int = HEAD_BYTES) -> DataFrame:
+    """``decoded`` with ``degrees``, the turn that each file's head states."""
+    degrees = F.pandas_udf(lambda s: s.map(lambda c: images.orientation_degrees(bytes(c)) if c is not None else 0), "int")
+    heads = read_bytes(decoded.select(F.col("origin").alias("path")), head).select(F.col("path").alias("origin"), degrees("content").alias("degrees"))
+    return decoded.join(heads, "origin", "left").withColumn("degrees", F.coalesce("degrees", F.lit(0)))
+
+
 def _rgb(width: int, height: int, channels: int, data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     return np.repeat(raw, 3, 2) if channels == 1 else raw[..., 2::-1]
 
 
 def signatures(decoded: DataFrame) -> DataFrame:
-    """``origin, dhash, phash, colorSig`` of decoded images."""
+    """``origin, dhash, phash, colorSig`` of decoded images, subsampled and turned by ``degrees`` where there are any; all
+    null where an image can't be handled."""
+    turned = decoded if "degrees" in decoded.columns else decoded.withColumn("degrees", F.lit(0))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(r.origin, *images.signature(_rgb(r.width, r.height, r.nChannels, r.data))) for r in f.itertuples()]
-            yield pd.DataFrame(rows, columns=["origin", "dhash", "phash", "colorSig"])
-
-    return decoded.mapInPandas(run, "origin string, dhash bigint, phash bigint, colorSig array<int>")
+            rows = []
+            for r in f.itertuples():
+                try:
+                    small = images.subsampled(_rgb(r.width, r.height, r.nChannels, r.data), HASH_SIDE)
+                    rows.append((r.origin, *images.signature(images.upright(small, r.degrees))))
+                except (ValueError, IndexError, ZeroDivisionError):
+                    rows.append((r.origin, None, None, None))
+            yield pd.DataFrame(rows, columns=["origin", "dhash", "phash", "colorSig"]).astype({"dhash": "Int64", "phash": "Int64"})
+
+    return turned.select("origin", "width", "height", "nChannels", "data", "degrees").mapInPandas(run, "origin string, dhash bigint, phash bigint, colorSig array<int>")
 
 
 def face_rows(decoded: DataFrame, detections: DataFrame, embedder: str = "hog") -> DataFrame:

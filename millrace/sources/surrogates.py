@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -9,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.storage import Workspace
+
 _BLANK = " \t\n\r"
 
 
@@ -29,28 +32,37 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+@functools.lru_cache(maxsize=200_000)
+def _digest(token: str) -> bytes:
+    return hashlib.md5(token.encode()).digest()[:8]
+
+
 def text_signature(words: list[str]) -> tuple[int, int, list[int]]:
     """SimHash of words, of word pairs, and 48 hashed word shares."""
-    out = []
+    out, cells = [], np.zeros(0, np.int64)
     for tokens in (words, [a + " " + b for a, b in zip(words, words[1:], strict=False)]):
-        raw = b"".join(hashlib.md5(t.encode()).digest()[:8] for t in tokens)
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).astype(np.int64).sum(0) if tokens else np.zeros(64)
-        flags = 2 * bits > len(tokens)
-        out.append(_signed(int("".join("1" if f else "0" for f in flags), 2)))
-    counts = np.bincount([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 48 for t in words], minlength=48)
+        raw = np.frombuffer(b"".join(map(_digest, tokens)), np.uint8).reshape(-1, 8)
+        if tokens is words:
+            cells = (np.ascontiguousarray(raw[:, :4]).view(">u4").ravel() % 48).astype(np.int64)
+        bits = np.unpackbits(raw, axis=1).sum(0, dtype=np.int64) if tokens else np.zeros(64)
+        out.append(_signed(int("".join("1" if f else "0" for f in 2 * bits > len(tokens)), 2)))
+    counts = np.bincount(cells, minlength=48)
     return out[0], out[1], [min(255, int(255 * c // max(1, len(words)))) for c in counts]
 
 
 def signed_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue rows with signatures, written once so that later plans don't compute them again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = [text_signature(w) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64()), pa.array([s[2] for s in sig], pa.list_(pa.int32()))], names=["_id", "phash", "dhash", "colorSig"])
 
     base = photos(spark, sf_dir)
+    ws = Workspace(spark, "signed")
     words = F.split(F.btrim(F.lower("text"), F.lit(_BLANK)), f"[{_BLANK}]+")
     sig = base.select(F.col("id").alias("_id"), words.alias("words")).mapInArrow(run, "_id bigint, phash bigint, dhash bigint, colorSig array<int>")
-    return base.drop("text").join(sig, F.col("id") == F.col("_id")).drop("_id").withColumn("sigVersion", F.lit(1))
+    return ws.save(base.drop("text").join(sig, F.col("id") == F.col("_id")).drop("_id").withColumn("sigVersion", F.lit(1)), "photos")
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
