@@ -61,6 +61,21 @@ def test_similar_groups_scenarios(spark):
     assert N.similar_groups(same).count() == 0
 
 
+def brute_force_refine(pool, score, similar, rounds=C.REFINE_ROUNDS):
+    """Plain statement of ``refine``; ``similar``: every similar pair ``a < b``, not only candidates."""
+    if len(pool) <= 2:
+        return [set(pool)]
+    out, left = [], sorted(pool)
+    for _ in range(rounds):
+        if not left:
+            break
+        anchor = max(left, key=lambda k: (score[k], -k))
+        keep = {k for k in left if k == anchor or (min(k, anchor), max(k, anchor)) in similar}
+        out.append(keep)
+        left = [k for k in left if k not in keep]
+    return [*out, set(left)] if left else out
+
+
 def test_levels_are_monotonic_and_refine_matches_brute_force(spark):
     rows = frame(spark, *[photo(i + 1, phash=flip(BASE, 2 * i), dhash=flip(BASE, 2 * i), colorSig=sig(3), size=2_000_000 + 2000 * i) for i in range(6)])
     strict, loose = N.similar_groups(rows, C.STRICT), N.similar_groups(rows, C.LOOSE)
@@ -70,7 +85,7 @@ def test_levels_are_monotonic_and_refine_matches_brute_force(spark):
     comps = {}
     for r in N.similar_components(rows, C.STRICT).collect():
         comps.setdefault(r.component, []).append(r.id)
-    want = {frozenset(s) for pool in comps.values() for s in N.brute_force_refine(pool, score, edges) if len(s) > 1}
+    want = {frozenset(s) for pool in comps.values() for s in brute_force_refine(pool, score, edges) if len(s) > 1}
     got = {}
     for r in strict.collect():
         got.setdefault(r.set_id, set()).add(r.id)
@@ -219,8 +234,10 @@ def test_folder_walk_images_and_stream(spark, tmp_path):
     assert [(r.name, r.bucket) for r in found] == [("x.png", "a")]
     (s,) = catalogue.signatures(catalogue.read_images(spark, str(root / "a"))).collect()
     assert (s.dhash, s.phash, s.colorSig) == I.signature(img)
-    (h,) = catalogue.with_hashes(spark, spark.createDataFrame([(found[0].docUri,)], "path string"), str(root)).collect()
-    assert h.head == h.sha
+    gone = "file:" + str(root / "gone.png")
+    hashes = {r.path: r for r in catalogue.content_hash(spark.createDataFrame([(found[0].docUri,), (gone,)], "path string"), 100).collect()}
+    assert hashes[found[0].docUri].bytes_read == 100 and hashes[gone].hash is None
+    assert catalogue.walk_roots(spark, [str(tmp_path / "no folder"), str(root)], frame(spark)).count() == 1 and catalogue.walk(spark, str(root), max_files=1).count() == 1
     store = Catalogue(spark, str(tmp_path / "store"), schemas.PHOTOS)
     incoming = tmp_path / "in"
     frame(spark, photo(1, sha="A"), photo(2)).write.parquet(str(incoming))
