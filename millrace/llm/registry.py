@@ -4,9 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from millrace.llm import embedding_join, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, quote_links, sql, substring_dedup, url_filter
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2's columns that follow from the rules alone."""
+    found = url_filter.op2(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5's columns of base spans."""
+    return pii.op5(spark, sf_dir).drop("spans")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7's counts and base rules."""
+    return quality_rules.op7(spark, sf_dir).drop("char_distance", "word_distance", "kept")
 
-from millrace.llm import embedding_join, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, quote_links, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": embedding_join.op1,
@@ -19,8 +35,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality_classifier.op8,
     "op9_packing": packing.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "url_rules": url_rules,
+    "pii_base": pii_base,
+    "quality_counts": quality_counts,
 }
 
+#: Operators 4, 8 and 9 have no SQL (reply paths, a trained network, a tokenizer); of 2, 5 and 7 it covers what no model decides.
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": sql.OP1,
+    "op3_jaccard_join": sql.OP3,
     "op6_source_mixing": mixing.OP6_SQL,
+    "op10_substring_dedup": sql.OP10,
+    "url_rules": sql.URL_RULES,
+    "pii_base": sql.PII_BASE,
+    "quality_counts": sql.QUALITY_COUNTS,
 }
