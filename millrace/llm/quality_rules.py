@@ -1,8 +1,8 @@
 """Quality rules with distribution divergence (operator 7).
 
 Each document's character-class and common-word histograms are compared with its language's reference by the
-Jensen-Shannon distance (base 2, 0 to 1). References are summed over all documents of the language that pass the base
-rules. Texts below the minimum lengths are not judged by divergence.
+Jensen-Shannon distance (base 2, 0 to 1). References are the mean shares over all documents of the language that pass the
+base rules. Texts below the minimum lengths are not judged by divergence.
 
 Most words are in no list, so a text without any common word lies within 0.36 of its reference, and short texts lie
 farther off than long ones. A language's word limit is therefore taken from the distances of all its judged documents
@@ -44,8 +44,8 @@ JUDGE_WORDS, JUDGE_CHARS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 40, 200, 0.30,
 #: Derived word limits: bins of a distance, spreads above the median, least spread (a share of the median), documents that
 #: a length needs, share of common words from which a reference tells texts without any.
 BINS, SPREADS, LEAST_SPREAD, LEAST_DOCS, LEAST_COMMON = 1000, 6, 0.05, 20, 0.05
-#: Lengths by half powers of two words.
-N_LENGTH = 128
+#: Lengths by half powers of two words; what the shares of one document add up to.
+N_LENGTH, UNIT = 128, 1 << 24
 
 _CLASS = np.full(256, 5, np.uint8)
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A] = 0, 1, 2
@@ -151,13 +151,20 @@ def _histograms(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, _HISTOGRAM).astype(np.int64)
 
 
+def shares(both: np.ndarray) -> np.ndarray:
+    """Each row's two histograms as shares of UNIT: whole numbers, so that sums don't depend on the order of the rows."""
+    parts = (both[:, :N_CLASS], both[:, N_CLASS:])
+    return np.hstack([np.rint(p * (UNIT / np.maximum(p.sum(1, keepdims=True), 1))).astype(np.int64) for p in parts])
+
+
 def references(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Summed histograms by language, over all base-passing documents; one vector at most for each of the languages."""
+    """Summed shares by language, over all base-passing documents, each of the same weight so that no long one decides
+    alone; one vector at most for each of the languages."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(LANGS), _HISTOGRAM), np.int64)
         for batch in batches:
-            own, both = np.asarray(batch.column(0)), _histograms(batch.column(1))
+            own, both = np.asarray(batch.column(0)), shares(_histograms(batch.column(1)))
             for k in np.unique(own):
                 sums[k] += both[own == k].sum(0)
         k, j = np.nonzero(sums)
