@@ -124,7 +124,7 @@ def _form(rng: random.Random) -> tuple[str, str, str, bool]:
     if kind == "ip":
         groups = [hx(rng.randint(1, 4)) for _ in range(8)]
         end = hx(rng.randint(1, 4))
-        octet = lambda: str(rng.randint(0, 255))
+        octet = lambda: str(rng.randint(0, rng.choice((9, 99, 255))))
         o, dot = [octet() for _ in range(4)], rng.choice((" dot ", "[.]", " [dot] ", "(dot)"))
         good = (":".join(groups), f"2001:db8::{end}", f"2a02:{hx(3)}:{hx(1)}::{end}", f"{hx(4)}::{end}", "fe80::" + ":".join(groups[: rng.randint(1, 4)]), f"{hx(4)}:{hx(4)}::{hx(4)}:{hx(3)}", dot.join(o))
         mac = ":".join(hx(2) for _ in range(6))
