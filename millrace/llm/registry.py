@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import embedding_join, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, quote_links, sql, substring_dedup, url_filter
 
+def quote_links_on_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over the same messages with quotes put in, as the table holds none."""
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").createOrReplaceTempView("millrace_conversations")
+    made = sql.ANSWERS.replace("FROM conversations", "FROM millrace_conversations").replace("chr(10)", "char(10)")
+    return quote_links.reply_order(spark.sql(made))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2's columns that follow from the rules alone."""
     found = url_filter.op2(spark, sf_dir)
@@ -35,15 +42,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality_classifier.op8,
     "op9_packing": packing.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "quote_links_on_answers": quote_links_on_answers,
     "url_rules": url_rules,
     "pii_base": pii_base,
     "quality_counts": quality_counts,
 }
 
-#: Operators 4, 8 and 9 have no SQL (reply paths, a trained network, a tokenizer); of 2, 5 and 7 it covers what no model decides.
+#: Operators 8 and 9 have no SQL (a trained network, a tokenizer); of 2, 5 and 7 it covers what no model decides.
 SQL: dict[str, str] = {
     "op1_embedding_near_dedup": sql.OP1,
     "op3_jaccard_join": sql.OP3,
+    "op4_quote_links": sql.OP4,
+    "quote_links_on_answers": sql.quote_links(sql.ANSWERS),
     "op6_source_mixing": mixing.OP6_SQL,
     "op10_substring_dedup": sql.OP10,
     "url_rules": sql.URL_RULES,

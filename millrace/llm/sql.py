@@ -96,3 +96,40 @@ c AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
   FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
 """
+
+
+def quote_links(conversations: str) -> str:
+    """Links, reply order and own texts of a table's messages; ``conversations`` is the SQL of that table."""
+    norm = lambda x: f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
+    step = lambda t: f"chr((96 + len({t}::VARCHAR))::INT) || {t}"
+    return rf"""
+WITH RECURSIVE conversation AS MATERIALIZED ({conversations}),
+split_ AS (SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT conv_id, turn, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS l FROM conversation)),
+parsed AS MATERIALIZED (SELECT conv_id, turn, i, len(regexp_replace(m, '[^>]', '', 'g')) AS level, substr(line, len(m) + 1) AS body FROM (SELECT conv_id, turn, i, l[i] AS line, regexp_extract(l[i], '^[ \t]*(?:>[ \t]*)+') AS m FROM split_)),
+kinds AS (SELECT *, CASE WHEN level = 0 AND trim(body) = '' THEN -1 ELSE level END AS kind FROM parsed),
+starts AS (SELECT *, coalesce(kind <> lag(kind) OVER w, true)::INT AS new FROM kinds WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM starts),
+runs AS MATERIALIZED (SELECT conv_id, turn, kind AS level, {norm("string_agg(body, chr(10) ORDER BY i)")} AS body FROM numbered WHERE kind >= 0 GROUP BY conv_id, turn, run, kind),
+own AS MATERIALIZED (SELECT conv_id, turn, trim(regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10)) AS text, count(*) FILTER (level > 0) AS quoted_lines FROM parsed GROUP BY conv_id, turn),
+items AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT conv_id, turn, 0 AS level, 1 AS whole, {norm("text")} AS body FROM own UNION ALL SELECT conv_id, turn, level, 1, body FROM runs UNION ALL SELECT conv_id, turn, level, 0, {norm("body")} FROM parsed
+  UNION ALL SELECT conv_id, turn, level, 0, unnest(string_split(regexp_replace(body, '([.!?])\s', '\1' || chr(1), 'g'), chr(1))) FROM runs) WHERE body <> ''),
+quoted AS MATERIALIZED (SELECT * FROM items WHERE level > 0),
+here AS MATERIALIZED (SELECT conv_id, body, min(turn) AS said FROM items WHERE level = 0 AND body IN (SELECT body FROM quoted) GROUP BY conv_id, body),
+found AS (SELECT q.*, h.said, o.conv_id AS pc, o.said AS pt FROM quoted q LEFT JOIN here h ON h.conv_id = q.conv_id AND h.body = q.body AND h.said < q.turn LEFT JOIN here o ON o.body = q.body AND o.conv_id <> q.conv_id AND h.said IS NULL),
+targets AS (SELECT conv_id, turn, (said IS NULL)::INT AS far, level, whole, len(body) AS size, coalesce(CASE WHEN said IS NOT NULL THEN conv_id END, pc) AS pc, coalesce(said, pt) AS pt FROM found WHERE said IS NOT NULL OR pc IS NOT NULL),
+nearest_ AS (SELECT conv_id, turn, far, level, whole, size, min(pc) AS pc, arg_min(pt, pc) AS pt FROM targets GROUP BY ALL),
+links AS MATERIALIZED (SELECT conv_id, turn, arg_min(pc, (far, level, -whole, -size, -pt, pc)) AS parent_conv, arg_min(pt, (far, level, -whole, -size, -pt, pc)) AS parent_turn FROM nearest_ GROUP BY conv_id, turn),
+up AS (SELECT conv_id, turn, turn AS cur, 0 AS depth, {step("turn")} AS path FROM own UNION ALL SELECT up.conv_id, up.turn, l.parent_turn, up.depth + 1, {step("l.parent_turn")} || up.path FROM up JOIN links l ON l.conv_id = up.conv_id AND l.turn = up.cur AND l.parent_conv = l.conv_id),
+roots AS (SELECT conv_id, turn, max(depth)::INT AS depth, arg_max(cur, depth) AS root_turn, arg_max(path, depth) AS reply_key FROM up GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, c.role, parent_conv, parent_turn, root_turn, depth, reply_key, quoted_lines::INT AS quoted_lines, own.text FROM conversation c JOIN own USING (conv_id, turn) JOIN roots USING (conv_id, turn) LEFT JOIN links USING (conv_id, turn)
+"""
+
+
+OP4 = quote_links("SELECT conv_id, turn, role, text FROM conversations")
+
+#: The same messages, most of them with lines of one or two earlier ones as quotes.
+ANSWERS = f"""
+SELECT conv_id, turn, role, CASE WHEN turn % 4 = 1 AND p IS NOT NULL THEN '> ' || split_part(p, chr(10), 1) || chr(10) WHEN turn % 4 = 2 AND pp IS NOT NULL THEN '> > ' || split_part(pp, chr(10), 1) || chr(10) || '> ' || split_part(p, chr(10), 2) || chr(10)
+  WHEN turn % 4 = 3 AND p IS NOT NULL THEN '>' || translate(split_part(pp, '. ', 1), '{LOWER}', '{UPPER}') || '.' || chr(10) || chr(10) ELSE '' END || coalesce(text, '') AS text
+FROM (SELECT *, lag(text) OVER w AS p, lag(text, 2) OVER w AS pp FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+"""
