@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.text import encoded, frugal, mix, slices
+from millrace.llm.text import distinct, encoded, frugal, mix, slices, word_hashes
 from millrace.operators.components import connected_components
 from millrace.storage import Workspace, scratch
 
@@ -45,19 +45,14 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z lower-cased. A word's hash is of its bytes alone."""
-    known: dict[bytes, int] = {}
-    split = [t.lower().split() for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    ids = np.fromiter((known.setdefault(w, len(known)) for words in split for w in words), np.int64, int(n.sum()))
-    hashed = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in known), np.uint64)
-    words = hashed[ids] if len(ids) else np.zeros(0, np.uint64)
+    words, n = word_hashes(texts)
     h = words.copy()
     for k in range(1, width):
         h = mix(h[:-1] * _STEP + words[k:]) if len(h) > 1 else h[:0]
     out, at = [], 0
     for count in n.tolist():
         if count >= width:
-            out.append(np.unique(h[at : at + count - width + 1]))
+            out.append(distinct(h[at : at + count - width + 1]))
         elif count:
             x = words[at : at + 1]
             for k in range(1, count):
@@ -91,8 +86,9 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
             id_type = batch.schema.field(0).type
             for part in slices(batch, limit=SLICE):
                 sets = shingle_sets(encoded(part.column(1)), width)
-                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                np.add.at(sketch, (every >> SKETCH_SHIFT).astype(np.int64), 1)
+                every = np.sort((np.concatenate(sets) >> SKETCH_SHIFT).astype(np.uint32)) if sets else np.zeros(0, np.uint32)
+                starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else every[:0].astype(np.int64)
+                sketch[every[starts]] += np.diff(np.append(starts, len(every))).astype(np.int32)
                 n = len(sets)
                 halves = [_halves(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([h[k] for h in halves], pa.int64()) for k in (0, 1)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "first", "second", "block", "sums"])

@@ -79,3 +79,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: A value for every byte, A-Z as a-z, and the multiplier of a byte's place in its word.
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[0x41:0x5B] += np.uint64(0x20)
+_BYTE = mix(_LOWER + np.uint64(1)) | np.uint64(1)
+_PLACE = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+def _places(n: int, cache: list[np.ndarray] = []) -> np.ndarray:  # noqa: B006
+    """Powers of the multiplier, modulo 2**64."""
+    if not cache or len(cache[0]) < n:
+        cache[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 256), _PLACE)]))]
+    return cache[0]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in turn, A-Z lower-cased, and the number of words of each text."""
+    data, bounds = flat(texts)
+    at = np.flatnonzero(~IS_SPACE[data])
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    first = np.empty(len(at), bool)
+    first[0] = True
+    np.greater(at[1:], at[:-1] + 1, out=first[1:])
+    edges = np.searchsorted(at, bounds[:-1])
+    first[edges[edges < len(at)]] = True  # a text may start right where another ends
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(at)))
+    place = np.arange(len(at)) - np.repeat(starts, sizes)
+    h = np.add.reduceat(_BYTE[data[at]] * _places(int(sizes.max()))[place], starts)
+    return mix(h + sizes.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), np.diff(np.searchsorted(at[starts], bounds))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    s = np.sort(values)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s if new.all() else s[new]
