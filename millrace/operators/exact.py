@@ -13,15 +13,6 @@ from millrace.operators.snapshot import write_sha
 from millrace.storage import Workspace, scratch
 
 
-def keeper_order(rule: KeeperRule) -> list[Column]:
-    """Sort keys under which the keeper comes first; the smallest id breaks ties."""
-    return {
-        KeeperRule.BEST_QUALITY: [quality_score(F.col("width"), F.col("height"), F.col("size")).desc(), F.col("dateModified").asc(), F.col("id").asc()],
-        KeeperRule.OLDEST: [F.col("dateModified").asc(), F.col("id").asc()],
-        KeeperRule.NEWEST: [F.col("dateModified").desc(), F.col("id").asc()],
-    }[rule]
-
-
 def keeper(rule: KeeperRule, *columns: str) -> Column:
     """These columns of the keeper as an aggregate, so that groups are combined before they are shuffled."""
     score = quality_score(F.col("width"), F.col("height"), F.col("size"))

@@ -18,6 +18,8 @@ MERGE_MARGIN, MERGE_BOUND = 0.04, 0.97
 #: A round seeds from so many usable faces at most, best quality first; all others are compared with the clusters in
 #: parallel, and those that reach none are seeded in the next rounds.
 SEED_FACES = 200_000
+#: Centroids up to this size go along with every task; more are met block by block.
+SENT_BYTES = 64 << 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -71,9 +73,28 @@ def usable(faces: DataFrame, quality: float = FACE_QUALITY) -> DataFrame:
     return faces.where(F.col("embedding").isNotNull() & (F.col("quality") >= quality))
 
 
-def nearest(vectors: DataFrame, centroids: np.ndarray, vec_col: str = "embedding") -> DataFrame:
-    """Adds ``near`` and ``cosine``: the best centroid (the later of equal ones). The centroids go along with the task;
-    their number is that of the identities."""
+def _best_first(faces: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and vectors of the best n faces whose vectors are as long as the first one's, and how many faces were taken.
+    They come as Arrow columns, so n vectors take little more than their numbers."""
+    table = faces.orderBy(F.col("quality").desc(), "faceId").select("faceId", "embedding").limit(n).toArrow()
+    lists = table["embedding"].combine_chunks()
+    at = np.asarray(lists.offsets)
+    dims = np.diff(at)
+    dim = int(dims[0]) if len(dims) else 0
+    same = np.flatnonzero(dims == dim)
+    values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.asarray(table["faceId"])[same], values[at[same][:, None] + np.arange(dim)].reshape(len(same), dim), len(dims)
+
+
+def nearest(vectors: DataFrame, centroids: np.ndarray, vec_col: str = "embedding", id_col: str = "faceId", sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """Adds ``near`` and ``cosine``: the best centroid (the later of equal ones), -1 for vectors of another length. Few
+    centroids go along with the task, many meet the vectors in blocks."""
+    if centroids.nbytes > sent_bytes:
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(centroids.ravel()), centroids.shape[1]).cast(pa.list_(pa.float64()))
+        table = vectors.sparkSession.createDataFrame(pa.table({"c": pa.array(-np.arange(len(centroids))), "v": flat}))
+        found = best_matches(vectors.select(id_col, F.col(vec_col).alias("v")), table, 1, id_col, "c", "v")
+        found = found.select(F.col("query").alias(id_col), (-F.col("item")).cast("int").alias("near"), "cosine")
+        return vectors.join(found, id_col, "left").fillna({"near": -1, "cosine": -1.0}).select(*vectors.columns, "near", "cosine")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
@@ -120,21 +141,19 @@ def cluster(faces: DataFrame, threshold: float, seed_faces: int = SEED_FACES, ws
     are joins and a parallel pass over every face."""
     spark = faces.sparkSession
     ws = scratch(spark, "people", ws)
-    best_first = lambda df: df.orderBy(F.col("quality").desc(), "faceId").select("faceId", "embedding").limit(seed_faces).collect()
-    top = best_first(usable(faces))
-    dim = len(top[0].embedding) if top else 0
+    ids, vectors, taken = _best_first(usable(faces), seed_faces)
+    dim = vectors.shape[1]
     good = usable(faces).where(F.size("embedding") == dim)
-    ids, seeded, sums, centroids = [], None, None, np.zeros((0, dim))
-    while top:
-        same = [r for r in top if len(r.embedding) == dim]
-        seeded, centroids, sums = seed_and_merge(np.array([r.embedding for r in same], float).reshape(len(same), dim), threshold, sums, seeded, merge_cap)
-        ids += [r.faceId for r in same]
-        if len(ids) == len(same) and len(top) < seed_faces:
+    seen, seeded, sums, centroids = ids[:0], None, None, np.zeros((0, dim))
+    while taken:
+        seeded, centroids, sums = seed_and_merge(vectors, threshold, sums, seeded, merge_cap)
+        seen = np.concatenate([seen, ids])
+        if len(seen) == len(ids) and taken < seed_faces:
             break  # all usable faces were seeded at once
-        tried = spark.createDataFrame([(k,) for k in ids], "faceId bigint")
+        tried = spark.createDataFrame(pa.table({"faceId": seen}))
         far = nearest(good.select("faceId", "quality", "embedding"), centroids).where(F.col("cosine") < threshold)
-        top = best_first(ws.save(far.drop("near", "cosine").join(tried, "faceId", "left_anti"), "open"))
-    start = spark.createDataFrame([(k, int(c)) for k, c in zip(ids, seeded if ids else [], strict=True)], "seedFace bigint, seeded int")
+        ids, vectors, taken = _best_first(ws.save(far.drop("near", "cosine").join(tried, "faceId", "left_anti"), "open"), seed_faces)
+    start = spark.createDataFrame(pa.table({"seedFace": pa.array(seen, pa.int64()), "seeded": pa.array(seeded if len(seen) else [], pa.int32())}))
     settled = nearest(good.select("faceId", "embedding"), centroids).select("faceId", "near", "cosine")
     joined = faces.join(settled.withColumnRenamed("faceId", "_f"), F.col("faceId") == F.col("_f"), "left").join(start, F.col("faceId") == F.col("seedFace"), "left")
     place = F.when(F.col("_f").isNotNull() & (F.col("cosine") >= threshold), F.col("near")).otherwise(F.coalesce("seeded", F.lit(-1)))
