@@ -54,11 +54,15 @@ class _Words(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.path, self.fast = path, self._ranks(path)
+        self.piece = getattr(getattr(self.fast, "_core_bpe", None), "encode_single_piece", None) or (lambda b: self.fast.encode_ordinary(b.decode()))
+
+    @functools.cached_property
+    def full(self):
+        """The vocabulary file itself, read when the first text needs it."""
         from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.fast = self._ranks(path)
-        self.piece = getattr(getattr(self.fast, "_core_bpe", None), "encode_single_piece", None) or (lambda b: self.fast.encode_ordinary(b.decode()))
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def _ranks(path: str):

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -195,11 +194,11 @@ def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             at = to
         return out
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for text in batches:
-                yield pd.Series(scores(text.tolist()))
+                yield pa.array(scores(text.to_pylist()))
         finally:
             release()
 
