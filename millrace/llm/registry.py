@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import embedding_join, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules, quote_links, sql, substring_dedup, url_filter
+from millrace.llm import embedding_join, fill_in_middle, jaccard_join, language_id, mixing, packing, phrases, pii, quality_classifier, quality_rules, quote_links, sql, substring_dedup, url_filter
 
 def quote_links_on_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 over the same messages with quotes put in, as the table holds none."""
@@ -42,13 +42,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality_classifier.op8,
     "op9_packing": packing.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_language_id": language_id.op11,
+    "op12_phrases": phrases.op12,
+    "op13_fill_in_middle": fill_in_middle.op13,
     "quote_links_on_answers": quote_links_on_answers,
     "url_rules": url_rules,
     "pii_base": pii_base,
     "quality_counts": quality_counts,
 }
 
-#: Operators 8 and 9 have no SQL (a trained network, a tokenizer); of 2, 5 and 7 it covers what no model decides.
+#: Operators 8, 9 and 11 have no SQL (a trained network, a tokenizer, a compressor); of 2, 5 and 7 it covers what no model decides.
 SQL: dict[str, str] = {
     "op1_embedding_near_dedup": sql.OP1,
     "op3_jaccard_join": sql.OP3,
@@ -56,6 +59,8 @@ SQL: dict[str, str] = {
     "quote_links_on_answers": sql.quote_links(sql.ANSWERS),
     "op6_source_mixing": mixing.OP6_SQL,
     "op10_substring_dedup": sql.OP10,
+    "op12_phrases": phrases.OP12_SQL,
+    "op13_fill_in_middle": fill_in_middle.OP13_SQL,
     "url_rules": sql.URL_RULES,
     "pii_base": sql.PII_BASE,
     "quality_counts": sql.QUALITY_COUNTS,
