@@ -8,14 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
 from millrace.config import HEAD_BYTES
 from millrace.functions import images, scalar as S
 from millrace.operators import exact
+from millrace.sources import files as disk
+from millrace.sources.walk import breadth_first, files_below, levels, whole
 from millrace.storage import Workspace
 
 #: Levels below a picked root; files that the original takes from a root (``max_files`` restores that).
@@ -43,23 +43,19 @@ def synthetic_id(uri: Column) -> Column:
     return F.pandas_udf(ids, LongType())(uri)
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """``uri, rel, length, millis, mime`` of all files below a root; only names, lengths and times are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return files.select(F.col("path").alias("uri"), F.substring_index(F.col("path"), base + "/", -1).alias("rel"), "length", F.unix_millis("modificationTime").alias("millis"), F.lit(None).cast("string").alias("mime"))
-
-
-def accepted(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, max_files: int | None = None) -> DataFrame:
+def accepted(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, max_files: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """Catalogue rows of a listing (``uri, rel, length, millis, mime``): files with content that say that they are images,
-    or whose name does, unless a part of their path is hidden or lies too deep. ``max_files`` keeps the first by path."""
+    or whose name does, unless a part of their path is hidden or lies too deep. Of those that ``known`` lacks, ``max_files``
+    keeps the first that a breadth-first walk meets."""
     parts = F.split("rel", "/")
     name = F.element_at(parts, -1)
     image = F.coalesce(F.col("mime").startswith("image/"), F.lit(False))
     keep = ~F.exists(parts, S.is_hidden) & (F.size(parts) <= max_depth + 1) & (image | S.extension(name).isin(*S.IMAGE_EXTENSIONS)) & (F.col("length") > 0)
-    found = files.where(keep)
-    found = found.orderBy("rel").limit(max_files) if max_files else found
     path = F.concat(F.lit(root.rstrip("/") + "/"), "rel")
+    found = files.where(keep)
+    if known is not None:
+        found = not_known(found.select("*", path.alias("relPath"), name.alias("name"), F.col("length").alias("size")), known).select(*files.columns)
+    found = found.orderBy(*breadth_first()).limit(max_files) if max_files else found
     seconds = F.floor(F.col("millis") / 1000).cast("bigint")
     return found.select(
         synthetic_id(F.col("uri")).alias("id"), name.alias("name"), S.folder_label(path).alias("bucket"), path.alias("relPath"), F.col("length").alias("size"),
@@ -68,9 +64,13 @@ def accepted(files: DataFrame, root: str, max_depth: int = MAX_DEPTH, max_files:
     )
 
 
-def walk(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH, max_files: int | None = None) -> DataFrame:
-    """Image files below a root."""
-    return accepted(listing(spark, root), root.removeprefix("file:"), max_depth, max_files)
+def walk(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH, max_files: int | None = None, known: DataFrame | None = None, ws: Workspace | None = None) -> DataFrame:
+    """Image files below a root, without those that ``known`` has. Folders that can't be listed are skipped, the root too.
+    With ``max_files`` no level is listed beyond the one that reaches that number."""
+    base = root.removeprefix("file:")
+    images_in = lambda found, most=None: accepted(files_below(spark, root, found), base, max_depth, most, known)
+    enough = (lambda found: images_in(found).limit(max_files).count() >= max_files) if max_files else None
+    return images_in(whole(levels(spark, root, max_depth, enough, ws)), max_files)
 
 
 def not_known(walked: DataFrame, known: DataFrame) -> DataFrame:
@@ -86,15 +86,10 @@ def first_of_roots(walked: list[DataFrame]) -> DataFrame:
     return every.groupBy("id").agg(F.min_by(F.struct(*walked[0].columns), "_root").alias("_row")).select("_row.*")
 
 
-def walk_roots(spark: SparkSession, roots: list[str], known: DataFrame) -> DataFrame | None:
-    """Files of all roots that the catalogue lacks; roots that can't be listed are skipped."""
-    walked = []
-    for root in roots:
-        try:
-            walked.append(walk(spark, root))
-        except AnalysisException:
-            continue
-    return not_known(first_of_roots(walked), known) if walked else None
+def walk_roots(spark: SparkSession, roots: list[str], known: DataFrame, max_files: int | None = None) -> DataFrame | None:
+    """Files of all roots that the catalogue lacks, ``max_files`` of each root at most; none of a root that can't be listed."""
+    walked = [walk(spark, root, max_files=max_files, known=known) for root in roots]
+    return first_of_roots(walked) if walked else None
 
 
 def whole_catalogue(rows: DataFrame, walked: DataFrame | None) -> DataFrame:
@@ -111,10 +106,10 @@ def read_bytes(paths: DataFrame, limit: int | None = None) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():  # one file at a time, as whole files may be large
                 try:
-                    system, where = pa.fs.FileSystem.from_uri(path)
+                    system, where = disk.place(path)
                     with system.open_input_file(where) as f:
                         content = f.read(limit) if limit is not None else f.read()
-                except (OSError, pa.ArrowException):
+                except disk.UNREADABLE:
                     content = None
                 yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([content], pa.binary())], names=["path", "content"])
 
@@ -122,8 +117,15 @@ def read_bytes(paths: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def content_hash(paths: DataFrame, limit: int | None = None) -> DataFrame:
-    """``path, hash, bytes_read``: SHA-256 of the first ``limit`` bytes, or of all."""
-    return read_bytes(paths, limit).select("path", F.sha2("content", 256).alias("hash"), F.length("content").alias("bytes_read"))
+    """``path, hash, bytes_read``: SHA-256 of the first ``limit`` bytes, or of all. Files are hashed where they are read, a
+    chunk at a time, so their size doesn't matter and no content enters a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [disk.digest(path, limit) if path is not None else (None, None) for path in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], names=["path", "hash", "bytes_read"])
+
+    return paths.select("path").mapInArrow(run, "path string, hash string, bytes_read bigint")
 
 
 def tiered_hashes(photos: DataFrame, head: int = HEAD_BYTES, ws: Workspace | None = None) -> DataFrame:
