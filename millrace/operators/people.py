@@ -6,86 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.config import FACE_QUALITY, MERGE_CAP
+from millrace.functions import scalar as S
 from millrace.functions.scalar import NAMELESS
+from millrace.operators.ranked import numbered, placed
+from millrace.operators.seeding import SEED_BLOCK, list_array, matrix, merged, seeded, unit
 from millrace.operators.vectors import best_matches
 from millrace.storage import Workspace, scratch
 
 #: Added to the threshold when clusters are merged, and its bound.
 MERGE_MARGIN, MERGE_BOUND = 0.04, 0.97
-#: A round seeds from so many usable faces at most, best quality first; all others are compared with the clusters in
-#: parallel, and those that reach none are seeded in the next rounds.
-SEED_FACES = 200_000
 #: Centroids up to this size go along with every task; more are met block by block.
 SENT_BYTES = 64 << 20
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=-1, keepdims=True)
-    return np.where(norm < 1e-8, x, x / np.maximum(norm, 1e-8))
-
-
-def seed_and_merge(vectors: np.ndarray, threshold: float, sums: np.ndarray | None = None, earlier: np.ndarray | None = None, merge_cap: int | None = MERGE_CAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy seeding in the given order (ties go to the later centroid), then one merge pass over centroids that see
-    each other's updates. ``sums`` and ``earlier`` are the vector sums and the assignments of earlier rounds. Returns the
-    cluster of each vector, earlier ones first, compacted, the unit centroids and the sums. More than ``merge_cap`` clusters
-    are not merged, as the original has it; None merges any number."""
-    d = vectors.shape[1] if len(vectors) else 0
-    k = 0 if sums is None else len(sums)
-    sums = np.zeros((64, d)) if sums is None else np.vstack([sums, np.zeros((64, d))])
-    cents, of = unit(sums), np.empty(len(vectors), np.int64)
-    for i, v in enumerate(vectors):
-        best = -1
-        if k:
-            cosine = cents[:k] @ v
-            best = k - 1 - int(np.argmax(cosine[::-1]))
-            if cosine[best] < threshold:
-                best = -1
-        if best < 0:
-            if k == len(sums):
-                sums, cents = np.vstack([sums, np.zeros_like(sums)]), np.vstack([cents, np.zeros_like(cents)])
-            best, k = k, k + 1
-        sums[best] += v
-        cents[best] = unit(sums[best])
-        of[i] = best
-    into = np.arange(k)
-    if 2 <= k and (merge_cap is None or k <= merge_cap):
-        bar = min(threshold + MERGE_MARGIN, MERGE_BOUND)
-        live = np.ones(k, bool)
-        for a in range(k):
-            if not live[a]:
-                continue
-            for b in range(a + 1, k):
-                if live[b] and cents[a] @ cents[b] >= bar:  # the centroid moves with every merge
-                    sums[a] += sums[b]
-                    cents[a] = unit(sums[a])
-                    live[b], into[into == b] = False, a
-    of = into[of if earlier is None else np.concatenate([earlier, of])]
-    kept, first, compact = np.unique(of, return_index=True, return_inverse=True)
-    order = np.argsort(first)
-    sums = sums[kept[order]]
-    return np.argsort(order)[compact], unit(sums), sums
-
-
 def usable(faces: DataFrame, quality: float = FACE_QUALITY) -> DataFrame:
     return faces.where(F.col("embedding").isNotNull() & (F.col("quality") >= quality))
 
 
-def _best_first(faces: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids and vectors of the best n faces whose vectors are as long as the first one's, and how many faces were taken.
-    They come as Arrow columns, so n vectors take little more than their numbers."""
-    table = faces.orderBy(F.col("quality").desc(), "faceId").select("faceId", "embedding").limit(n).toArrow()
-    lists = table["embedding"].combine_chunks()
-    at = np.asarray(lists.offsets)
-    dims = np.diff(at)
-    dim = int(dims[0]) if len(dims) else 0
-    same = np.flatnonzero(dims == dim)
-    values = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.asarray(table["faceId"])[same], values[at[same][:, None] + np.arange(dim)].reshape(len(same), dim), len(dims)
-
-
 def nearest(vectors: DataFrame, centroids: np.ndarray, vec_col: str = "embedding", id_col: str = "faceId", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Adds ``near`` and ``cosine``: the best centroid (the later of equal ones), -1 for vectors of another length. Few
     centroids go along with the task, many meet the vectors in blocks."""
@@ -135,44 +75,77 @@ def majority_person(assigned: DataFrame) -> DataFrame:
     return counts.groupBy("clusterId").agg(F.max_by("personId", F.struct("n", -F.col("personId"))).alias("person"))
 
 
-def cluster(faces: DataFrame, threshold: float, seed_faces: int = SEED_FACES, ws: Workspace | None = None, merge_cap: int | None = MERGE_CAP) -> DataFrame:
-    """``faceId, clusterId, personId``. Seeds and merges come from the best usable faces on the driver, in rounds of
-    bounded, ordered samples until every usable face has joined or founded a cluster; settling, pins, names and parking
-    are joins and a parallel pass over every face."""
-    spark = faces.sparkSession
-    ws = scratch(spark, "people", ws)
-    ids, vectors, taken = _best_first(usable(faces), seed_faces)
-    dim = vectors.shape[1]
-    good = usable(faces).where(F.size("embedding") == dim)
-    seen, seeded, sums, centroids = ids[:0], None, None, np.zeros((0, dim))
-    while taken:
-        seeded, centroids, sums = seed_and_merge(vectors, threshold, sums, seeded, merge_cap)
-        seen = np.concatenate([seen, ids])
-        if len(seen) == len(ids) and taken < seed_faces:
-            break  # all usable faces were seeded at once
-        tried = spark.createDataFrame(pa.table({"faceId": seen}))
-        far = nearest(good.select("faceId", "quality", "embedding"), centroids).where(F.col("cosine") < threshold)
-        ids, vectors, taken = _best_first(ws.save(far.drop("near", "cosine").join(tried, "faceId", "left_anti"), "open"), seed_faces)
-    start = spark.createDataFrame(pa.table({"seedFace": pa.array(seen, pa.int64()), "seeded": pa.array(seeded if len(seen) else [], pa.int32())}))
-    settled = nearest(good.select("faceId", "embedding"), centroids).select("faceId", "near", "cosine")
-    joined = faces.join(settled.withColumnRenamed("faceId", "_f"), F.col("faceId") == F.col("_f"), "left").join(start, F.col("faceId") == F.col("seedFace"), "left")
-    place = F.when(F.col("_f").isNotNull() & (F.col("cosine") >= threshold), F.col("near")).otherwise(F.coalesce("seeded", F.lit(-1)))
-    now = joined.select("faceId", "personId", "pinned", F.col("clusterId").alias("old"), place.alias("clusterId"), F.col("_f").isNotNull().alias("used"))
-    pins = now.where("pinned and personId > 0 and used").select("personId").distinct()
-    homes = pins.join(home_cluster(now.where("used")), "personId", "left")
-    fresh = F.row_number().over(Window.partitionBy(F.col("home").isNull()).orderBy("personId")) - 1
-    homes = homes.withColumn("home", F.coalesce("home", (F.lit(len(centroids)) + fresh).cast("int"))).withColumnRenamed("personId", "_p")
-    pinned = now.join(homes, (F.col("personId") == F.col("_p")) & F.col("pinned") & F.col("used"), "left").withColumn("clusterId", F.coalesce("home", "clusterId"))
-    names = majority_person(pinned.where("used")).withColumnRenamed("clusterId", "_c")
-    named = pinned.join(names, F.col("clusterId") == F.col("_c"), "left")
-    by_name = F.when(F.col("pinned") & (F.col("personId") > 0), F.col("personId")).otherwise(F.coalesce("person", F.lit(0)))
+def with_people(assigned: DataFrame, ws: Workspace) -> DataFrame:
+    """``faceId, clusterId, personId`` of faces with the cluster that they were put in (-1: none). ``assigned``: faceId,
+    clusterId, personId, pinned, old (their earlier cluster) and used (faces that take part).
+
+    Pinned faces go to their person's home or, where the person has none, to a new cluster, and that cluster is the
+    person's: a pin outranks the vote of the cluster's faces. Of two persons who are at home in one cluster, the greater
+    id has it. Faces that take no part stay where a pin put them, or are parked.
+    """
+    used = assigned.where("used")
+    pins = used.where("pinned and personId > 0").select("personId").distinct()
+    at = ws.save(pins.join(home_cluster(used), "personId", "left"), "homes")
+    following = used.agg(F.coalesce(F.max("clusterId"), F.lit(-1)) + 1).first()[0]
+    new = numbered(at.where("home is null").select("personId"), ["personId"], "k", ws).select("personId", (F.lit(following) + F.col("k")).cast("int").alias("home"))
+    homes = ws.save(at.where("home is not null").unionByName(new), "all-homes")
+    moved = assigned.join(homes.select(F.col("personId").alias("_p"), "home"), F.col("used") & F.col("pinned") & (F.col("personId") == F.col("_p")), "left").withColumn("clusterId", F.coalesce("home", "clusterId"))
+    forced = homes.groupBy(F.col("home").alias("_h")).agg(F.max("personId").alias("forced"))
+    names = majority_person(moved.where("used")).withColumnRenamed("clusterId", "_c")
+    named = moved.join(names, F.col("clusterId") == F.col("_c"), "left").join(forced, F.col("clusterId") == F.col("_h"), "left")
     stays, parked = ~F.col("used") & F.col("pinned"), ~F.col("used") & ~F.col("pinned")
     return named.select(
         "faceId", F.when(stays, F.col("old")).when(parked, -1).otherwise(F.col("clusterId")).cast("int").alias("clusterId"),
-        F.when(stays, F.col("personId")).when(parked | (F.col("clusterId") < 0), 0).otherwise(by_name).cast("bigint").alias("personId"),
+        F.when(stays, F.col("personId")).when(parked, 0).otherwise(F.coalesce("forced", "person", F.lit(0))).cast("bigint").alias("personId"),
     )
 
 
+def _merged(centers: DataFrame, n: int, dim: int, threshold: float, merge_cap: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """``clusterId, total`` after one merge pass, and where each cluster went (None: nowhere). More than ``merge_cap``
+    clusters are not merged, as the original has it; with None the driver holds the centroids of any number."""
+    if n < 2 or merge_cap is not None and n > merge_cap:
+        return centers, None
+    table = centers.orderBy("clusterId").toArrow()
+    totals = matrix(table["total"], dim)
+    into = merged(totals, min(threshold + MERGE_MARGIN, MERGE_BOUND))
+    roots, compact = np.unique(into, return_inverse=True)
+    sums = np.zeros((len(roots), dim))
+    np.add.at(sums, compact, totals)
+    spark = centers.sparkSession
+    moves = spark.createDataFrame(pa.table({"seeded": pa.array(np.arange(n)), "into": pa.array(compact.astype(np.int64))}))
+    return spark.createDataFrame(pa.table({"clusterId": pa.array(np.arange(len(roots))), "total": list_array(sums)}), "clusterId bigint, total array<double>"), moves
+
+
+def _settled(vectors: DataFrame, centers: DataFrame, n: int, dim: int, sent_bytes: int) -> DataFrame:
+    """``faceId, near, cosine`` against the centroids of a table."""
+    if n * dim * 8 <= sent_bytes:
+        return nearest(vectors, unit(matrix(centers.orderBy("clusterId").select("total").toArrow()["total"], dim))).select("faceId", "near", "cosine")
+    found = nearest_cluster(vectors, centers.select("clusterId", S.l2_normalised(F.col("total")).alias("centroid")))
+    return found.select("faceId", F.col("clusterId").alias("near"), "cosine")
+
+
+def cluster(faces: DataFrame, threshold: float, seed_block: int = SEED_BLOCK, ws: Workspace | None = None, merge_cap: int | None = MERGE_CAP, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """``faceId, clusterId, personId``. Usable faces, best quality first, seed clusters block by block (``seeding``), the
+    clusters are merged once, and then every face settles with the nearest centroid in parallel; pins, names and parking
+    are joins. Vectors of another length than the best face's belong to no cluster. No result depends on ``seed_block``."""
+    spark = faces.sparkSession
+    ws = scratch(spark, "people", ws)
+    order = [F.col("quality").desc(), F.col("faceId")]
+    best = usable(faces).orderBy(*order).select(F.size("embedding").alias("dim")).first()
+    dim = best.dim if best else 0
+    good = usable(faces).where(F.size("embedding") == dim)
+    ordered = ws.save(numbered(good.select("faceId", "quality", F.col("embedding").cast("array<double>").alias("embedding")), order, "position", ws).select("position", "faceId", "embedding"), "ordered")
+    start, centers, n = seeded(ordered, ordered.count(), dim, threshold, ws, seed_block)
+    centers, moves = _merged(centers, n, dim, threshold, merge_cap)
+    if moves is not None:
+        start, n = start.join(moves, "seeded").select("faceId", F.col("into").alias("seeded")), centers.count()
+    settled = _settled(ordered.select("faceId", "embedding"), centers, n, dim, sent_bytes)
+    placed_ = start.join(settled, "faceId", "left").select("faceId", F.when(F.col("cosine") >= threshold, F.col("near")).otherwise(F.col("seeded")).cast("int").alias("place"))
+    ok = F.col("embedding").isNotNull() & F.coalesce(F.col("quality") >= FACE_QUALITY, F.lit(False))
+    now = faces.select("faceId", "personId", "pinned", F.col("clusterId").alias("old"), ok.alias("used")).join(placed_, "faceId", "left")
+    return with_people(ws.save(now.select("faceId", F.coalesce("place", F.lit(-1)).alias("clusterId"), "personId", "pinned", "old", "used"), "placed"), ws)
+
+
 def people_view(faces: DataFrame, people: DataFrame) -> DataFrame:
     """``clusterId, personId, displayName, coverFace, n_faces, n_photos``, largest first. ``members`` lists the faces."""
     live = faces.where("clusterId >= 0")
@@ -187,8 +160,6 @@ def people_view(faces: DataFrame, people: DataFrame) -> DataFrame:
 
 def members(faces: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """``clusterId, place, faceId, photoId, quality``: the faces of each cluster, best quality first."""
-    from millrace.operators.ranked import placed
-
     ws = scratch(faces.sparkSession, "members", ws)
     rows = faces.where("clusterId >= 0").select("clusterId", "faceId", "photoId", "quality", (-F.col("quality")).alias("minus"))
     return placed(rows, "clusterId", ["minus", "faceId"], ws).select("clusterId", "place", "faceId", "photoId", "quality")

@@ -10,6 +10,7 @@ from millrace.operators import exact, people as P, similar as N, snapshot as V
 from millrace.operators.vectors import best_matches
 from millrace.plans import folders
 from millrace.sources import surrogates as R
+from millrace.storage import Workspace
 
 #: Head bytes of the tier query over texts (files take config.HEAD_BYTES).
 TEXT_HEAD = 64
@@ -154,6 +155,14 @@ def people_view(spark, d):
     return P.people_view(R.faces(spark, d), R.people(spark, d))
 
 
+def pins_and_names(spark, d):
+    """Homes, forced names, votes and parking over given assignments; every third person has pinned faces only."""
+    f = R.faces(spark, d)
+    pinned = F.col("personId") % 3 == 0
+    assigned = f.select("faceId", "clusterId", "personId", (F.col("pinned") | (pinned & (F.col("personId") > 0))).alias("pinned"), (F.col("clusterId") + 50).alias("old"), (F.col("quality") >= 0.3).alias("used"))
+    return P.with_people(assigned, Workspace(spark, "pins"))
+
+
 def majority_person(spark, d):
     return P.majority_person(R.faces(spark, d))
 
@@ -247,7 +256,7 @@ QUERIES = {
     "flat_documents": flat_documents, "similar_components": similar_components, "similar_groups": similar_groups,
     "snapshot_merge": snapshot_merge, "snapshot_gone": snapshot_gone, "cascade_delete": cascade_delete, "faces_needing_scan": faces_needing_scan, "version_purge": version_purge,
     "l2_normalised": l2_normalised, "centroids": centroids, "nearest_centroid": nearest_centroid, "cosine_topk": cosine_topk, "face_clusters": face_clusters,
-    "people_view": people_view, "majority_person": majority_person, "home_cluster": home_cluster, "cluster_rename_merge_pin": cluster_rename_merge_pin,
+    "people_view": people_view, "pins_and_names": pins_and_names, "majority_person": majority_person, "home_cluster": home_cluster, "cluster_rename_merge_pin": cluster_rename_merge_pin,
     "folder_plan_people": folder_plan_people, "folder_plan_months": folder_plan_months, "month_orders": month_orders, "captured_at": captured_at, "date_text": date_text,
     "human_bytes": human_bytes, "similarity_words": similarity_words, "sanitize_album": sanitize_album, "path_parts": path_parts,
     "face_quality": face_quality, "square_box": square_box, "removal_plan": removal_plan,
@@ -333,6 +342,14 @@ SQL = {
     "cosine_topk": "WITH s AS (SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) - 1)::INT AS place FROM s) SELECT query, place, vec_id, cosine FROM r WHERE place < 3",
     "people_view": f"""WITH {_FACES}, v AS (SELECT clusterId, arg_max(faceId, (quality, -faceId)) AS coverFace, coalesce(arg_max(personId, (quality, -faceId)) FILTER (personId > 0), 0) AS personId, count(*) AS n_faces, count(DISTINCT photoId) AS n_photos FROM faces WHERE clusterId >= 0 GROUP BY 1)
   SELECT clusterId, v.personId, coalesce(name, '{S.NAMELESS}') AS displayName, coverFace, n_faces, n_photos FROM v LEFT JOIN people USING (personId)""",
+    "pins_and_names": f"""WITH {_FACES}, a AS (SELECT faceId, clusterId, personId, pinned OR (personId % 3 = 0 AND personId > 0) AS pinned, clusterId + 50 AS old, quality >= 0.3 AS used FROM faces),
+  pins AS (SELECT DISTINCT personId FROM a WHERE used AND pinned AND personId > 0), tally AS (SELECT personId, clusterId, count(*) AS n FROM a WHERE used AND personId > 0 AND NOT pinned AND clusterId >= 0 GROUP BY ALL),
+  home AS (SELECT personId, arg_max(clusterId, (n, -clusterId)) AS home FROM tally GROUP BY 1), at AS (SELECT personId, home FROM pins LEFT JOIN home USING (personId)), top AS (SELECT coalesce(max(clusterId), -1) AS m FROM a WHERE used),
+  homes AS (SELECT personId, coalesce(home, m + row_number() OVER (PARTITION BY home IS NULL ORDER BY personId)) AS home FROM at, top), forced AS (SELECT home AS c, max(personId) AS forced FROM homes GROUP BY 1),
+  moved AS (SELECT a.* REPLACE (coalesce(home, clusterId) AS clusterId) FROM a LEFT JOIN homes h ON a.used AND a.pinned AND h.personId = a.personId),
+  vote AS (SELECT clusterId AS c, arg_max(personId, (n, -personId)) AS person FROM (SELECT clusterId, personId, count(*) AS n FROM moved WHERE used AND personId > 0 AND clusterId >= 0 GROUP BY ALL) GROUP BY 1)
+  SELECT faceId, CASE WHEN used THEN clusterId WHEN pinned THEN old ELSE -1 END::INT AS clusterId, CASE WHEN used THEN coalesce(forced, person, 0) WHEN pinned THEN personId ELSE 0 END::BIGINT AS personId
+  FROM moved LEFT JOIN forced ON forced.c = clusterId LEFT JOIN vote ON vote.c = clusterId""",
     "majority_person": f"WITH {_FACES}, c AS (SELECT clusterId, personId, count(*) AS n FROM faces WHERE personId > 0 AND clusterId >= 0 GROUP BY ALL) SELECT clusterId, arg_max(personId, (n, -personId)) AS person FROM c GROUP BY 1",
     "home_cluster": f"WITH {_FACES}, c AS (SELECT clusterId, personId, count(*) AS n FROM faces WHERE personId > 0 AND NOT pinned AND clusterId >= 0 GROUP BY ALL) SELECT personId, arg_max(clusterId, (n, -clusterId)) AS home FROM c GROUP BY 1",
     "cluster_rename_merge_pin": f"""WITH {_FACES}, a AS (SELECT * REPLACE (CASE WHEN clusterId = 1 THEN (SELECT max(personId) + 1 FROM people) ELSE personId END AS personId) FROM faces),

@@ -176,17 +176,6 @@ def test_writes_and_faces(spark):
     assert V.migrate(spark.createDataFrame([("1", 2)], "id string, odd int"), schemas.PEOPLE + ", id bigint").collect() == [(None, None, 1)]
 
 
-def test_clusters_are_merged_beyond_the_cap_when_asked():
-    rng = np.random.default_rng(2)
-    base = rng.normal(size=(30, 64))
-    vectors = np.vstack([base, base + rng.normal(size=(30, 64)) * 0.02])
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    order = np.argsort(np.arange(60) % 30, kind="stable")
-    for cap in (None, 3000):
-        of, cents, _ = P.seed_and_merge(vectors[order], 0.9, merge_cap=cap)
-        assert len(cents) == 30 and (of[::2] == of[1::2]).all()
-
-
 def test_plans_take_the_right_sanitiser(spark):
     rows = frame(spark, photo(1), photo(2, docUri="u"))
     assert {(r.action, r.target) for r in folders.move_plan(rows, " a.b/c ").collect()} == {("relocate", "Pictures/abc/"), ("copy_then_delete", "Pictures/abc/")}
@@ -283,69 +272,6 @@ def test_activity_of_a_stream(spark, tmp_path):
     assert sorted((r.event_type, r.n) for r in spark.table("activity").collect()) == [("a", 1), ("a", 2), ("b", 1)]
 
 
-def _plain_clusters(rows, threshold):
-    """The clustering face by face: seed, merge, renumber, settle, pins, names, parking."""
-    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) >= 1e-8 else v
-    usable = sorted((r for r in rows if r["v"] is not None and r["q"] >= C.FACE_QUALITY), key=lambda r: (-r["q"], r["id"]))
-    usable = [r for r in usable if len(r["v"]) == len(usable[0]["v"])]
-    sums, of = [], {}
-    for r in usable:
-        v = np.array(r["v"])
-        scores = [unit(s) @ v for s in sums]
-        best = max(range(len(sums)), key=lambda k: (scores[k], k), default=None)
-        if best is None or scores[best] < threshold:
-            sums.append(np.zeros(len(v)))
-            best = len(sums) - 1
-        sums[best] = sums[best] + v
-        of[r["id"]] = best
-    gone = set()
-    for a in range(len(sums)):
-        for b in range(a + 1, len(sums)):
-            if a not in gone and b not in gone and unit(sums[a]) @ unit(sums[b]) >= min(threshold + 0.04, 0.97):
-                sums[a] = sums[a] + sums[b]
-                gone.add(b)
-                of = {k: a if c == b else c for k, c in of.items()}
-    new = {}
-    for r in usable:
-        new.setdefault(of[r["id"]], len(new))
-    of = {k: new[c] for k, c in of.items()}
-    centres = [unit(sum(np.array(r["v"]) for r in usable if of[r["id"]] == k)) for k in range(len(new))]
-    for r in usable:
-        scores = [c @ np.array(r["v"]) for c in centres]
-        best = max(range(len(centres)), key=lambda k: (scores[k], k))
-        if scores[best] >= threshold:
-            of[r["id"]] = best
-    most = lambda pairs: max(set(pairs), key=lambda x: (pairs.count(x), -x))
-    fresh = len(centres)
-    for person in sorted({r["p"] for r in usable if r["pin"] and r["p"] > 0}):
-        homes = [of[r["id"]] for r in usable if r["p"] == person and not r["pin"]]
-        home = most(homes) if homes else fresh
-        fresh += not homes
-        for r in usable:
-            if r["pin"] and r["p"] == person:
-                of[r["id"]] = home
-    names = {c: most([r["p"] for r in usable if of[r["id"]] == c and r["p"] > 0]) for c in {of[r["id"]] for r in usable if r["p"] > 0}}
-    out = {r["id"]: (of[r["id"]], r["p"] if r["pin"] and r["p"] > 0 else names.get(of[r["id"]], 0)) for r in usable}
-    for r in rows:
-        out.setdefault(r["id"], (r["c"], r["p"]) if r["pin"] else (-1, 0))
-    return out
-
-
-@pytest.mark.parametrize("seed, threshold", [(1, 0.62), (2, 0.8), (3, 0.4)])
-def test_clustering_equals_a_plain_statement_of_it(spark, seed, threshold):
-    rng = np.random.default_rng(seed)
-    centres = rng.normal(size=(7, 12))
-    rows = []
-    for k in range(90):
-        v = centres[k % 7] + rng.normal(size=12) * rng.choice([0.2, 0.6])
-        v = (v / np.linalg.norm(v)).astype(np.float32).astype(float).tolist()
-        v = None if k == 11 else [1.0, 0.0] if k == 12 else v
-        rows.append({"id": k, "q": round(float(rng.uniform(0.1, 1)), 1), "v": v, "c": k % 3, "p": int(rng.integers(0, 4)), "pin": bool(rng.random() < 0.15)})
-    df = spark.createDataFrame([(r["id"], r["id"], 0, 0, 9, 9, r["q"], r["v"], 1, r["c"], r["p"], r["pin"]) for r in rows], schemas.FACES.replace("quality float", "quality double"))
-    got = {r.faceId: (r.clusterId, r.personId) for r in P.cluster(df, threshold).collect()}
-    assert got == _plain_clusters(rows, threshold)
-
-
 def test_nearest_centroids_sent_or_met_in_blocks(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(9, 6))
