@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.config import BALANCED, BUCKET_CAP, FLAT_SPREAD, REFINE_ROUNDS, SIG_VERSION, KeeperRule, Level
+from millrace.config import BALANCED, FLAT_SPREAD, REFINE_ROUNDS, SIG_VERSION, KeeperRule, Level
 from millrace.functions import scalar as S
+from millrace.operators import hamming
 from millrace.operators.components import connected_components
 from millrace.operators.exact import keeper
 from millrace.operators.ranked import placed
@@ -42,11 +43,11 @@ def bucket_sizes(photos: DataFrame) -> DataFrame:
     return band_keys(photos).groupBy("key").agg(F.count("*").alias("n"))
 
 
-def candidates(photos: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
-    """Pairs ``a < b`` that share a byte of either hash in a bucket of at most ``cap`` rows: the definition, pair by pair.
-    ``near_hashes`` finds those of them that matter without writing them all."""
+def candidates(photos: DataFrame, cap: int | None = None) -> DataFrame:
+    """Pairs ``a < b`` that share a byte of either hash (with ``cap``, in a bucket of at most so many rows): the definition,
+    pair by pair. ``near_hashes`` finds those of them that matter without writing them all."""
     keys = band_keys(photos)
-    usable = keys.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= cap)).select("key")
+    usable = keys.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & ((F.col("n") <= cap) if cap else F.lit(True))).select("key")
     kept = keys.join(usable, "key")
     return kept.select("key", F.col("id").alias("a")).join(kept.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
@@ -55,20 +56,31 @@ def candidates(photos: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
 BUCKET_BLOCK = 2048
 
 
+def clauses(level: Level) -> list[tuple[int, int]]:
+    """Greatest distances of the two hashes, any of which makes a pair near."""
+    return [(level.p_max, level.d_max), (level.p_strict, level.d_max + 6), (level.p_max + 4, level.d_strict)]
+
+
 def near_hashes(items: DataFrame, level: Level, ws: Workspace, cap: int | None = None, block: int = BUCKET_BLOCK) -> DataFrame:
-    """``a, b, dp, dd``: pairs ``a < b`` that share a byte of either hash and whose hashes are near enough for the level.
+    """``a, b, dp, dd``: pairs ``a < b`` that share a byte of either hash and whose hashes are near enough for the level."""
+    if cap:
+        return _capped_near_hashes(items, level, ws, cap, block)
+    return hamming.near_pairs(items, clauses(level), [(0, level.p_max), (1, level.d_strict)], ws)
+
+
+def near_in_hash(items: DataFrame, most: int, ws: Workspace) -> DataFrame:
+    """``a, b, dp, dd``: pairs ``a < b`` whose perceptual hashes differ in at most ``most`` bits. With up to 7 they share a byte."""
+    return hamming.near_pairs(items, [(most, 64)], [(0, most)], ws, shared_byte=most > 7)
+
 
-    A bucket is dealt out to blocks of about ``block`` rows, and two blocks meet as matrices in a task that returns near
-    pairs alone, each at the first byte that its hashes share. With a ``cap``, buckets over it are skipped, as the
-    original's semantics have it, and a pair counts at the first shared byte whose bucket is not. Without one nothing is
-    skipped; a bucket of n rows then costs n * n / block rows of traffic.
-    """
+def _capped_near_hashes(items: DataFrame, level: Level, ws: Workspace, cap: int, block: int) -> DataFrame:
+    """As the original's semantics have it: buckets of over ``cap`` rows are skipped, and a pair counts at the first shared
+    byte whose bucket is not. A bucket is dealt out to blocks of about ``block`` rows, and two blocks meet as matrices in a
+    task that returns near pairs alone."""
     keys = ws.save(items.select("id", "phash", "dhash", F.explode(F.concat(S.bands(F.col("phash"), 0), S.bands(F.col("dhash"), 1))).alias("key")), "keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = ws.save(sizes.where(F.col("n") <= cap) if cap else sizes, "buckets")
-    over = None
-    if cap:  # at most 4096 keys exist
-        over = {r.key for r in keys.select("key").distinct().join(sizes, "key", "left_anti").collect()}
+    sizes = ws.save(sizes.where(F.col("n") <= cap), "buckets")
+    over = {r.key for r in keys.select("key").distinct().join(sizes, "key", "left_anti").collect()}  # at most 4096 keys exist
     n_blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = keys.join(sizes, "key").select("key", "id", "phash", "dhash", n_blocks.alias("k"), F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
@@ -172,16 +184,33 @@ def similar_pairs(photos: DataFrame, level: Level = BALANCED, cap: int | None =
     """Verified pairs of rows that share a byte of either hash. Only pairs of near hashes are joined with sizes and
     colours. ``cap`` (config.BUCKET_CAP) restores the original's skipping of large buckets."""
     ws = scratch(photos.sparkSession, "pairs", ws)
-    items = ws.save(comparable(photos).select("id", *COMPARED), "items")
+    return pairs_of(ws.save(comparable(photos).select("id", *COMPARED), "items"), level, cap, ws)
+
+
+def pairs_of(items: DataFrame, level: Level, cap: int | None = None, ws: Workspace | None = None) -> DataFrame:
+    """``similar_pairs`` of rows that can be compared: id and ``COMPARED``."""
+    ws = scratch(items.sparkSession, "pairs", ws)
     pairs = ws.save(near_hashes(items, level, ws, cap), "near")
     compared = pairs.drop("dp", "dd").join(_side(items, "a"), "a").join(_side(items, "b"), "b")
     near = _colours_compared(_hashes_compared(compared), level)
     return near.where(F.col("dc") <= level.color_max).select("a", "b", "dp", "dd", "dc")
 
 
+def similar_edges(photos: DataFrame, level: Level = BALANCED, ws: Workspace | None = None) -> DataFrame:
+    """``a, b``: pairs that connect what all similar pairs connect. Rows that are equal in all that is compared are similar;
+    the one with the least id stands for them, so a large group of copies gives one edge a row and not all its pairs."""
+    ws = scratch(photos.sparkSession, "edges", ws)
+    items = ws.save(comparable(photos).select("id", *COMPARED), "compared")
+    first = items.groupBy(*COMPARED).agg(F.min("id").alias("least"))
+    kinds = ws.save(first.select(F.col("least").alias("id"), *COMPARED), "kinds")
+    same = [items[c].eqNullSafe(F.col(f"{c}_k")) for c in COMPARED]
+    of = items.join(first.select("least", *[F.col(c).alias(f"{c}_k") for c in COMPARED]), same).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return pairs_of(kinds, level, ws=ws).select("a", "b").unionByName(of)
+
+
 def similar_components(photos: DataFrame, level: Level = BALANCED, ws: Workspace | None = None) -> DataFrame:
     ws = scratch(photos.sparkSession, "similar", ws)
-    return connected_components(similar_pairs(photos, level, ws=ws), "a", "b", ws).select(F.col("node").alias("id"), "component")
+    return connected_components(similar_edges(photos, level, ws), "a", "b", ws).select(F.col("node").alias("id"), "component")
 
 
 def refine(members: DataFrame, level: Level, ws: Workspace, rounds: int = REFINE_ROUNDS) -> DataFrame:
@@ -214,7 +243,7 @@ def similar_groups(photos: DataFrame, level: Level = BALANCED, rule: KeeperRule
     identical content are left to the exact groups. ``places`` and ``group_order`` order members and groups."""
     ws = scratch(photos.sparkSession, "similar", ws)
     items = photos.withColumn("score", S.quality_score(F.col("width"), F.col("height"), F.col("size")))
-    edges = ws.save(similar_pairs(photos, level, ws=ws), "edges")
+    edges = ws.save(similar_edges(photos, level, ws), "edges")
     comps = ws.save(connected_components(edges, "a", "b", ws), "components")
     members = comps.select(F.col("node").alias("id"), "component").join(items.select("id", "score", *COMPARED), "id")
     sets = ws.save(refine(members, level, ws), "sets").select("id", "set_id")

@@ -70,8 +70,7 @@ def lsh_candidates(spark, d):
 
 
 def hamming_pairs(spark, d):
-    photos = R.signed_photos(spark, d)
-    return N.distances(N.candidates(photos), photos).where("dp <= 7").select("a", "b", F.col("dp").cast("int").alias("dp"), F.col("dd").cast("int").alias("dd"))
+    return N.near_in_hash(R.signed_photos(spark, d), 7, Workspace(spark, "near"))
 
 
 def _similar(level):
@@ -344,8 +343,8 @@ SQL = {
   SELECT clusterId, v.personId, coalesce(name, '{S.NAMELESS}') AS displayName, coverFace, n_faces, n_photos FROM v LEFT JOIN people USING (personId)""",
     "pins_and_names": f"""WITH {_FACES}, a AS (SELECT faceId, clusterId, personId, pinned OR (personId % 3 = 0 AND personId > 0) AS pinned, clusterId + 50 AS old, quality >= 0.3 AS used FROM faces),
   pins AS (SELECT DISTINCT personId FROM a WHERE used AND pinned AND personId > 0), tally AS (SELECT personId, clusterId, count(*) AS n FROM a WHERE used AND personId > 0 AND NOT pinned AND clusterId >= 0 GROUP BY ALL),
-  home AS (SELECT personId, arg_max(clusterId, (n, -clusterId)) AS home FROM tally GROUP BY 1), at AS (SELECT personId, home FROM pins LEFT JOIN home USING (personId)), top AS (SELECT coalesce(max(clusterId), -1) AS m FROM a WHERE used),
-  homes AS (SELECT personId, coalesce(home, m + row_number() OVER (PARTITION BY home IS NULL ORDER BY personId)) AS home FROM at, top), forced AS (SELECT home AS c, max(personId) AS forced FROM homes GROUP BY 1),
+  home AS (SELECT personId, arg_max(clusterId, (n, -clusterId)) AS home FROM tally GROUP BY 1), lives AS (SELECT personId, home FROM pins LEFT JOIN home USING (personId)), top AS (SELECT coalesce(max(clusterId), -1) AS m FROM a WHERE used),
+  homes AS (SELECT personId, coalesce(home, m + row_number() OVER (PARTITION BY home IS NULL ORDER BY personId)) AS home FROM lives, top), forced AS (SELECT home AS c, max(personId) AS forced FROM homes GROUP BY 1),
   moved AS (SELECT a.* REPLACE (coalesce(home, clusterId) AS clusterId) FROM a LEFT JOIN homes h ON a.used AND a.pinned AND h.personId = a.personId),
   vote AS (SELECT clusterId AS c, arg_max(personId, (n, -personId)) AS person FROM (SELECT clusterId, personId, count(*) AS n FROM moved WHERE used AND personId > 0 AND clusterId >= 0 GROUP BY ALL) GROUP BY 1)
   SELECT faceId, CASE WHEN used THEN clusterId WHEN pinned THEN old ELSE -1 END::INT AS clusterId, CASE WHEN used THEN coalesce(forced, person, 0) WHEN pinned THEN personId ELSE 0 END::BIGINT AS personId

@@ -8,14 +8,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes of rows that a task hands to Python at once, in place of Spark's default: a batch is held on both sides.
+BATCH, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started; idempotent.
+    """Let Python workers import this package wherever the driver was started, and take rows in small batches; idempotent.
 
     Workers get the repository's folder on their path. A cluster whose nodes lack that folder gets the package with
-    ``--py-files`` or an installed wheel as usual.
+    ``--py-files`` or an installed wheel as usual. A batch size that the session sets itself is left alone.
     """
+    if spark.conf.get(_BATCH_BYTES, None) == "67108864b":
+        spark.conf.set(_BATCH_BYTES, str(BATCH))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
