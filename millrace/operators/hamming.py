@@ -134,13 +134,20 @@ def filed(rows: DataFrame, parts: list[Part]) -> DataFrame:
     return rows.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("part"), value(p).alias("value")) for k, p in enumerate(parts)])))
 
 
-def near_pairs(items: DataFrame, clauses: Sequence[tuple[int, int]], searched: Sequence[tuple[int, int]], ws: Workspace, shared_byte: bool = True, parts: list[Part] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_pairs(items: DataFrame, clauses: Sequence[tuple[int, int]], searched: Sequence[tuple[int, int]], ws: Workspace, shared_byte: bool = True, parts: list[Part] | None = None, tile_rows: int = TILE_ROWS, new: DataFrame | None = None) -> DataFrame:
     """``a, b, dp, dd``: pairs ``a < b`` of ``items`` (id, phash, dhash) that meet one of ``clauses`` (greatest distances of the
     two hashes) and, with ``shared_byte``, agree in a byte of either hash. ``searched`` are (side, greatest distance) of
-    which every such pair meets one. Rows without a hash are left out; equal hashes meet like any others."""
-    rows = ws.save(items.where("phash is not null and dhash is not null").select("id", *HASHES), "hashes")
+    which every such pair meets one. Rows without a hash are left out; equal hashes meet like any others. With ``new`` (ids)
+    only pairs with one of these, and only rows that agree with one in a part are sent."""
+    rows = items.where("phash is not null and dhash is not null").select("id", *HASHES)
+    if new is None:
+        rows = ws.save(rows.withColumn("fresh", F.lit(True)), "hashes")
+    else:
+        rows = ws.save(rows.join(new.select(F.col("id").alias("_new")).distinct(), F.col("id") == F.col("_new"), "left").select("id", *HASHES, F.col("_new").isNotNull().alias("fresh")), "hashes")
     parts = plan(searched, rows.count()) if parts is None else parts
     sent = filed(rows, parts)
+    if new is not None:
+        sent = sent.join(sent.where("fresh").select("part", "value").distinct(), ["part", "value"], "left_semi")
     large = ws.save(sent.groupBy("part", "value").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles")).where("tiles > 1"), "large")
     if large.limit(1).count():
         tiles = F.coalesce("tiles", F.lit(1))
@@ -156,25 +163,31 @@ def near_pairs(items: DataFrame, clauses: Sequence[tuple[int, int]], searched: S
             out |= ((x[p.side] & np.uint64(p.mask)) == 0) & (np.bitwise_count(x[p.side] & np.uint64(p.chunk)) <= p.radius)
         return out
 
+    def compared(k: int, hashes: list, ids: np.ndarray, others: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        differ = tuple(mine[i] ^ theirs[j] for mine, theirs in hashes)
+        dp, dd = (np.bitwise_count(v) for v in differ)
+        good = np.logical_or.reduce([(dp <= p) & (dd <= d) for p, d in clauses])
+        if shared_byte:
+            good &= _any_zero_byte(differ[0]) | _any_zero_byte(differ[1])
+        good = np.flatnonzero(good)
+        good = good[~earlier((differ[0][good], differ[1][good]), k)]
+        if len(good):
+            a, b = ids[i[good]], others[j[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(dp[good].astype(np.int32)), pa.array(dd[good].astype(np.int32))], names=["a", "b", "dp", "dd"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _grouped(batches, ["part", "value", "x", "y"]):
             k, x, y = (int(cell[c][0]) for c in ("part", "x", "y"))
-            first, second = (np.flatnonzero(cell["own"] == t) for t in (x, y))
-            hashes = [(v[first], v[second]) for v in (cell[h].view(np.uint64) for h in HASHES)]
-            ids, others = cell["id"][first], cell["id"][second]
-            for i, j in _found(*hashes[parts[k].side], parts[k]):
-                some = np.flatnonzero(ids[i] < others[j] if x == y else ids[i] != others[j])
-                i, j = i[some], j[some]
-                differ = tuple(mine[i] ^ theirs[j] for mine, theirs in hashes)
-                dp, dd = (np.bitwise_count(v) for v in differ)
-                good = np.logical_or.reduce([(dp <= p) & (dd <= d) for p, d in clauses])
-                if shared_byte:
-                    good &= _any_zero_byte(differ[0]) | _any_zero_byte(differ[1])
-                good = np.flatnonzero(good)
-                good = good[~earlier((differ[0][good], differ[1][good]), k)]
-                if len(good):
-                    a, b = ids[i[good]], others[j[good]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(dp[good].astype(np.int32)), pa.array(dd[good].astype(np.int32))], names=["a", "b", "dp", "dd"])
+            own, fresh = cell["own"], cell["fresh"]
+            # rows that are filed and rows that are looked up; pairs of two fresh rows come from the first
+            sides = [(own == x, (own == y) & fresh)] + ([((own == y) & ~fresh, (own == x) & fresh)] if x != y else [])
+            for first, second in ((np.flatnonzero(a), np.flatnonzero(b)) for a, b in sides):
+                hashes = [(v[first], v[second]) for v in (cell[h].view(np.uint64) for h in HASHES)]
+                ids, others = cell["id"][first], cell["id"][second]
+                for i, j in _found(*hashes[parts[k].side], parts[k]):
+                    twice = fresh[first[i]] if x == y else np.zeros(len(i), bool)
+                    some = np.flatnonzero(np.where(twice, ids[i] < others[j], ids[i] != others[j]))
+                    yield from compared(k, hashes, ids, others, i[some], j[some])
 
     keys = ["part", "value", "x", "y"]
-    return sent.select(*keys, "own", "id", *HASHES).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, dp int, dd int")
+    return sent.select(*keys, "own", "fresh", "id", *HASHES).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint, dp int, dd int")

@@ -61,11 +61,12 @@ def clauses(level: Level) -> list[tuple[int, int]]:
     return [(level.p_max, level.d_max), (level.p_strict, level.d_max + 6), (level.p_max + 4, level.d_strict)]
 
 
-def near_hashes(items: DataFrame, level: Level, ws: Workspace, cap: int | None = None, block: int = BUCKET_BLOCK) -> DataFrame:
-    """``a, b, dp, dd``: pairs ``a < b`` that share a byte of either hash and whose hashes are near enough for the level."""
+def near_hashes(items: DataFrame, level: Level, ws: Workspace, cap: int | None = None, block: int = BUCKET_BLOCK, new: DataFrame | None = None) -> DataFrame:
+    """``a, b, dp, dd``: pairs ``a < b`` that share a byte of either hash and whose hashes are near enough for the level; with
+    ``new`` (ids), those with one of these."""
     if cap:
         return _capped_near_hashes(items, level, ws, cap, block)
-    return hamming.near_pairs(items, clauses(level), [(0, level.p_max), (1, level.d_strict)], ws)
+    return hamming.near_pairs(items, clauses(level), [(0, level.p_max), (1, level.d_strict)], ws, new=new)
 
 
 def near_in_hash(items: DataFrame, most: int, ws: Workspace) -> DataFrame:
@@ -187,10 +188,10 @@ def similar_pairs(photos: DataFrame, level: Level = BALANCED, cap: int | None =
     return pairs_of(ws.save(comparable(photos).select("id", *COMPARED), "items"), level, cap, ws)
 
 
-def pairs_of(items: DataFrame, level: Level, cap: int | None = None, ws: Workspace | None = None) -> DataFrame:
-    """``similar_pairs`` of rows that can be compared: id and ``COMPARED``."""
+def pairs_of(items: DataFrame, level: Level, cap: int | None = None, ws: Workspace | None = None, new: DataFrame | None = None) -> DataFrame:
+    """``similar_pairs`` of rows that can be compared: id and ``COMPARED``; with ``new`` (ids), those with one of these."""
     ws = scratch(items.sparkSession, "pairs", ws)
-    pairs = ws.save(near_hashes(items, level, ws, cap), "near")
+    pairs = ws.save(near_hashes(items, level, ws, cap, new=new), "near")
     compared = pairs.drop("dp", "dd").join(_side(items, "a"), "a").join(_side(items, "b"), "b")
     near = _colours_compared(_hashes_compared(compared), level)
     return near.where(F.col("dc") <= level.color_max).select("a", "b", "dp", "dd", "dc")
@@ -242,10 +243,14 @@ def similar_groups(photos: DataFrame, level: Level = BALANCED, rule: KeeperRule
     """Members of near-duplicate groups: ``set_id, id, keeper_id, is_keeper, distance, reclaimable, score``; sets of
     identical content are left to the exact groups. ``places`` and ``group_order`` order members and groups."""
     ws = scratch(photos.sparkSession, "similar", ws)
+    return groups_of(similar_components(photos, level, ws), photos, level, rule, ws)
+
+
+def groups_of(components: DataFrame, photos: DataFrame, level: Level, rule: KeeperRule, ws: Workspace) -> DataFrame:
+    """``similar_groups`` from ``id, component``."""
     items = photos.withColumn("score", S.quality_score(F.col("width"), F.col("height"), F.col("size")))
-    edges = ws.save(similar_edges(photos, level, ws), "edges")
-    comps = ws.save(connected_components(edges, "a", "b", ws), "components")
-    members = comps.select(F.col("node").alias("id"), "component").join(items.select("id", "score", *COMPARED), "id")
+    comps = ws.save(components, "components")
+    members = comps.join(items.select("id", "score", *COMPARED), "id")
     sets = ws.save(refine(members, level, ws), "sets").select("id", "set_id")
     full = sets.join(items, "id")
     stats = full.groupBy("set_id").agg(F.count("*").alias("n"), F.count("sha").alias("hashed"), F.count_distinct("sha").alias("kinds"), keeper(rule, "id", "phash", "size").alias("k"), F.sum("size").alias("total"))

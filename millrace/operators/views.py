@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import scalar as S
-from millrace.operators import exact, people, snapshot
+from millrace.operators import exact, people, regroup, snapshot
 
 
 def derived(photos: DataFrame) -> DataFrame:
@@ -70,7 +70,12 @@ def selected_bytes(photos: DataFrame, selection: DataFrame) -> DataFrame:
     return rows_of(photos, selection).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
-def forget(photos: DataFrame, faces: DataFrame, face_scan: DataFrame, names: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """Drop rows after an action and look again: the three tables without them, exact groups, albums and people."""
+def forget(photos: DataFrame, faces: DataFrame, face_scan: DataFrame, names: DataFrame, ids: DataFrame, solved: regroup.Solved | None = None) -> dict[str, DataFrame]:
+    """Drop rows after an action and look again: the three tables without them, exact groups, albums, people and, where
+    photos have signatures, similar groups with their components. With the similar groups as they were (``solved``) only
+    those that lost a row are solved again."""
     kept = snapshot.cascade_delete({"photos": (photos, "id"), "faces": (faces, "photoId"), "face_scan": (face_scan, "photoId")}, ids)
+    if solved or "phash" in photos.columns:
+        now = regroup.without(solved, photos, ids) if solved else regroup.solve(kept["photos"])
+        kept |= {"similar": now.groups, "components": now.components}
     return kept | {"groups": exact.exact_groups(kept["photos"]), "albums": snapshot.album_list(kept["photos"]), "people": people.people_view(kept["faces"], names)}

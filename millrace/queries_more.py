@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace import config as C, queries as Q, schemas
 from millrace.functions import scalar as S
-from millrace.operators import exact, people as P, similar as N, snapshot as V, views as W
+from millrace.operators import exact, people as P, regroup, similar as N, snapshot as V, views as W
 from millrace.plans import folders
 from millrace.sources import catalogue, surrogates as R
 
@@ -137,6 +137,12 @@ def forget(spark, d):
     return after["albums"].select(F.lit("album").alias("kind"), F.col("bucket").alias("name"), "n").unionByName(after["groups"].select(F.lit("group").alias("kind"), F.col("sha").alias("name"), "n")).unionByName(after["people"].select(F.lit("person").alias("kind"), F.col("clusterId").cast("string").alias("name"), F.col("n_faces").alias("n")))
 
 
+def forget_similar(spark, d):
+    """Similar groups after every fourth row has gone, from the groups before."""
+    photos = R.signed_photos(spark, d)
+    return regroup.without(regroup.solve(photos, C.LOOSE), photos, photos.where("id % 4 = 0").select("id")).groups.drop("component")
+
+
 # groups
 
 
@@ -376,7 +382,7 @@ def activity_by_hour(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        catalogue_scan, folder_walk, walk_known_anti, walk_union, tiered_dedup, write_sha, write_signatures, needs_signature, needs_full_hash, replace_faces, write_clusters, clear_faces, migrated, forget,
+        catalogue_scan, folder_walk, walk_known_anti, walk_union, tiered_dedup, write_sha, write_signatures, needs_signature, needs_full_hash, replace_faces, write_clusters, clear_faces, migrated, forget, forget_similar,
         flat_count, lsh_candidates_capped, similar_pairs_capped, similar_places, similar_group_order, group_previews, keeper_override, waste_by_kind,
         people_split, cluster_members, cover_photos, person_photos, person_lookup, move_photos, people_after_rename, face_sizes,
         derived_columns, table_counts, selection, selected_bytes, rows_of_ids, month_members, chosen_folders, organise_plan, move_plan,
@@ -531,5 +537,6 @@ SQL = {
     "dequantised": f"WITH {_BYTES}, b AS (SELECT * FROM bytes UNION ALL SELECT doc_id, 0, 32 FROM documents WHERE coalesce(text, '') = '') SELECT doc_id AS id, sum((v - 128) * 0.0078125::DOUBLE) AS total, max((v - 128) * 0.0078125::DOUBLE) AS most FROM b GROUP BY doc_id",
     "activity_by_hour": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+SQL["forget_similar"] = _loose().replace("FROM sig WHERE list_max", "FROM sig WHERE id % 4 <> 0 AND list_max") + " SELECT * FROM members"
 SQL["similar_pairs_capped"] = f"WITH {Q._level_sql(C.BALANCED, SMALL_CAP)} SELECT * FROM pairs"
 SQL["similar_groups"] = f"{_loose()} SELECT * FROM members"
