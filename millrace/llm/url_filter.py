@@ -6,9 +6,10 @@ that statistics can't tell apart: a G-test finds no difference between the distr
 difference is small in itself, and where both have labels a G-test finds none between their label rates either.
 
 The rules label the URLs that they fit. A template's purity is its share of blocked labels, smoothed towards that of
-the same template over all hosts of the domain, and that one towards the share of all labels. A template is rejected
-when domain and host gave it enough labels and its purity is high enough, so an unruled URL is blocked where it belongs
-to a template whose ruled URLs are blocked.
+the same template over all hosts of the domain, and that one towards the share of all labels. Merged branches have no
+name in common: one counts with those in its place on other hosts if the same tests hold it alike to the sum of the
+labelled ones, and else has its own labels alone. A template is rejected when domain and host gave it enough labels and
+its purity is high enough, so an unruled URL is blocked where it belongs to a template whose ruled URLs are blocked.
 
 All counts are pre-aggregated by host and template, so a host with a third of all pages is no larger than others. A
 merge compares at most CHILDREN or 1 / RARE siblings, each with a histogram of BINS counts.
@@ -139,8 +140,8 @@ def merged_names(branches: list[dict]) -> dict[str, str]:
     return {seg: "~" + min(segs) for _, segs in clusters if len(segs) > 1 for seg in segs}
 
 
-def _merged(templates: DataFrame, level: int, ws: Workspace) -> DataFrame:
-    """Branches of a node that ``alike`` holds for get one name, the least of theirs after a tilde."""
+def _merged(templates: DataFrame, level: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Branches of a node that ``alike`` holds for get one name, the least of theirs after a tilde; and ``_pooled`` of them."""
 
     @F.pandas_udf("array<struct<seg:string,name:string>>")
     def names(groups: pd.Series) -> pd.Series:
@@ -148,10 +149,7 @@ def _merged(templates: DataFrame, level: int, ws: Workspace) -> DataFrame:
         for group in groups:
             branches = []
             for x in group:
-                hist = [0.0] * BINS
-                for cell in x["cells"]:
-                    hist[cell["bin"]] = float(cell["c"])
-                branches.append({"seg": x["seg"], "n": x["n"], "b": x["b"], "l": x["l"], "hist": hist})
+                branches.append({"seg": x["seg"], "n": x["n"], "b": x["b"], "l": x["l"], "hist": _hist(x["cells"])})
             out.append([{"seg": k, "name": v} for k, v in merged_names(branches).items()])
         return pd.Series(out)
 
@@ -161,7 +159,40 @@ def _merged(templates: DataFrame, level: int, ws: Workspace) -> DataFrame:
     branches = cells.groupBy(*AT).agg(F.sum("c").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"), F.collect_list(F.struct("bin", "c")).alias("cells"))
     nodes = branches.groupBy("host", "node").agg(F.collect_list(F.struct("seg", "n", "b", "l", "cells")).alias("group")).where("size(group) > 1")
     found = nodes.select("host", "node", F.explode(names("group")).alias("x")).select("host", "node", "x.seg", "x.name")
-    return ws.save(_renamed(keyed, ws.save(found, f"names{level}"), level), f"merged{level}")
+    found = ws.save(found, f"names{level}")
+    return ws.save(_renamed(keyed, found, level), f"merged{level}"), ws.save(_pooled(cells, found), f"pooled{level}")
+
+
+def _hist(cells: list[dict]) -> list[float]:
+    hist = [0.0] * BINS
+    for cell in cells:
+        hist[cell["bin"]] = float(cell["c"])
+    return hist
+
+
+def _general(t: Column) -> Column:
+    """A template with every merged branch as ``~``."""
+    return F.array_join(F.transform(t, lambda s: F.when(s.startswith("~"), "~").otherwise(s)), "/")
+
+
+def _pooled(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """``host, node, name, pooled``: whether a merged branch is like the sum of the labelled ones in its place on all hosts of
+    the domain. ``cells`` are the histograms that it was merged by; one pair of sums is compared a branch."""
+    place = ["domain", "under"]
+    named = cells.join(names, AT).withColumns({"domain": domain(F.col("host")), "under": _general(F.split("node", "/"))})
+    cells = named.groupBy(*place, "host", "node", "name", "bin").agg(*[F.sum(c).alias(c) for c in "cbl"])
+    add = [F.sum("c").alias("n"), F.sum("b").alias("b"), F.sum("l").alias("l"), F.collect_list(F.struct("bin", "c")).alias("cells")]
+    branches = cells.groupBy(*place, "host", "node", "name").agg(*add)
+    labelled = branches.where("l > 0").select("host", "node", "name")
+    summed = cells.join(labelled, ["host", "node", "name"], "left_semi").groupBy(*place, "bin").agg(*[F.sum(c).alias(c) for c in "cbl"])
+
+    @F.pandas_udf("boolean")
+    def like(one: pd.DataFrame, other: pd.DataFrame) -> pd.Series:
+        counts = lambda x: {"n": x.n, "b": x.b, "l": x.l, "hist": _hist(x.cells)}
+        return pd.Series([alike(counts(a), counts(b)) for a, b in zip(one.itertuples(), other.itertuples(), strict=True)], dtype=bool)
+
+    row = lambda x: F.struct(*[F.col(f"{x}.{c}").alias(c) for c in ("n", "b", "l", "cells")])
+    return branches.alias("x").join(summed.groupBy(*place).agg(*add).alias("y"), place).select("host", "node", "name", like(row("y"), row("x")).alias("pooled"))
 
 
 def templates(urls: DataFrame, ws: Workspace) -> DataFrame:
@@ -171,18 +202,27 @@ def templates(urls: DataFrame, ws: Workspace) -> DataFrame:
     start = urls.groupBy("host", leaf.alias("leaf")).agg(F.count("*").alias("n"), F.sum(F.coalesce("label", F.lit(0))).cast("double").alias("blocked"), F.count("label").cast("double").alias("labelled"))
     now = ws.save(start.withColumn("t", F.when(F.col("leaf") == "", F.array().cast("array<string>")).otherwise(F.split("leaf", "/"))), "shapes")
     deepest = now.agg(F.max(F.size("t"))).first()[0] or 0
-    for step in (_wildcards, _merged):
-        for level in range(deepest):
-            now = step(now, level, ws)
-    now = now.withColumn("template", F.array_join("t", "/")).withColumn("form", F.array_join(F.transform("t", lambda s: F.when(s.startswith("~"), "~").otherwise(s)), "/"))
+    for level in range(deepest):
+        now = _wildcards(now, level, ws)
+    pools = []
+    for level in range(deepest):
+        now, pool = _merged(now, level, ws)
+        pools.append(pool)
+    # labels are shared where every merged branch on the way may share them
+    now = now.withColumns({"template": F.array_join("t", "/"), "form": _general(F.col("t")), "domain": domain(F.col("host")), "shared": F.lit(True)})
+    for level, pool in enumerate(pools):
+        fine = ~F.coalesce(F.get("t", F.lit(level)).startswith("~"), F.lit(False)) | F.coalesce("pooled", F.lit(False))
+        here = _at(now, level).join(pool.withColumnRenamed("name", "seg"), AT, "left")
+        now = here.withColumn("shared", F.col("shared") & fine).drop("node", "seg", "pooled")
+    now = ws.save(now, "named")
     every = now.agg(F.sum("blocked"), F.sum("labelled")).first()
     prior = ((every[0] or 0.0) + 1) / ((every[1] or 0.0) + 2)
     smoothed = lambda b, n, towards: (F.col(b) + SMOOTHING * towards) / (F.col(n) + SMOOTHING)
-    own = now.withColumn("domain", domain(F.col("host"))).groupBy("host", "domain", "template", "form").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    own = ws.save(own, "sums")
-    wide = own.groupBy("domain", "form").agg(F.sum("b").alias("db"), F.sum("l").alias("dl"))
+    own = ws.save(now.groupBy("host", "domain", "template", "form", "shared").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")), "sums")
+    wide = own.where("shared").groupBy("domain", "form").agg(F.sum("b").alias("sb"), F.sum("l").alias("sl"))
+    both = own.join(wide, ["domain", "form"], "left").withColumns({f"d{c}": F.when(F.col("shared"), F.col(f"s{c}")).otherwise(F.col(c)) for c in "bl"})
     purity = smoothed("b", "l", smoothed("db", "dl", F.lit(prior)))
-    judged = own.join(wide, ["domain", "form"]).select("host", "template", purity.alias("purity"), ((F.col("dl") >= LEAST_LABELS) & (purity >= PURITY)).alias("rejected"))
+    judged = both.select("host", "template", purity.alias("purity"), ((F.col("dl") >= LEAST_LABELS) & (purity >= PURITY)).alias("rejected"))
     return ws.save(now.join(judged, ["host", "template"]).select("host", "leaf", "template", "purity", "rejected"), "templates")
 
 

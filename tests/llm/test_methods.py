@@ -67,6 +67,7 @@ def _tree(rows):
                 for k, seg in zip(mine, segs, strict=True):
                     if segs.count(seg) < 0.02 * len(segs) and seg != "*":
                         ts[k][level] = "*"
+    made = {}
     for level in range(9):
         for node in nodes(level):
             branches = {}
@@ -88,23 +89,43 @@ def _tree(rows):
                         break
                 else:
                     clusters.append((dict(x), [seg]))
-            for _, segs in clusters:
+            for total, segs in clusters:
+                if len(segs) > 1:
+                    made[node[0], (*node[1], "~" + min(segs))] = total
                 for seg in segs if len(segs) > 1 else ():
                     for k in branches[seg]["rows"]:
                         ts[k][level] = "~" + min(segs)
     known = [r[2] for r in rows if r[2] is not None]
     prior = (sum(known) + 1) / (len(known) + 2)
     out = []
-    for (h, _, _), t in zip(rows, ts, strict=True):
+    general = lambda t: tuple("~" if x[0] == "~" else x for x in t)
+    dom = lambda h: h.split(".")[-2:]
+    pooled = {}
+    for (h, head), x in made.items():
+        side = [y for (g, other), y in made.items() if dom(g) == dom(h) and general(other) == general(head) and y["l"]]
+        total = {"hist": [sum(c) for c in zip(*[y["hist"] for y in side], strict=True)], "b": sum(y["b"] for y in side), "l": sum(y["l"] for y in side)}
+        pooled[h, head] = bool(side) and _like(total, x)
+    shared = [all(pooled[h, tuple(t[: k + 1])] for k, x in enumerate(t) if x[0] == "~") for (h, _, _), t in zip(rows, ts, strict=True)]
+    for (h, _, _), t, open_ in zip(rows, ts, shared, strict=True):
         same = [r[2] for r, u in zip(rows, ts, strict=True) if r[0] == h and u == t and r[2] is not None]
-        form = ["~" if x[0] == "~" else x for x in t]
-        wide = [r[2] for r, u in zip(rows, ts, strict=True) if r[0].split(".")[-2:] == h.split(".")[-2:] and ["~" if x[0] == "~" else x for x in u] == form and r[2] is not None]
+        wide = [r[2] for r, u, o in zip(rows, ts, shared, strict=True) if o and dom(r[0]) == dom(h) and general(u) == general(t) and r[2] is not None] if open_ else same
         up = (sum(wide) + 4 * prior) / (len(wide) + 4)
         purity = (sum(same) + 4 * up) / (len(same) + 4)
         out.append(("/".join(t), purity, len(wide) >= 5 and purity >= 0.8))
     return out
 
 
+def test_branches_of_one_node_that_differ_do_not_share_labels(spark):
+    urls = [f"http://one.net/{top}/{k if k % 2 else 'p'}" for top in ("es", "fr") for k in range(80)]
+    urls += [f"http://one.net/{top}/{k if k > 1 else 'p'}" for top in ("aa", "bb") for k in range(80)]
+    urls += [f"http://two.one.net/{top}/{k if k % 2 else 'p'}" for top in ("cc", "dd") for k in range(80)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
+    rows = [(r.host, r.path, {"block": 1, "allow": 0}[r.verdict] if r.rule else None) for r in got]
+    assert [(r.template, r.verdict if r.rule is None else None) for r in got] == [(t, ("block" if rejected else "allow") if row[2] is None else None) for row, (t, _, rejected) in zip(rows, _tree(rows), strict=True)]
+    verdicts = {(r.host, r.path.split("/")[1]): r.verdict for r in got}
+    assert verdicts == {("one.net", "es"): "block", ("one.net", "fr"): "block", ("one.net", "aa"): "allow", ("one.net", "bb"): "allow", ("two.one.net", "cc"): "block", ("two.one.net", "dd"): "block"}
+
+
 def test_the_url_tree_equals_a_plain_statement_of_it(spark):
     rng = random.Random(8)
     urls = [f"http://{h}/{top}/{rng.randint(1, 9999)}{rng.choice(('', '.html', '/'))}" for h in ("a.x.net", "b.x.net", "c.org") for top in ("es", "fr", "en", "de") for _ in range(rng.randint(4, 25))]
