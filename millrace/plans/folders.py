@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions.scalar import PERSON, captured_at, month_name, month_stamp, sanitize_folder, sanitize_move
+from millrace.operators.ranked import numbered
+from millrace.storage import Workspace, scratch
 
 
-def by_people(members: DataFrame, least: int = 2) -> DataFrame:
+def by_people(members: DataFrame, least: int = 2, ws: Workspace | None = None) -> DataFrame:
     """``key, suggestedName, photoId`` from ``clusterId, personId, name, photoId``: people in order of distinct photos, faces
-    and cluster; a photo goes to its first person even where that person's folder is too small to be kept."""
-    ranked = members.groupBy("clusterId").agg(F.max("personId").alias("personId"), F.max("name").alias("name"), F.count_distinct("photoId").alias("photos"), F.count("*").alias("faces"))
-    rank = F.row_number().over(Window.orderBy(F.col("photos").desc(), F.col("faces").desc(), "clusterId"))
-    ranked = ranked.withColumn("rank", rank)
-    claimed = members.select("clusterId", "photoId").distinct().join(ranked.select("clusterId", "rank"), "clusterId").groupBy("photoId").agg(F.min("rank").alias("rank"))
-    kept = claimed.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(ranked, "rank")
+    and cluster; a photo goes to its first person even where that person's folder is too small to be kept. Ranks and
+    running numbers come from sorts by ranges, as there may be a cluster for every face."""
+    ws = scratch(members.sparkSession, "by-people", ws)
+    people = members.groupBy("clusterId").agg(F.max("personId").alias("personId"), F.max("name").alias("name"), F.count_distinct("photoId").alias("photos"), F.count("*").alias("faces"))
+    ranked = ws.save(numbered(people, [F.col("photos").desc(), F.col("faces").desc(), "clusterId"], "rank", ws), "ranked")
+    claimed = ws.save(members.select("clusterId", "photoId").distinct().join(ranked.select("clusterId", "rank"), "clusterId").groupBy("photoId").agg(F.min("rank").alias("rank")), "claimed")
+    kept = claimed.groupBy("rank").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(ranked, "rank").select("rank", "clusterId", "personId", "name")
     blank = F.trim(F.coalesce("name", F.lit(""))) == ""
-    number = F.sum(blank.cast("int")).over(Window.orderBy("rank"))
-    kept = kept.withColumn("suggestedName", F.when(blank, F.concat(F.lit(f"{PERSON} "), number.cast("string"))).otherwise(F.col("name"))).withColumn("key", F.concat(F.lit("person-"), F.col("personId").cast("string")))
-    return claimed.join(kept.select("rank", "key", "suggestedName", "clusterId"), "rank").select("key", "suggestedName", "clusterId", "photoId")
+    kept = ws.save(kept.withColumn("blank", blank), "kept")
+    counted = numbered(kept.where("blank").select("rank", "clusterId", "personId"), ["rank"], "number", ws)
+    unnamed = counted.withColumn("suggestedName", F.concat(F.lit(f"{PERSON} "), (F.col("number") + 1).cast("string"))).drop("number")
+    every = kept.where("not blank").select("rank", "clusterId", "personId", F.col("name").alias("suggestedName")).unionByName(unnamed)
+    key = F.concat(F.lit("person-"), F.col("personId").cast("string"))
+    return claimed.join(every, "rank").select(key.alias("key"), "suggestedName", "clusterId", "photoId")
 
 
 def by_months(photos: DataFrame) -> DataFrame:

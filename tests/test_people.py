@@ -159,3 +159,23 @@ def test_no_usable_faces(spark):
     rows = [face(1, [1, 0], q=0.1, c=4, p=2), face(2, None, c=4, p=2, pin=True)]
     assert got(spark, rows, 0.62) == {1: (-1, 0), 2: (4, 2)}
     assert P.cluster(frame(spark, rows).limit(0), 0.62).count() == 0
+
+
+def test_folder_plan_of_very_many_small_clusters(spark):
+    from millrace.functions.scalar import PERSON
+    from millrace.plans import folders
+
+    rng = np.random.default_rng(8)
+    rows = [(c, c + 1, ("Ann", None, " ")[c % 3], int(p)) for c in range(1500) for p in rng.integers(0, 900, 1 + c % 4)]
+    people = sorted({r[0] for r in rows}, key=lambda c: (-len({r[3] for r in rows if r[0] == c}), -sum(r[0] == c for r in rows), c))
+    photos, seen, want, number = {c: [] for c in people}, set(), set(), 0
+    for r in rows:
+        photos[r[0]].append(r[3])
+    for c in people:
+        mine = {p for p in photos[c] if p not in seen}
+        seen |= mine
+        if len(mine) >= 2:
+            number += c % 3 > 0
+            want |= {(f"person-{c + 1}", "Ann" if c % 3 == 0 else f"{PERSON} {number}", c, p) for p in mine}
+    got = folders.by_people(spark.createDataFrame(rows, "clusterId int, personId bigint, name string, photoId bigint"))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
