@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import hashlib
+import importlib
 import math
+import os
+import shutil
 import struct
+import tempfile
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -233,8 +241,6 @@ def load_model(path: str):
 
 def model_fault(path: str, load=load_model) -> str | None:
     """What keeps a model file from being used, or None: too small, can't be loaded, odd output length, a failed probe."""
-    import os
-
     if not os.path.isfile(path) or os.path.getsize(path) < MODEL_BYTES:
         return "too small"
     try:
@@ -253,8 +259,6 @@ def model_fault(path: str, load=load_model) -> str | None:
 def choose_embedder(*paths: str | None, load=load_model) -> str:
     """Register the first usable model of the given files (the imported one, then the bundled one) and return its name;
     the gradient histogram where none is."""
-    import os
-
     from millrace.config import model_version
 
     for path in paths:
@@ -263,3 +267,70 @@ def choose_embedder(*paths: str | None, load=load_model) -> str:
             register_embedder(path, embed, dim, model_version(os.path.getsize(path), dim))
             return path
     return "hog"
+
+
+#: Loader of shipped models: ``module:function``, as workers import it.
+LOADER = "millrace.functions.images:load_model"
+
+
+@functools.lru_cache(maxsize=4)
+def _loaded(file: str, loader: str):
+    """A model's function, loaded once a process."""
+    from pyspark import SparkFiles
+
+    module, name = loader.split(":")
+    return getattr(importlib.import_module(module), name)(SparkFiles.get(file))[0]
+
+
+@dataclass(frozen=True)
+class Shipped:
+    """An embedder that stands for a file of the session: tasks get the two names, and each worker loads the model itself."""
+
+    file: str
+    loader: str = LOADER
+
+    def __call__(self, rgb: np.ndarray) -> np.ndarray:
+        return _loaded(self.file, self.loader)(rgb)
+
+
+def ship_model(spark, path: str, loader: str = LOADER) -> str:
+    """Check a staged model file, send it to all workers and register it under its path; an error says what is wrong with it,
+    and then nothing has changed. The name among the session's files comes from the content, so that a new file under an
+    old path is another model."""
+    from millrace.config import model_version
+
+    module, name = loader.split(":")
+    load = getattr(importlib.import_module(module), name)
+    fault = model_fault(path, load)
+    if fault:
+        raise ValueError(f"model {path}: {fault}")
+    with open(path, "rb") as f:
+        digest = hashlib.file_digest(f, "sha256").hexdigest()
+    folder = tempfile.mkdtemp(prefix="millrace-model-")  # the driver's own: workers fetch the file from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    file = os.path.join(folder, f"{digest}.model")
+    shutil.copyfile(path, file)
+    spark.sparkContext.addFile(file)
+    dim = load(path)[1]
+    EMBEDDERS[path] = (Shipped(os.path.basename(file), loader), dim, model_version(os.path.getsize(path), dim))
+    return path
+
+
+def promote(spark, path: str, faces, face_scan, loader: str = LOADER):
+    """Take a staged model into use: ``ship_model``, and the faces and scans without what other models made. Returns the
+    embedder's name and both tables."""
+    from millrace.operators.snapshot import purge_versions
+
+    name = ship_model(spark, path, loader)
+    return name, purge_versions(faces, EMBEDDERS[name][2]), purge_versions(face_scan, EMBEDDERS[name][2])
+
+
+def shipped_embedder(spark, *paths: str | None, loader: str = LOADER) -> str:
+    """Ship the first usable model of the given files and return its name; the gradient histogram where none is."""
+    for path in paths:
+        if path:
+            try:
+                return ship_model(spark, path, loader)
+            except ValueError:
+                continue
+    return "hog"
