@@ -7,7 +7,8 @@ other side are derived from those of a highly similar set that is done already,
 
 Equal sets are joined once and counted by multiplicity. A task returns counts and a spanning forest, never its pairs.
 Sets are told apart by 128 bits of hash: a set's number is the first half, and where two sets share one, the second half.
-Shingles are told apart by 64-bit hashes when sets are built and by 40 of these bits inside a comparison.
+Shingles are told apart by 64-bit hashes. Blocks are compared by 40 of these bits first; pairs of sets so near the limit
+that shingles alike in these bits could change their side (``slack``) meet again with all 64.
 
 Edge cases: null, empty and blank texts have no shingle and link with nothing; a text of fewer words than a shingle is
 one shingle; rows with a null id get their set size and no component; repeated rows are documents of their own, those
@@ -40,6 +41,9 @@ SLICE = 1 << 20
 #: Computed sets that later ones of a block may be derived from.
 BASES = 6
 
+#: Bits of a shingle that the first comparison leaves out.
+SPARE = np.uint64(24)
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -257,8 +261,8 @@ def _position(node: int) -> int:
     return node % FILTER_BITS
 
 
-def _wanted_sets(docs: DataFrame, text_col: str, width: int, wanted, shared: frozenset[int]) -> DataFrame:
-    """``node, shingles`` (40 bits each) of the sets in the filter, each once per task."""
+def _wanted_sets(docs: DataFrame, text_col: str, width: int, wanted, shared: frozenset[int], whole: bool = False) -> DataFrame:
+    """``node, shingles`` (40 bits each, or all 64) of the sets in the filter, each once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
@@ -268,7 +272,7 @@ def _wanted_sets(docs: DataFrame, text_col: str, width: int, wanted, shared: fro
                 at = _position(k)
                 if bits[at >> 3] >> (at & 7) & 1:
                     nodes.append(k)
-                    values.append(np.ascontiguousarray((s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+                    values.append(s.tobytes() if whole else np.ascontiguousarray((s >> SPARE).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.binary())], names=["m", "shingles"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(frugal(run), "m bigint, shingles binary")
@@ -332,53 +336,77 @@ def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return [(x, root(x)) for x in list(parent) if root(x) != x]
 
 
-def compare_blocks(a: dict, b: dict, same: bool, percent: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Links of two blocks: per node the number of documents linked on the other side, and a spanning forest."""
-    inter = overlaps(a["sets"], b["sets"])
+def slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles by which an overlap of 40 bits is taken to be off at most, by the sizes of both sets: more chance agreements,
+    within or between the sets, have a probability under 2**-48. ``mean`` is the number expected."""
+    mean = (a[:, None] + b[None, :]).astype(float) ** 2 / 2.0**41
+    return np.ceil(48 / np.maximum(-np.log2(np.minimum(mean, 0.5)), 1)).astype(np.int64) - 1 + np.floor(4 * mean).astype(np.int64)
+
+
+def _doubtful(a: dict, b: dict, inter: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose overlap of 40 bits lies within the slack of the limit."""
+    both = a["n"][:, None] + b["n"][None, :]
+    return np.abs((100 + percent) * inter.astype(np.int64) - percent * both) <= (100 + percent) * slack(a["n"], b["n"])
+
+
+def compare_blocks(a: dict, b: dict, same: bool, percent: int, whole: bool = False) -> tuple[dict[int, int], list[tuple[int, int]], list[int]]:
+    """Links of two blocks: per node the number of documents linked on the other side, and a spanning forest; and the nodes
+    of doubtful pairs, which are left out. With ``whole`` sets have 64 bits a shingle, and the doubtful pairs alone count."""
+    inter = overlaps([x >> SPARE for x in a["sets"]], [x >> SPARE for x in b["sets"]]) if whole else overlaps(a["sets"], b["sets"])
+    doubt = _doubtful(a, b, inter, percent)
+    if same:
+        np.fill_diagonal(doubt, False)
+    if whole:
+        inter = overlaps(a["sets"], b["sets"])
     union = a["n"][:, None] + b["n"][None, :] - inter
-    linked = 100 * inter >= percent * union
+    linked = (100 * inter >= percent * union) & (doubt if whole else ~doubt)
+    again = [] if whole else [*a["node"][doubt.any(1)].tolist(), *([] if same else b["node"][doubt.any(0)].tolist())]
     if same:
         np.fill_diagonal(linked, False)
     if not linked.any():
-        return {}, []
+        return {}, [], again
     counts = dict(zip(a["node"].tolist(), (linked @ b["copies"]).tolist(), strict=True))
     if not same:
         counts |= dict(zip(b["node"].tolist(), (linked.T @ a["copies"]).tolist(), strict=True))
-    return {k: v for k, v in counts.items() if v}, _forest(linked, a["node"], b["node"])
+    return {k: v for k, v in counts.items() if v}, _forest(linked, a["node"], b["node"]), again
 
 
-def _compare(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+def _compare(sets: DataFrame, wanted: DataFrame, percent: int, whole: bool = False) -> DataFrame:
     """Both blocks of every pair meet; ``sets`` has m, shingles and ``wanted`` node, n, of_block, copies, pairs. A set goes
-    to its pairs directly, so its shingles are dealt out twice: by set, and by pair."""
+    to its pairs directly, so its shingles are dealt out twice: by set, and by pair. Rows hold a node's links, an edge to a
+    root, or a pair of blocks in which the node has to be compared again."""
     sent = sets.join(wanted, F.col("m") == F.col("node")).select(F.explode("pairs").alias("p"), "of_block", "node", "n", "copies", "shingles")
     sent = sent.select("p.pair", "p.a", "p.b", "of_block", "node", "n", "copies", "shingles")
 
-    def meet(rows: list[dict]) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    unpack = (lambda raw: np.frombuffer(raw, np.uint64)) if whole else _unpack
+
+    def meet(rows: list[dict]) -> tuple[dict[int, int], list[tuple[int, int]], list[int]]:
         a, b = rows[0]["a"], rows[0]["b"]
         sides = []
         for block in (a, b) if a != b else (a,):
             own = list({r["node"]: r for r in rows if r["of_block"] == block}.values())
-            sides.append({"node": np.array([r["node"] for r in own], np.int64), "n": np.array([r["n"] for r in own], np.int64), "copies": np.array([r["copies"] for r in own], np.int64), "sets": [_unpack(r["shingles"]) for r in own]})
+            sides.append({"node": np.array([r["node"] for r in own], np.int64), "n": np.array([r["n"] for r in own], np.int64), "copies": np.array([r["copies"] for r in own], np.int64), "sets": [unpack(r["shingles"]) for r in own]})
         if not all(len(s["node"]) for s in sides):
-            return {}, []
-        return compare_blocks(sides[0], sides[-1], a == b, percent)
+            return {}, [], []
+        return compare_blocks(sides[0], sides[-1], a == b, percent, whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in _and_none(batches):
-            node, links, root = [], [], []
+            node, links, root, pair = [], [], [], []
             for r in batch.to_pylist() if batch is not None else [None]:
                 if rows and (r is None or r["pair"] != rows[0]["pair"]):
-                    counts, edges = meet(rows)
-                    node += [*counts, *[x for x, _ in edges]]
-                    links += [*counts.values(), *[0] * len(edges)]
-                    root += [*[None] * len(counts), *[x for _, x in edges]]
+                    counts, edges, again = meet(rows)
+                    node += [*counts, *[x for x, _ in edges], *again]
+                    links += [*counts.values(), *[0] * len(edges), *[0] * len(again)]
+                    root += [*[None] * len(counts), *[x for _, x in edges], *[None] * len(again)]
+                    pair += [*[None] * (len(counts) + len(edges)), *[rows[0]["pair"]] * len(again)]
                     rows = []
                 if r is not None:
                     rows.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(root, pa.int64())], names=["node", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node, links, root, pair)], names=["node", "links", "root", "again"])
 
-    return sent.repartition("pair").sortWithinPartitions("pair").mapInArrow(frugal(run), "node bigint, links bigint, root bigint")
+    return sent.repartition("pair").sortWithinPartitions("pair").mapInArrow(frugal(run), "node bigint, links bigint, root bigint, again bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, workspace: Workspace | None = None) -> DataFrame:
@@ -398,6 +426,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = ws.save(wanted.select("node", "n", "of_block", "copies", "pairs"), "wanted")
     sets = _wanted_sets(docs, text_col, width, spark.sparkContext.broadcast(_filter(wanted)), shared)
     found = ws.save(_compare(sets, wanted, percent), "found")
+    doubts = found.where("again is not null")
+    if not doubts.isEmpty():
+        doubts = doubts.groupBy("node").agg(F.collect_set("again").alias("which"))
+        kept = F.filter("pairs", lambda p: F.array_contains("which", p["pair"]))
+        unsure = ws.save(wanted.join(doubts, "node").select("node", "n", "of_block", "copies", kept.alias("pairs")), "unsure")
+        sets = _wanted_sets(docs, text_col, width, spark.sparkContext.broadcast(_filter(unsure)), shared, whole=True)
+        found = found.where("again is null").unionByName(ws.save(_compare(sets, unsure, percent, whole=True), "decided"))
     links = found.where("root is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("root is not null"), "node", "root", ws)
     labelled = ws.save(reps.join(components, "node", "left").join(links, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "labelled")

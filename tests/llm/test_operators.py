@@ -61,6 +61,34 @@ def test_overlaps_are_derived_exactly():
     assert (jaccard_join.overlaps(sets[:25], sets) == np.array(want)).all()
 
 
+def test_pairs_near_the_limit_are_decided_on_all_bits():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = []
+    for k in range(60):  # each differs from the base in some shingles, and in some of these only below the upper 40 bits
+        s = base.copy()
+        s[rng.permutation(100)[: rng.integers(0, 9)]] = rng.integers(0, 1 << 63, 1).astype(np.uint64)
+        s[k] ^= np.uint64(1 + k)
+        sets.append(np.unique(s))
+    block = {"node": np.arange(60), "n": np.array([len(s) for s in sets]), "copies": np.ones(60, np.int64), "sets": sets}
+    short = block | {"sets": [s >> jaccard_join.SPARE for s in sets]}
+    first, edges, again = jaccard_join.compare_blocks(short, short, True, 96)
+    second, more, none = jaccard_join.compare_blocks(block, block, True, 96, whole=True)
+    inter = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    union = block["n"][:, None] + block["n"][None, :] - inter
+    linked = 100 * inter >= 96 * union
+    np.fill_diagonal(linked, False)
+    rough = jaccard_join.overlaps(short["sets"], short["sets"])
+    wrong = (100 * rough >= 96 * (block["n"][:, None] + block["n"][None, :] - rough)) != linked
+    np.fill_diagonal(wrong, False)
+    assert wrong.any() and again and not none
+    sure = ~jaccard_join._doubtful(short, short, rough, 96)
+    assert (np.array([first.get(k, 0) + second.get(k, 0) for k in range(60)])[~(wrong & sure).any(1)] == linked.sum(1)[~(wrong & sure).any(1)]).all()
+    assert {k for e in edges + more for k in e} >= set(np.flatnonzero(linked.any(1)).tolist())
+    sizes = np.array([1, 100, 5000, 10**6, 10**7])
+    assert np.diag(jaccard_join.slack(sizes, sizes)).tolist() == sorted(np.diag(jaccard_join.slack(sizes, sizes)).tolist()) and jaccard_join.slack(sizes, sizes)[0, 0] == 1
+
+
 def test_embedding_join(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
