@@ -93,11 +93,12 @@ def hog(rgb: np.ndarray) -> np.ndarray:
 
 
 def eye_transform(left: tuple[float, float], right: tuple[float, float], size: int = TEMPLATE) -> np.ndarray:
-    """2 x 3 similarity transform that puts the eyes on the template; eyes under a pixel apart give the box fit."""
-    (ax, ay), (bx, by) = sorted((left, right))
+    """2 x 3 similarity transform that puts the eyes on the template, the one further left on the left (the first given of two
+    above each other); eyes under a pixel apart give the box fit around whole pixels."""
+    (ax, ay), (bx, by) = sorted((left, right), key=lambda eye: eye[0])
     gap = math.hypot(bx - ax, by - ay)
     if gap < 1:
-        return box_transform(ax - 40, ay - 40, ax + 40, ay + 40, size)
+        return box_transform(int(ax) - 40, int(ay) - 40, int(ax) + 40, int(ay) + 40, size)
     k = size / TEMPLATE
     scale, turn = (RIGHT_EYE[0] - LEFT_EYE[0]) * k / gap, -math.atan2(by - ay, bx - ax)
     c, s = scale * math.cos(turn), scale * math.sin(turn)

@@ -341,6 +341,35 @@ def image_signatures(spark, d):
     return _pictured(spark, d, "id bigint, dhash string, phash string, grid string", one)
 
 
+#: Side of a made picture in which faces are looked for.
+_FRAME = 160
+
+
+def face_scan(spark, d):
+    """Faces of pictures made from whole texts: the gated ones, their boxes, transforms and lengths of embeddings. How many there
+    are, where they lie and how they are turned comes from hashes of the text."""
+    import numpy as np
+
+    from millrace.sources import faces
+
+    def drawn(texts):
+        return texts.map(lambda text: np.stack([_pixels(text, _FRAME, c) for c in range(3)], -1).astype(np.uint8).tobytes())
+
+    def detection(k: int):
+        byte = lambda j: F.conv(F.substring(F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit(str(k)))), 2 * j + 1, 2), 16, 10).cast("int")
+        left, top, seen = byte(0) % 120 - 20, byte(1) % 120 - 20, byte(6) % 4 > 0
+        eye = lambda v: F.when(seen, v.cast("double"))
+        fields = {"l": left, "t": top, "r": left + 30 + byte(2) % 80, "b": top + 30 + byte(3) % 80, "yaw": (byte(4) % 101 - 50).cast("double"), "roll": (byte(5) % 81 - 40).cast("double"),
+                  "lx": eye(left + byte(7) % 40), "ly": eye(top + byte(8) % 40), "rx": eye(left + byte(9) % 60), "ry": eye(top + byte(10) % 40)}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    found = F.slice(F.array(*map(detection, range(3))), F.lit(1), F.pmod("doc_id", F.lit(4)).cast("int"))
+    frame = {"width": F.lit(_FRAME), "height": F.lit(_FRAME), "nChannels": F.lit(3), "data": F.pandas_udf(drawn, "binary")("text"), "detections": found}
+    rows = faces.photo_faces(_texts(spark, d).select(F.col("doc_id").alias("origin"), *[c.alias(k) for k, c in frame.items()]))
+    cells = [(F.round(F.element_at("transform", k + 1), 6) + F.lit(0.0)).alias(f"m{k}") for k in range(6)]
+    return rows.select(F.col("origin").alias("id"), "face", "l", "t", "r", "b", F.round("quality", 6).alias("quality"), *cells, F.size("embedding").alias("dim"))
+
+
 #: Shares of a brightness step that keep directions off the borders between bins.
 _GOLDEN = 0.6180339887498949
 
@@ -386,7 +415,7 @@ QUERIES = {
         flat_count, lsh_candidates_capped, similar_pairs_capped, similar_places, similar_group_order, group_previews, keeper_override, waste_by_kind,
         people_split, cluster_members, cover_photos, person_photos, person_lookup, move_photos, people_after_rename, face_sizes,
         derived_columns, table_counts, selection, selected_bytes, rows_of_ids, month_members, chosen_folders, organise_plan, move_plan,
-        image_signatures, hog_descriptors, dequantised, activity_by_hour,
+        image_signatures, face_scan, hog_descriptors, dequantised, activity_by_hour,
     )
 }
 
@@ -481,6 +510,17 @@ block AS (SELECT f.id, by_ * 7 + bx AS k, (f.cy - by_) * 2 + f.cx - bx AS q, f.b
 norm AS (SELECT id, (k * 4 + q) * 8 + bin AS j, s / sqrt(sum(s * s) OVER (PARTITION BY id, k) + 0.000001::DOUBLE) AS v FROM block),
 long AS (SELECT id, sqrt(sum(v * v)) AS l FROM norm GROUP BY id),
 desc_ AS (SELECT id, j, CASE WHEN l < 0.00000001::DOUBLE THEN v ELSE v / l END AS v FROM norm JOIN long USING (id))"""
+_BYTE = "('0x' || substr(h, 2 * {0} + 1, 2))::INT".format
+_FOUND = f"""found AS (SELECT doc_id AS id, k AS face, {_BYTE(0)} % 120 - 20 AS l, {_BYTE(1)} % 120 - 20 AS t, 30 + {_BYTE(2)} % 80 AS w, 30 + {_BYTE(3)} % 80 AS h_, {_BYTE(4)} % 101 - 50 AS yaw, {_BYTE(5)} % 81 - 40 AS roll,
+  {_BYTE(6)} % 4 > 0 AS seen, {_BYTE(7)} % 40 AS lx, {_BYTE(8)} % 40 AS ly, {_BYTE(9)} % 60 AS rx, {_BYTE(10)} % 40 AS ry FROM (SELECT doc_id, k, md5(coalesce(text, '') || k) AS h FROM documents, range(3) s(k) WHERE k < doc_id % 4)),
+clipped AS (SELECT *, greatest(l, 0) AS cl, greatest(t, 0) AS ct, least(l + w, {_FRAME}) AS cr, least(t + h_, {_FRAME}) AS cb FROM found),
+gated AS (SELECT *, cr - cl AS cw, cb - ct AS ch FROM clipped WHERE cr - cl >= 40 AND cb - ct >= 40 AND abs(yaw) <= 45 AND (seen OR abs(roll) <= 30)),
+eyes AS (SELECT *, l + least(lx, rx) AS ax, t + CASE WHEN lx <= rx THEN ly ELSE ry END AS ay, abs(rx - lx)::DOUBLE AS dx, CASE WHEN lx <= rx THEN ry - ly ELSE ly - ry END::DOUBLE AS dy FROM gated),
+boxes AS (SELECT *, CASE WHEN seen THEN dx * dx + dy * dy END AS gap2, floor(greatest(cw, ch) * 1.28::DOUBLE)::INT AS side, (cl + cr) // 2 AS mx, (ct + cb) // 2 - floor(ch * 0.04::DOUBLE)::INT AS my FROM eyes),
+fit AS (SELECT *, CASE WHEN gap2 >= 1 THEN (73.5318::DOUBLE - 38.2946::DOUBLE) * dx / gap2 WHEN seen THEN 112 / (1.35::DOUBLE * 80) ELSE 112 / (1.35::DOUBLE * greatest(cw, ch)) END AS c, CASE WHEN gap2 >= 1 THEN -(73.5318::DOUBLE - 38.2946::DOUBLE) * dy / gap2 ELSE 0 END AS s,
+  CASE WHEN gap2 >= 1 THEN ax + dx / 2 WHEN seen THEN ax ELSE (cl + cr) / 2 END AS px, CASE WHEN gap2 >= 1 THEN ay + dy / 2 WHEN seen THEN ay - 4 ELSE (ct + cb) / 2 - 0.05::DOUBLE * ch END AS py,
+  CASE WHEN gap2 >= 1 THEN (38.2946::DOUBLE + 73.5318::DOUBLE) / 2 ELSE 56 END AS tx, CASE WHEN gap2 >= 1 THEN (51.6963::DOUBLE + 51.5014::DOUBLE) / 2 ELSE 56 END AS ty,
+  -least(0, mx - side // 2) - greatest(0, mx + side // 2 - {_FRAME}) AS ox, -least(0, my - side // 2) - greatest(0, my + side // 2 - {_FRAME}) AS oy FROM boxes)"""
 _MONTH_PLAN = f"""{Q._PHOTOS}, stamped AS (SELECT id, size, make_timestamp(CASE WHEN dateTaken > 0 THEN dateTaken ELSE dateModified * 1000 END * 1000) AS ts FROM photos), mm AS (SELECT id, size, year(ts) * 100 + month(ts) - 1 AS stamp FROM stamped),
 named AS (SELECT id AS photoId, size, 'month-' || stamp AS key, printf('%04d-%02d %s', stamp // 100, stamp % 100 + 1, {Q._MONTHS}[stamp % 100 + 1]) AS suggestedName FROM mm),
 plan AS (SELECT * FROM (SELECT *, CASE WHEN key = (SELECT max(key) FROM named) THEN 'A.bc' WHEN key = (SELECT min(key) FROM named) THEN ' ' ELSE suggestedName END AS name FROM named) WHERE trim(name) <> '')"""
@@ -533,6 +573,9 @@ SQL = {
     "organise_plan": f"WITH {_MONTH_PLAN} SELECT CASE WHEN photoId % 5 = 0 THEN 'unsupported' ELSE 'relocate' END AS action, photoId, size AS bytes, 'Pictures/' || name || '/' AS target FROM plan",
     "move_plan": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'copy_then_delete' ELSE 'relocate' END AS action, doc_id AS id, n_chars AS bytes, 'Pictures/Ev şəkilləri2/' AS target FROM documents",
     "image_signatures": f"WITH {_SIGNATURES} SELECT d.id, lower(lpad(to_hex(d.h), 16, '0')) AS dhash, lower(lpad(to_hex(p.h), 16, '0')) AS phash, grid FROM dh d JOIN ph p USING (id) JOIN grid USING (id)",
+    "face_scan": f"""WITH {_FOUND} SELECT id, face::INT AS face, {", ".join(f"(least(greatest({m} {sign} side // 2 + {o}, 0), {_FRAME}) * 10000 // {_FRAME})::INT AS {name}" for name, m, sign, o in (("l", "mx", "-", "ox"), ("t", "my", "-", "oy"), ("r", "mx", "+", "ox"), ("b", "my", "+", "oy")))},
+  round(least(least(cw, ch) / {_FRAME} / 0.35::DOUBLE, 1) * 0.45::DOUBLE + (1 - abs(yaw) / 45::DOUBLE) * 0.25::DOUBLE + (1 - least(abs(roll), 30) / 30::DOUBLE) * 0.15::DOUBLE + CASE WHEN seen THEN 0.15::DOUBLE ELSE 0 END, 6) AS quality,
+  {", ".join(f"round({m}, 6) + 0::DOUBLE AS m{k}" for k, m in enumerate(("c", "-s", "tx - c * px + s * py", "s", "c", "ty - s * px - c * py")))}, 1568 AS dim FROM fit""",
     "hog_descriptors": f"WITH {_HOG} SELECT id, count(*)::INT AS dim, round(sum(v * v), 6) AS norm, round(sum(v * (j % 97 + 1)), 4) AS total FROM desc_ GROUP BY id",
     "dequantised": f"WITH {_BYTES}, b AS (SELECT * FROM bytes UNION ALL SELECT doc_id, 0, 32 FROM documents WHERE coalesce(text, '') = '') SELECT doc_id AS id, sum((v - 128) * 0.0078125::DOUBLE) AS total, max((v - 128) * 0.0078125::DOUBLE) AS most FROM b GROUP BY doc_id",
     "activity_by_hour": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

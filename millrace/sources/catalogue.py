@@ -15,6 +15,7 @@ from millrace.config import HEAD_BYTES
 from millrace.functions import images, scalar as S
 from millrace.operators import exact
 from millrace.sources import files as disk
+from millrace.sources.faces import DETECTIONS, photo_faces, pixels
 from millrace.sources.walk import breadth_first, files_below, levels, whole
 from millrace.storage import Workspace
 
@@ -147,11 +148,6 @@ def orientations(decoded: DataFrame, head: int = HEAD_BYTES) -> DataFrame:
     return decoded.join(heads, "origin", "left").withColumn("degrees", F.coalesce("degrees", F.lit(0)))
 
 
-def _rgb(width: int, height: int, channels: int, data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-    return np.repeat(raw, 3, 2) if channels == 1 else raw[..., 2::-1]
-
-
 def signatures(decoded: DataFrame) -> DataFrame:
     """``origin, dhash, phash, colorSig`` of decoded images, subsampled and turned by ``degrees`` where there are any; all
     null where an image can't be handled."""
@@ -162,9 +158,9 @@ def signatures(decoded: DataFrame) -> DataFrame:
             rows = []
             for r in f.itertuples():
                 try:
-                    small = images.subsampled(_rgb(r.width, r.height, r.nChannels, r.data), HASH_SIDE)
+                    small = images.subsampled(pixels(r.width, r.height, r.nChannels, r.data), HASH_SIDE)
                     rows.append((r.origin, *images.signature(images.upright(small, r.degrees))))
-                except (ValueError, IndexError, ZeroDivisionError):
+                except (AttributeError, ValueError, IndexError, ZeroDivisionError):
                     rows.append((r.origin, None, None, None))
             yield pd.DataFrame(rows, columns=["origin", "dhash", "phash", "colorSig"]).astype({"dhash": "Int64", "phash": "Int64"})
 
@@ -172,22 +168,7 @@ def signatures(decoded: DataFrame) -> DataFrame:
 
 
 def face_rows(decoded: DataFrame, detections: DataFrame, embedder: str = "hog") -> DataFrame:
-    """Gate, align and embed detected faces. ``detections``: origin, l, t, r, b, yaw, roll and nullable eye points."""
-    function, _, version = images.EMBEDDERS[embedder]
-    has_eyes = F.col("lx").isNotNull() & F.col("rx").isNotNull()
-    clipped = detections.join(decoded, "origin").withColumns({"cl": F.greatest("l", F.lit(0)), "ct": F.greatest("t", F.lit(0)), "cr": F.least("r", "width"), "cb": F.least("b", "height")})
-    w, h = F.col("cr") - F.col("cl"), F.col("cb") - F.col("ct")
-    gated = clipped.where(S.face_gate(w, h, F.col("yaw"), F.col("roll"), has_eyes))
-    rel = F.least(w, h) / F.least("width", "height")
-    gated = gated.withColumn("quality", S.face_quality(rel, F.col("yaw"), F.col("roll"), has_eyes).cast("float")).withColumn("box", S.square_box(F.col("cl"), F.col("ct"), F.col("cr"), F.col("cb"), F.col("width"), F.col("height")))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                m = images.eye_transform((r.lx, r.ly), (r.rx, r.ry)) if pd.notna(r.lx) and pd.notna(r.rx) else images.box_transform(r.cl, r.ct, r.cr, r.cb)
-                out.append((r.origin, r.bl, r.bt, r.br, r.bb, r.quality, function(images.warp(_rgb(r.width, r.height, r.nChannels, r.data), m)).tolist(), version))
-            yield pd.DataFrame(out, columns=["origin", "l", "t", "r", "b", "quality", "embedding", "embVersion"])
-
-    flat = gated.select("origin", "width", "height", "nChannels", "data", "cl", "ct", "cr", "cb", "lx", "ly", "rx", "ry", "quality", F.col("box.l").alias("bl"), F.col("box.t").alias("bt"), F.col("box.r").alias("br"), F.col("box.b").alias("bb"))
-    return flat.mapInPandas(run, "origin string, l int, t int, r int, b int, quality float, embedding array<float>, embVersion int")
+    """Gate, align and embed detected faces. ``detections``: origin, l, t, r, b, yaw, roll and nullable eye points. A photo's
+    detections are put together before they meet its pixels, which thus travel once; faces that can't be embedded are left out."""
+    found = detections.groupBy("origin").agg(F.collect_list(F.struct("l", "t", "r", "b", "yaw", "roll", "lx", "ly", "rx", "ry")).cast(DETECTIONS).alias("detections"))
+    return photo_faces(decoded.join(found, "origin"), embedder).where("embedding is not null").select("origin", "l", "t", "r", "b", F.col("quality").cast("float").alias("quality"), "embedding", "embVersion")
