@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.functions import images as I
@@ -72,3 +73,17 @@ def test_eyes_land_on_the_template():
         ends = np.array([m @ [*a, 1], m @ [*b, 1]])
         assert np.allclose(ends.mean(0), (np.array(I.LEFT_EYE) + I.RIGHT_EYE) / 2) and ends[0, 0] < ends[1, 0] and np.isclose(ends[0, 1], ends[1, 1])
     assert np.allclose(I.eye_transform((50.7, 60.2), (51.2, 60.4)), I.box_transform(10, 20, 90, 100))
+
+
+def test_pictures_are_drawn_a_few_at_a_time(spark, monkeypatch):
+    """A batch of short texts makes many times its bytes of pixels, which one task held at once before."""
+    from millrace import queries_more as Q
+
+    frame = type(spark.range(1))
+    seen, plain = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, function, *a, **k: seen.append(function) or plain(df, function, *a, **k))
+    monkeypatch.setattr(Q, "_texts", lambda s, d: s.range(100).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+    Q.face_scan(spark, "")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([f"text {k}" for k in range(100)]), pa.nulls(100)], names=["origin", "text", "detections"])
+    sizes = [len(out) for out in seen[0](iter([batch]))]
+    assert sum(sizes) == 100 and max(sizes) <= Q._PICTURES
