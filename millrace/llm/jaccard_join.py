@@ -37,7 +37,7 @@ SKETCH, SKETCH_SHIFT = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
 #: Rows of one list that a task gets at most, about; sets and shingles of a block; bits of the filter of wanted sets.
 LIST_ROWS, BLOCK_SETS, BLOCK_SHINGLES, FILTER_BITS = 8192, 1024, 400_000, 1 << 24
 #: Bytes of text that are cut into shingles at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Computed sets that later ones of a block may be derived from.
 BASES = 6
 
@@ -424,15 +424,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = pairs.groupBy(F.col("node").alias("of")).agg(F.collect_list(F.struct("pair", "a", "b")).alias("pairs"))
     wanted = nodes.join(reps, "node").join(pairs, F.col("node") == F.col("of"))
     wanted = ws.save(wanted.select("node", "n", "of_block", "copies", "pairs"), "wanted")
-    sets = _wanted_sets(docs, text_col, width, spark.sparkContext.broadcast(_filter(wanted)), shared)
+    sent = [counts, spark.sparkContext.broadcast(_filter(wanted))]
+    sets = _wanted_sets(docs, text_col, width, sent[-1], shared)
     found = ws.save(_compare(sets, wanted, percent), "found")
     doubts = found.where("again is not null")
     if not doubts.isEmpty():
         doubts = doubts.groupBy("node").agg(F.collect_set("again").alias("which"))
         kept = F.filter("pairs", lambda p: F.array_contains("which", p["pair"]))
         unsure = ws.save(wanted.join(doubts, "node").select("node", "n", "of_block", "copies", kept.alias("pairs")), "unsure")
-        sets = _wanted_sets(docs, text_col, width, spark.sparkContext.broadcast(_filter(unsure)), shared, whole=True)
+        sent.append(spark.sparkContext.broadcast(_filter(unsure)))
+        sets = _wanted_sets(docs, text_col, width, sent[-1], shared, whole=True)
         found = found.where("again is null").unionByName(ws.save(_compare(sets, unsure, percent, whole=True), "decided"))
+    for bits in sent:  # what follows reads saved tables; executors would hold these as long as the driver's garbage does
+        bits.destroy()
     links = found.where("root is null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("root is not null"), "node", "root", ws)
     labelled = ws.save(reps.join(components, "node", "left").join(links, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "labelled")

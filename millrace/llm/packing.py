@@ -243,15 +243,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             now = _Round(size)
             return pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), *[pa.array(cols[k], pa.int64()) for k in _NAMES]], names=[id_col, *_NAMES])
 
-        for batch in batches:
-            arrow_id = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                now.add(doc_id, words.ids(text.as_py() or "") + end)
-                if now.tokens >= round_tokens:
-                    yield placed()
-        if now.docs:
-            yield placed()
-        words.clear()  # a reused worker would hold them during other stages
+        try:
+            for batch in batches:
+                arrow_id = batch.schema.field(0).type
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    now.add(doc_id, words.ids(text.as_py() or "") + end)
+                    if now.tokens >= round_tokens:
+                        yield placed()
+            if now.docs:
+                yield placed()
+        finally:  # a reused worker would hold words and vocabulary during other stages
+            _words.cache_clear()
+            words = None
 
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
 

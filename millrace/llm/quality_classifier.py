@@ -31,6 +31,8 @@ BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 4, 2
 MAX_LABELLED, HIDDEN, EPOCHS, CALIBRATION = 20_000, 32, 60, 0.2
 #: Buckets that one shuffled row carries. Score from which a document is predicted good.
 BLOCK, GOOD = 256, 0.7
+#: Bytes of text whose words are held at once: a word takes 4 * DIM bytes, twice.
+SLICE = 1 << 18
 
 _IDS = np.arange(BUCKETS, dtype=np.uint64)
 _POSITION = np.stack([(mix(_IDS * np.uint64(NONZERO) + np.uint64(k)) % np.uint64(DIM)).astype(np.int64) for k in range(NONZERO)])
@@ -54,7 +56,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * DIM)
         for batch in batches:
-            for part in slices(batch, 0, 1 << 20):
+            for part in slices(batch, 0, SLICE):
                 b, n = buckets(encoded(part.column(0)))
                 of = np.repeat(np.arange(len(n)), n)
                 for step in range(1, REACH + 1):
@@ -167,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
+            for part in slices(batch, limit=SLICE):
                 x = pooled(encoded(part.column(1)), vectors).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), part.column(2)], names=["label_id", "x", "label"])
 
@@ -187,7 +189,7 @@ def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         out, at = np.empty(len(values)), 0
         while at < len(values):  # a slice of texts at a time
             to, size = at, 0
-            while to < len(values) and (to == at or size < 1 << 20):
+            while to < len(values) and (to == at or size < SLICE):
                 size += len(values[to] or "")
                 to += 1
             out[at:to] = net.score(pooled([(x or "").encode() for x in values[at:to]], vectors))
