@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import tracemalloc
 
 import pyarrow as pa
@@ -37,3 +38,9 @@ def test_a_batch_takes_little_more_than_a_text():
     tracemalloc.stop()
     assert out.column(1).to_pylist() == [plain(t.split(" "))[0] for t in texts[:1]] + out.column(1).to_pylist()[1:] and out.column(1)[61].as_py() == 0
     assert peak < 6 << 20  # the words of all texts alone take 7 MB
+
+
+def test_words_are_split_as_the_sql_splits_them():
+    """At blanks, tabs and line ends alone: other spaces are part of words."""
+    texts = ["", "a", "a \t\r\nb", "a\u00a0b c\x0bd\x1ce \u2003 f", "été\tété"]
+    assert [[w.decode() for w in R.split(t.encode())] for t in texts] == [re.split("[ \t\n\r]+", t) for t in texts]
