@@ -87,3 +87,23 @@ def test_pictures_are_drawn_a_few_at_a_time(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([f"text {k}" for k in range(100)]), pa.nulls(100)], names=["origin", "text", "detections"])
     sizes = [len(out) for out in seen[0](iter([batch]))]
     assert sum(sizes) == 100 and max(sizes) <= Q._PICTURES
+
+
+def test_pictures_and_crops_equal_their_plain_forms(monkeypatch):
+    """Pictures in bytes against sums of whole numbers, whatever the text's length; crops of part of a picture read that part alone."""
+    from millrace import queries_more as Q
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 1023, 1024, 1025, 5000, 300_000):
+        text = "".join(map(chr, rng.integers(32, 300, n)))
+        raw = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+        k, cells = np.arange(len(raw)), 32 * 32
+        for c, plane in enumerate(Q._picture(text, 32).transpose(2, 0, 1)):
+            total = np.bincount(k % cells, weights=raw * (k // cells + c + 1), minlength=cells).astype(np.int64)
+            assert (plane.ravel() == (total + np.arange(cells) * (7 + c)) % 256).all() and (Q._pixels(text, 32, c) == plane).all()
+    rgb, copied, plain = picture(), [], np.ascontiguousarray
+    monkeypatch.setattr(np, "ascontiguousarray", lambda a, *x: copied.append(a.size) or plain(a, *x))
+    I.warp(rgb, I.box_transform(10, 10, 40, 40))
+    assert copied and max(copied) < rgb.size / 4
+    for box in ((-500, -500, -400, -400), (5000, 20, 5100, 90)):
+        assert not I.warp(rgb, I.box_transform(*box)).any()
